@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from . import (
+    minhash,
     url_filter,
 )
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_dedup": minhash.query,
         "op9_url_filters": url_filter.query,
     }
 
