@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    itq,
     minhash,
     url_filter,
 )
@@ -11,6 +12,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.query,
+        "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
     }
 
