@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     itq,
     minhash,
+    quality,
     url_filter,
 )
 
@@ -12,6 +13,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.query,
+        "op4_quality_rules": quality.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
     }
