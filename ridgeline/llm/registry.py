@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     itq,
+    langid,
     minhash,
     quality,
     url_filter,
@@ -13,6 +14,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.query,
+        "op3_language_id": langid.query,
         "op4_quality_rules": quality.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
