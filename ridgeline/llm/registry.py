@@ -7,6 +7,7 @@ from . import (
     langid,
     minhash,
     quality,
+    toxicity,
     url_filter,
 )
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_quality_rules": quality.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
