@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import (
+    bpe,
     itq,
     langid,
     minhash,
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_minhash_dedup": minhash.query,
         "op3_language_id": langid.query,
         "op4_quality_rules": quality.query,
+        "op7_bpe": bpe.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
         "op10_toxicity": toxicity.query,
