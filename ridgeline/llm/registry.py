@@ -7,6 +7,7 @@ from . import (
     itq,
     langid,
     minhash,
+    packing,
     quality,
     toxicity,
     url_filter,
@@ -16,6 +17,7 @@ from . import (
 def queries() -> dict:
     return {
         "op1_minhash_dedup": minhash.query,
+        "op2_best_fit_packing": packing.query,
         "op3_language_id": langid.query,
         "op4_quality_rules": quality.query,
         "op7_bpe": bpe.query,
