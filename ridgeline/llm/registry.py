@@ -9,6 +9,7 @@ from . import (
     minhash,
     packing,
     quality,
+    tokenfile,
     toxicity,
     url_filter,
 )
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.query,
         "op3_language_id": langid.query,
         "op4_quality_rules": quality.query,
+        "op5_token_files": tokenfile.query,
         "op7_bpe": bpe.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
