@@ -9,6 +9,7 @@ from . import (
     minhash,
     packing,
     quality,
+    suffix,
     tokenfile,
     toxicity,
     url_filter,
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op3_language_id": langid.query,
         "op4_quality_rules": quality.query,
         "op5_token_files": tokenfile.query,
+        "op6_suffix_dedup": suffix.query,
         "op7_bpe": bpe.query,
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
