@@ -1,13 +1,64 @@
-"""The corpus pipeline: stages over documents, each one operator of ``ridgeline.llm``."""
+"""The corpus pipeline: stages over documents, each one operator of ``ridgeline.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+each stage's result as Parquet to the shared folder and reads it again as the
+next one's documents. All stages but the last return the columns of documents.
+
+Defined results: documents without text fail the quality rules; rows that share
+a doc_id share their decisions (kept if one of them is). Empty table: empty
+result.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from ridgeline.llm import langid, minhash, packing, quality, suffix
+from ridgeline.llm.common import saved
+
+
+def _only(docs, ids):
+    """The rows of ``docs`` whose doc_id is among ``ids`` (a null among nulls)."""
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that fail the base rules or their group's fences go."""
+    return _only(docs, quality.quality_rules(docs).where("kept"))
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents in no learned language go."""
+    return _only(docs, langid.language_id(docs).where("not rejected"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    return _only(docs, minhash.minhash_dedup(docs).where("kept"))
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Passages that an earlier document holds are cut; bytes of a character that a cut splits go with it."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = suffix.cut_repeats(docs, keep=tuple(rest), as_text=True)
+    out = cut.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*(F.col(c).cast(kind) for c, kind in docs.dtypes))
+
+
+def pack(spark, docs, sf_dir):
+    """What is left, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("best_fit_packing", pack)]
+
+#: Neither the sketches nor the models, the packing or the byte-wise cuts are within SQL's reach.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
