@@ -184,7 +184,7 @@ def settle(length: int):
     return run
 
 
-def cut_texts(length: int):
+def cut_texts(length: int, as_text: bool = False):
     """The result of each document: its text, its windows (pos, j0, j1) and those that stay (pos, kept)."""
 
     def run(batches):
@@ -226,17 +226,20 @@ def cut_texts(length: int):
                     edge = [0, *(x for ab in zip(a.tolist(), b.tolist()) for x in ab), n]
                     out = b"".join(t[x:y] for x, y in zip(edge[::2], edge[1::2]))
                 digest.append(hashlib.sha256(out).hexdigest())
-                left.append(out)
+                left.append(out.decode("utf-8", "ignore") if as_text else out)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c not in ("text", "spots")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string()), pa.array(left, pa.binary())],
+                [*(batch.column(c) for c in batch.schema.names if c not in ("text", "spots")), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string()), pa.array(left, pa.string() if as_text else pa.binary())],
                 [*(c for c in batch.schema.names if c not in ("text", "spots")), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return run
 
 
-def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) for every row of ``documents`` (doc_id, text)."""
+def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, the columns ``keep``, n_bytes, n_removed, n_spans, kept_sha256, kept for every row of ``documents`` (doc_id, text).
+
+    kept: the bytes left, or the text that they spell, without characters that a cut has split.
+    """
     if length < K + 8:
         raise ValueError(f"length is {K + 8} at least")
     spark = documents.sparkSession
@@ -272,8 +275,8 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...
     parts = parts.withColumns({c: F.coalesce(c, F.lit(0).cast("short")) for c in ("j0", "j1")})
     result = parts.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "j0", "j1", "kept")).alias("spots"))
     kinds = dict(documents.dtypes)
-    out = ", ".join([f"doc_id {kinds['doc_id']}", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"])
-    done = docs.join(result, ["id", "th"], "left").select("doc_id", *(f"k{i}" for i in range(len(keep))), "text", "spots").mapInArrow(cut_texts(length), out)
+    out = ", ".join([f"doc_id {kinds['doc_id']}", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {}".format("string" if as_text else "binary")])
+    done = docs.join(result, ["id", "th"], "left").select("doc_id", *(f"k{i}" for i in range(len(keep))), "text", "spots").mapInArrow(cut_texts(length, as_text), out)
     return done.select("doc_id", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
