@@ -145,7 +145,7 @@ PLAIN = re.compile(r"[\x21-\x7e]*\Z")
 class Encoder:
     """Ids and decoded text of pieces of text between white space, with a cache of each."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.v = Vocabulary(path)
         self.most = most
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
