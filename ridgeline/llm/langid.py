@@ -221,7 +221,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def language_id(documents: DataFrame, tail: float = 0.999, slack: float = 0.6, short: float = 20.0) -> DataFrame:
+def language_id(documents: DataFrame, tail: float = 0.999, slack: float = 1.2, short: float = 20.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected for every row of ``documents`` (doc_id, text, lang)."""
     learned = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = learned.select("text", "lang").mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
