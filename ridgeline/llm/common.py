@@ -7,6 +7,7 @@ a lost executor costs a re-read and not a lost lineage.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -31,13 +32,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows from here on in this session: texts are long, and a batch is held whole on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Saved:
     """A table that was written to the shared folder; ``drop()`` frees its disk."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{checkpoint_dir(self.spark)}/ridgeline/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # the shuffle files of this write are of no use once it is done
+        try:
+            df.write.parquet(self.path)
+        finally:
+            conf.set(key, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -57,6 +71,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Give memory that is free inside this worker back to the system: idle workers stay around."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def pieces(batches, column: str = "text", most: int = 4 << 20):
     """Slices of Arrow batches that hold about ``most`` bytes of text each (one row at least)."""
     for batch in batches:
@@ -70,6 +93,7 @@ def pieces(batches, column: str = "text", most: int = 4 << 20):
             stop = min(n, max(at + 1, stop))
             yield batch.slice(at, stop - at)
             at = stop
+    tidy()
 
 
 def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
