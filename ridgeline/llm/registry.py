@@ -7,6 +7,7 @@ from . import (
     itq,
     langid,
     minhash,
+    oracles,
     packing,
     quality,
     suffix,
@@ -32,4 +33,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

@@ -153,6 +153,6 @@ def brute(rows: list[tuple], rules=RULES, damping: float = 0.85, rounds: int = 1
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages"))
+    return url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
