@@ -49,6 +49,12 @@ class Lengths:
             del self.n[length]
             self.keys.pop(bisect_left(self.keys, length))
 
+    def put_back(self, length: int) -> None:
+        if length not in self.n:
+            self.n[length] = 0
+            self.keys.insert(bisect_left(self.keys, length), length)
+        self.n[length] += 1
+
     def largest_within(self, room: int) -> int | None:
         at = bisect_left(self.keys, room + 1)
         return self.keys[at - 1] if at else None
@@ -79,37 +85,36 @@ class Lengths:
 def reduce_dominated(lengths: Lengths, size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """(fixed patterns with multiplicities, what is left)."""
     fixed: list[tuple[tuple[int, ...], int]] = []
-    aside: dict[int, int] = {}
-    while lengths.keys:
-        j = lengths.keys[-1]
-        lengths.take(j, 1)  # one of them; the others may be its companions
-        room = size - j
-        k = lengths.largest_within(room)
-        if k is None:
+    for j in lengths.keys[::-1]:  # longer pieces that could not be fixed stay in reach as companions
+        while lengths.n.get(j):
+            lengths.take(j, 1)
+            room = size - j
+            k = lengths.largest_within(room)
             n = 1 + lengths.n.get(j, 0)
-            fixed.append(((j,), n))
-            if n > 1:
-                lengths.take(j, n - 1)
-            continue
-        few = lengths.smallest(3)
-        sure = k == room or len(few) < 2 or sum(few[:2]) > room
-        if not sure:
-            sure = k >= lengths.best_pair(room) and (len(few) < 3 or sum(few) > room)
-        n = 1 + lengths.n.get(j, 0)
-        if not sure:
-            aside[j] = n
-            used = n - 1
-        elif k == j:  # in twos; a last one is judged anew
-            fixed.append(((j, j), n // 2))
-            used = n // 2 * 2 - 1
-        else:
-            m = min(n, lengths.n[k])
-            fixed.append(((j, k), m))
-            lengths.take(k, m)
-            used = m - 1
-        if used:
-            lengths.take(j, used)
-    return fixed, aside
+            if k is None:
+                fixed.append(((j,), n))
+                used = n
+            else:
+                few = lengths.smallest(3)
+                sure = k == room or len(few) < 2 or sum(few[:2]) > room
+                if not sure:
+                    sure = k >= lengths.best_pair(room) and (len(few) < 3 or sum(few) > room)
+                if not sure:
+                    used = 0
+                elif k == j:  # in twos; a last one is judged anew
+                    fixed.append(((j, j), n // 2))
+                    used = n // 2 * 2
+                else:
+                    m = min(n, lengths.n[k])
+                    fixed.append(((j, k), m))
+                    lengths.take(k, m)
+                    used = m
+            if used > 1:
+                lengths.take(j, used - 1)
+            elif not used:
+                lengths.put_back(j)
+                break
+    return fixed, dict(lengths.n)
 
 
 def best_fit(hist: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
