@@ -112,7 +112,7 @@ def fences(rows: DataFrame, low: float, high: float, reach: float, least: int) -
 
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r, _, _ in RATIOS)]
     of_lang = bounds(sketches.groupBy("lang").agg(*merged), "by_lang")
-    of_all = bounds(sketches.groupBy().agg(*merged).withColumn("n", F.lit(least)), "by_all")
+    of_all = bounds(sketches.groupBy().agg(*merged).withColumn("n", F.when(F.col("n") > 0, least)), "by_all")
     own = bounds(sketches, "own").join(of_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("one", F.lit(1)).join(of_all.withColumn("one", F.lit(1)), "one", "left")
     return own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.coalesce("own", "by_lang", "by_all").alias("fence"))
 
