@@ -230,10 +230,12 @@ def language_id(documents: DataFrame, tail: float = 0.999, slack: float = 1.2, s
     docs = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = "doc_id {}, held_out boolean, lang_pred string, score double, entropy double, n_letters long".format(dict(documents.dtypes)["doc_id"])
     scored = Saved(docs.mapInArrow(scorer(model, ["doc_id", "held_out"]), out), "langid").df
-    usual = scored.where("not held_out and n_letters > 0").groupBy(F.col("lang_pred").alias("g")).agg(F.percentile_approx("entropy", F.lit(tail), F.lit(10_000)).alias("usual"))
-    far = F.col("entropy") > F.col("usual") + slack * (1 + short / F.greatest("n_letters", F.lit(1)))
+    usual = scored.where("not held_out and n_letters > 0").groupBy("lang_pred").agg(F.percentile_approx("entropy", F.lit(tail), F.lit(10_000)).alias("usual"))
+    limits = [x for r in usual.collect() for x in (F.lit(r["lang_pred"]), F.lit(r["usual"]))]  # a row a language, as the model has
+    limit = F.create_map(*limits)[F.col("lang_pred")] if limits else F.lit(None).cast("double")
+    far = F.col("entropy") > limit + slack * (1 + short / F.greatest("n_letters", F.lit(1)))
     rejected = (F.col("lang_pred") == "und") | F.coalesce(far, F.lit(False))
-    return scored.join(usual, F.col("lang_pred") == F.col("g"), "left").select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
+    return scored.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
