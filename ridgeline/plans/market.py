@@ -199,6 +199,28 @@ def calendar_last_open(spark, d):
     return out.select(*(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("day", "first_open", "last_open")))
 
 
+@query("""WITH cal AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE isodow(CAST(o_orderdate AS DATE)) <= 5), n AS (SELECT strftime(day, '%Y-%m-%d') AS day, strftime(lead(day) OVER (ORDER BY day), '%Y-%m-%d') AS after FROM cal),
+  s AS (SELECT CAST(o_custkey AS VARCHAR) AS code, if(o_custkey % 5 = 0, NULL, strftime(max(o_orderdate), '%Y-%m-%d')) AS last_ts FROM orders GROUP BY o_custkey),
+  x AS (SELECT code, CASE WHEN last_ts IS NULL THEN '1992-01-01' WHEN n.day IS NULL THEN strftime(CAST(last_ts AS DATE) + 1, '%Y-%m-%d') ELSE after END AS start FROM s LEFT JOIN n ON n.day = last_ts)
+  SELECT code, 'day' AS period, CASE WHEN start <= '1998-06-30' THEN start END AS start FROM x""")
+def sync_next_start(spark, d):
+    from ridgeline.operators import sync
+
+    o = t(spark, d, "orders")
+    last = F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")
+    s = o.groupBy("o_custkey").agg(last.alias("last")).select(F.col("o_custkey").cast("string").alias("code"), F.lit("day").alias("period"), F.when(F.col("o_custkey") % 5 > 0, F.col("last")).alias("last_ts"))
+    cal = o.select(F.to_date("o_orderdate").alias("day")).distinct().where("weekday(day) < 5")
+    return sync.next_start(s, cal, "1992-01-01", "1998-06-30")
+
+
+@query("""SELECT event_type AS period, min(seq) AS at FROM (SELECT event_type, event_id AS seq, row_number() OVER (PARTITION BY event_type, block ORDER BY event_id) AS n FROM (
+  SELECT *, coalesce(sum(if(value > 60, 1, 0)) OVER (PARTITION BY event_type ORDER BY event_id), 0) AS block FROM events) WHERE NOT value > 60) WHERE n = 3 GROUP BY event_type""")
+def sync_circuit_breaker(spark, d):
+    from ridgeline.operators import sync
+
+    return sync.too_many_failures(t(spark, d, "events").select(F.col("event_type").alias("period"), F.col("event_id").alias("seq"), (F.col("value") > 60).alias("ok")), 3)
+
+
 @query()
 def day_binary_import(spark, d):
     """Line-item bars written as 32-byte records and read back through the binary source."""
