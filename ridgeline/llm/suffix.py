@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from . import words as W
-from .common import Saved, pieces, raw_text, release, table
+from .common import Saved, pieces, raw_text, release, small_batches, table
 
 LENGTH, K = 100, 32
 HOT, BATCH, SHARD = 20_000, 40_000, 1 << 14
@@ -128,13 +128,17 @@ def big_words(parts: list[bytes], size: int) -> np.ndarray:
 def earliest(segs: list[bytes], j0: np.ndarray, j1: np.ndarray, length: int) -> np.ndarray:
     """(row, j) of every window that no earlier row holds; rows come in the order of their places."""
     n = len(segs)
-    right = [s[b:] for s, b in zip(segs, j1)]
-    left = [s[:b][::-1] for s, b in zip(segs, j1)]
+    # the anchor itself is one symbol of the strings on the right
+    names: dict[bytes, int] = {}
+    anchor = np.array([names.setdefault(s[b : b + K], len(names)) for s, b in zip(segs, j1)], np.uint64)
+    right = np.column_stack([anchor, big_words([s[b + K :] for s, b in zip(segs, j1)], length - K)])
+    left = big_words([s[:b][::-1] for s, b in zip(segs, j1)], length - K)
     place, cuts = [], []
-    for parts, size in ((right, length), (left, length - K)):
-        words = big_words(parts, max(8, size))
+    for words, head in ((right, K), (left, 0)):
         order, shared = bwt.sorted_strings(words, SHARD)
         common = bwt.common_bytes(words, order, shared)
+        if head:  # past the anchor its 8 bytes stand for K; before its end nothing counts
+            common = np.where(common >= 8, common - 8 + head, 0)
         back = np.empty(n, np.int64)
         back[order] = np.arange(n)
         place.append(back)
@@ -243,6 +247,7 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...
     if length < K + 8:
         raise ValueError(f"length is {K + 8} at least")
     spark = documents.sparkSession
+    small_batches(spark)
     # kept columns travel under names of our own, which cannot clash
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     docs = documents.select("doc_id", *carried, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
