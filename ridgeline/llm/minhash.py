@@ -8,14 +8,17 @@ agree on any key, and linked only if their full sets meet the threshold.
 
 Work is bounded as follows. Equal sets are one class from the start, so copies
 never meet. In each round a bucket emits one pair per member, with a member
-chosen by the round; pairs that components already join are not compared. What
-is then left between different components of a bucket is compared in full, so
-no link is lost to the rounds. Sets are read again only for documents with a
-candidate.
+chosen by the round (the first round uses a few tables, which join most of a
+large group); pairs that components already join are not compared. What is
+then left between different components of a bucket is compared in full, so no
+link is lost to the rounds. Pairs whose sizes or minimum hashes rule the
+threshold out are never emitted; full sets are read again only for documents
+with a candidate.
 
 Missed links: a pair at the threshold agrees in one collection with
 probability t**width; with 14 of 2 it shares no key with a probability of
-2e-4 at 0.75 and 1e-5 at 0.8.
+2e-4 at 0.75 and 1e-5 at 0.8, and agrees on fewer than 12 of 28 minimum hashes
+with 2e-4 and 3e-6.
 
 Defined results. Null or empty text, or no word: an empty set, n_shingles 0,
 linked with nothing, kept. Repeated rows get a result each; rows that share a
@@ -28,14 +31,20 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Saved, components, pieces, raw_text, release, saved, table
+from .common import Saved, components, pieces, raw_text, release, saved, small_batches, table, tidy
 
-SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, mins array<int>"
+#: The lowest bits of a key hold its table's number; the first step uses so many tables, the least that must agree
+#: of all minimum hashes is this share of them.
+TABLE_MASK, FIRST, AGREE = 127, 8, 0.43
+SIGNATURE = "doc_id long, n_shingles long, h1 long, h2 long, mins array<int>, tags array<long>"
+#: Bytes of a tag: the lowest byte of so many minimum hashes.
+TAG = 7
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -56,7 +65,7 @@ def signer(k: int, n: int):
     mul, add = factors(n)
 
     def run(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=1 << 20):
             count, h1, h2, mins = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 count.append(len(s))
@@ -68,7 +77,11 @@ def signer(k: int, n: int):
                 mins.append((low >> W.U(32)).astype(np.uint32).view(np.int32))
             flat = pa.array(np.concatenate(mins))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(mins) + 1, n, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n_shingles", "h1", "h2", "mins"])
+            low = np.zeros((len(mins), -(-n // TAG) * TAG), np.int64)
+            low[:, :n] = np.stack(mins) & 255
+            tags = low.reshape(len(mins), -1, TAG) @ (1 << np.arange(0, 8 * TAG, 8))
+            tags = pa.ListArray.from_arrays(pa.array(np.arange(0, tags.size + 1, tags.shape[1], dtype=np.int32)), pa.array(tags.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists, tags], ["doc_id", "n_shingles", "h1", "h2", "mins", "tags"])
 
     return run
 
@@ -81,6 +94,17 @@ def set_maker(k: int):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Do two sorted sets meet the threshold?"""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def checker(percent: int):
     """Keeps the pairs whose full sets meet the threshold."""
 
@@ -89,54 +113,68 @@ def checker(percent: int):
             a, b = batch.column("sa"), batch.column("sb")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(a[i].as_buffer(), W.U), np.frombuffer(b[i].as_buffer(), W.U)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(np.frombuffer(a[i].as_buffer(), W.U), np.frombuffer(b[i].as_buffer(), W.U), percent)
             yield batch.filter(pa.array(keep)).select(["a", "b"])
+        tidy()
 
     return run
 
 
-def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collections: int = 14, width: int = 2, rounds: int = 2) -> DataFrame:
+def equal_bytes(a, b):
+    """How many of the TAG bytes of two longs are equal."""
+    x, seven = a.bitwiseXOR(b), F.lit(int("7f" * TAG, 16))
+    return TAG - F.bit_count((x.bitwiseAND(seven) + seven).bitwiseOR(x).bitwiseAND(F.lit(int("80" * TAG, 16))))
+
+
+def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collections: int = 14, width: int = 2, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``documents`` (doc_id, text)."""
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = Saved(docs.mapInArrow(signer(k, collections * width), SIGNATURE), "minhash").df
     own = ["n_shingles", "h1", "h2"]
-    reps = Saved(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "classes").df
+    reps = Saved(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("tags").alias("tags")), "classes").df
 
+    n = collections * width
     part = lambda c: F.slice("mins", c * width + 1, width)
-    keys = [F.xxhash64(F.lit(i * collections + j), part(i), part(j)) for i, j in combinations(range(collections), 2)]
-    rows = reps.select("rep", "n_shingles", F.explode(F.array(*keys)).alias("key"))
+    tables = list(combinations(range(collections), 2))
+    # a key's lowest bits say which table it is of
+    keys = [F.xxhash64(F.lit(t), part(i), part(j)).bitwiseAND(F.lit(~TABLE_MASK)).bitwiseOR(F.lit(t)) for t, (i, j) in enumerate(tables)]
+    # each document makes len(tables) rows: spread the documents first
+    rows = reps.select("rep", "mins").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("rep", F.explode(F.array(*keys)).alias("key"))
     # most keys have one member: they go before anything is joined
     full = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     buckets = Saved(rows.join(full, "key", "left_semi"), "buckets").df
     release(spark)
 
-    links = None
-    label = None
-    tried = None
-    for r in range(rounds + 1):
-        members = buckets
+    # each step: the tables that take part, and who is compared
+    steps = [(min(FIRST, len(tables)), "hub"), *((len(tables), "hub") for _ in range(rounds)), (len(tables), "all")]
+    links = label = tried = None
+    for r, (most, kind) in enumerate(steps):
+        members = buckets.where(F.col("key").bitwiseAND(F.lit(TABLE_MASK)) < most) if most < len(tables) else buckets
         if label is not None:
-            members = buckets.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
+            members = members.join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
             split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             members = members.join(split, "key", "left_semi")
         else:
             members = members.withColumn("component", F.col("rep"))
-        if r < rounds:  # one chosen member a bucket
-            order = F.col("rep") if r == 0 else F.xxhash64("rep", F.lit(r))
-            hub = members.groupBy("key").agg(F.min_by(F.struct("rep", "n_shingles", "component"), F.struct(order.alias("o"), "rep")).alias("hub"))
-            pairs = members.join(hub, "key").select("rep", "n_shingles", "component", F.col("hub.rep").alias("to"), F.col("hub.n_shingles").alias("n_to"), F.col("hub.component").alias("c_to"))
-        else:
-            other = members.select("key", F.col("rep").alias("to"), F.col("n_shingles").alias("n_to"), F.col("component").alias("c_to"))
-            pairs = members.join(other, "key").where("rep < to")
-        n, m = F.col("n_shingles"), F.col("n_to")
-        pairs = pairs.where((F.col("component") != F.col("c_to")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-        pairs = pairs.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+        if kind == "all":
+            found = Saved(compare_in_blocks(docs, members.select("key", "rep", "component"), reps, k, percent, int(AGREE * n)), "links").df
+            links = found if links is None else links.union(found)
+            label = components(links)
+            break
+        tags = [F.col("tags")[i].alias(f"tag{i}") for i in range(-(-n // TAG))]
+        members = members.join(reps.select("rep", "n_shingles", *tags), "rep")
+        facts = ["rep", "n_shingles", "component", *(f"tag{i}" for i in range(len(tags)))]
+        x, y = F.struct(*facts).alias("x"), F.struct(*facts).alias("y")
+        # one chosen member a bucket: first the smallest id, which copies are often copies of
+        hub = members.select("key", y).groupBy("key").agg(F.min_by("y", F.col("y.rep") if r == 0 else F.xxhash64("y.rep", F.lit(r))).alias("y"))
+        met = members.select("key", x).join(hub, "key")
+        # sizes and minimum hashes settle most pairs before a full set is read
+        alike = sum((equal_bytes(F.col(f"x.tag{i}"), F.col(f"y.tag{i}")) for i in range(len(tags))), F.lit(n - TAG * len(tags)))
+        sizes = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+        met = met.where((F.col("x.component") != F.col("y.component")) & sizes & (alike >= int(AGREE * n)))
+        pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = Saved(pairs, "pairs").df
@@ -144,7 +182,6 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
             continue
         tried = pairs if tried is None else tried.union(pairs)
         found = Saved(verify(docs, pairs, k, percent), "links").df
-        release(spark)
         links = found if links is None else links.union(found)
         label = components(links)
     if label is None:
@@ -154,14 +191,74 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Candidates are first sought by the slot of their id: a table of at most so many rows, which may be broadcast.
+SLOTS = 1 << 20
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles of the documents of ``ids`` (doc_id); texts of others are not shuffled, or few of them."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    slots = ids.select(slot.alias("slot")).distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")
+    return saved(near.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(set_maker(k), "doc_id long, shingles binary"), "sets")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(set_maker(k), "doc_id long, shingles binary"), "sets")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(checker(percent), "a long, b long")
 
 
+def compare_in_blocks(docs: DataFrame, members: DataFrame, reps: DataFrame, k: int, percent: int, agree: int, size: int = 512) -> DataFrame:
+    """Links (a, b) between the different components of each bucket of ``members`` (key, rep, component).
+
+    Buckets that share members form a group; its documents fall into blocks,
+    and a task's group is a pair of blocks that gets each document once and
+    returns a spanning forest of the links, so no pair is ever a row.
+    """
+    members = Saved(members, "open").df
+    hub = members.groupBy("key").agg(F.min("rep").alias("hub"))
+    group = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "groups").toDF("rep", "grp")
+    own = members.select("rep", "component").distinct().join(group, "rep").join(reps.select("rep", "n_shingles", "mins"), "rep")
+    sets = sets_of(docs, members.select(F.col("rep").alias("doc_id")).distinct(), k)
+    own = own.join(sets.toDF("rep", "shingles"), "rep")
+    blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    own = own.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meet = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("grp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "component", "n_shingles", "mins", "shingles")
+
+    def run(pdf):
+        pdf = pdf.sort_values("rep")
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        rep, comp, count = (pdf[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        mins = np.stack(pdf["mins"].to_numpy())
+        held = [np.frombuffer(x, W.U) for x in pdf["shingles"]]
+        first = np.flatnonzero(pdf["own"].to_numpy() == i)
+        second = np.flatnonzero(pdf["own"].to_numpy() == j)
+        top: dict[int, int] = {}
+
+        def root(x):
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        out = []
+        for x in first:
+            y = second[second > x] if i == j else second
+            y = y[(comp[y] != comp[x]) & (100 * np.minimum(count[y], count[x]) >= percent * np.maximum(count[y], count[x]))]
+            y = y[(mins[y] == mins[x]).sum(axis=1) >= agree]
+            for z in y:
+                p, q = root(comp[x]), root(comp[z])
+                if p != q and similar(held[x], held[z], percent):
+                    top[max(p, q)] = min(p, q)
+                    out.append((min(rep[x], rep[z]), max(rep[x], rep[z])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return meet.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"))
 
