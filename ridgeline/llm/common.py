@@ -110,26 +110,25 @@ def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
-    Minimum labels travel along the links and are then shortened through the
-    label of the label, so the rounds grow with the logarithm of a chain. The
-    driver sees one sum a round. Self-links count as nodes; nulls are ignored.
-    An empty input gives an empty result.
+    In each round a node joins its smallest neighbour, and that one's choice in
+    turn; the links are then drawn between what is left, each once, so they
+    shrink from round to round. The smallest node of a component never joins
+    another, so it is the one that stays. Self-links count as nodes; nulls are
+    ignored. An empty input gives an empty result.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).dropna()
-    links = Saved(e.union(e.select("b", "a")).distinct(), f"{tag}-links")
-    label = Saved(links.df.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), tag)
-    total = F.sum(F.col("component").cast("decimal(38,0)"))
-    last = label.df.agg(total).first()[0]
-    while last is not None:
-        near = links.df.join(label.df.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = label.df.join(near, "node").select("node", F.least("component", "near").alias("up"))
-        up = label.df.select(F.col("node").alias("up"), F.col("component").alias("top"))
-        new = Saved(step.join(up, "up").select("node", F.least("up", "top").alias("component")), tag)
-        now = new.df.agg(total).first()[0]
-        label.drop()
-        label = new
-        if now == last:
-            break
-        last = now
+    links = Saved(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-links")
+    label = Saved(links.df.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), tag)
+    while not (left := links.df.where("a < b")).isEmpty():
+        near = left.union(left.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("p")).select("v", F.least("v", "p").alias("p"))
+        top = near.select(F.col("v").alias("p"), F.col("p").alias("q"))
+        step = Saved(near.join(top, "p").select("v", "q"), f"{tag}-step")
+        ends = [step.df.select(F.col("v").alias(c), F.col("q").alias(f"q_{c}")) for c in ("a", "b")]
+        drawn = left.join(ends[0], "a").join(ends[1], "b").where("q_a <> q_b")
+        new_links = Saved(drawn.select(F.least("q_a", "q_b").alias("a"), F.greatest("q_a", "q_b").alias("b")).distinct(), f"{tag}-links")
+        new_label = Saved(label.df.join(step.df, F.col("component") == F.col("v"), "left").select("node", F.coalesce("q", "component").alias("component")), tag)
+        for old in (links, label, step):
+            old.drop()
+        links, label = new_links, new_label
     links.drop()
     return label.df
