@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Saved, pieces, release, table
+from .common import Saved, pieces, release, small_batches, table
 
 ORDER, BITS = 4, 6
 SIZE = 1 << BITS
@@ -223,6 +223,7 @@ def held_out(doc_id) -> F.Column:
 
 def language_id(documents: DataFrame, tail: float = 0.999, slack: float = 1.2, short: float = 20.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected for every row of ``documents`` (doc_id, text, lang)."""
+    small_batches(documents.sparkSession)
     learned = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = learned.select("text", "lang").mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = Model(counts.toPandas())  # at most 2**24 rows a language

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LibraryEncoder, encoder, texts, word_bpe
-from .common import Saved, pieces, table
+from .common import Saved, pieces, small_batches, table
 
 SIZE = 2048
 
@@ -191,6 +191,7 @@ def cut(path: str, end: int, size: int):
 def pack(documents: DataFrame, vocabulary: str | None = None, end: int = 0, size: int = SIZE, buckets: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``documents`` (doc_id, text)."""
     spark = documents.sparkSession
+    small_batches(spark)
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", "text").mapInArrow(cut(vocabulary or word_bpe(), end, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     parts = Saved(rows, "pieces").df

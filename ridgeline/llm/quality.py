@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Saved, pieces, raw_text, table
+from .common import Saved, pieces, raw_text, small_batches, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The contract's symbols.
@@ -119,6 +119,7 @@ def fences(rows: DataFrame, low: float, high: float, reach: float, least: int) -
 
 def quality_rules(documents: DataFrame, low: float = 0.1, high: float = 0.9, reach: float = 3.0, least: int = 100) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the ratios for every row of ``documents``."""
+    small_batches(documents.sparkSession)
     counted = Saved(base_counts(documents, ["doc_id", "lang", "source"]), "counts").df
     n = F.greatest("n_words", F.lit(1))
     rows = counted.select(

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import rangecoder
 from .bpe import LibraryEncoder, encoder, texts, word_bpe
-from .common import Saved, pieces, table
+from .common import Saved, pieces, small_batches, table
 
 END = 2
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
@@ -80,6 +80,7 @@ def reader(batches):
 
 def write_tokens(documents: DataFrame, vocabulary: str | None = None, end: int = END, segment: int = SEGMENT) -> Saved:
     """The token files of ``documents`` (doc_id, text), in ascending order of doc_id."""
+    small_batches(documents.sparkSession)
     ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id")
     return Saved(ordered.mapInArrow(writer(vocabulary or word_bpe(), end, segment), "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"), "tokens")
 
