@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -117,29 +118,32 @@ class Vocabulary:
             self.pairs[key] = got
         return got
 
+    def last_tokens(self, s: str) -> tuple[list[int], list[int]]:
+        """The last token of the encoding of each prefix of ``s``, and its length; -1 where there is none."""
+        last, size = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        for end, (token, length) in self.automaton.iter(s):
+            p = end + 1
+            if last[p] < 0:
+                q = p - length
+                if q == 0 or (last[q] >= 0 and self.compatible(last[q], token)):
+                    last[p], size[p] = token, length
+        return last, size
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as characters below 256 for its bytes."""
         s = word + END
-        n = len(s)
-        last = [-1] * (n + 1)  # the last token of each prefix
-        size = [0] * (n + 1)
-        for end, (token, length) in self.automaton.iter(s):
-            p = end + 1
-            if last[p] >= 0:
-                continue
-            q = p - length
-            if q == 0 or (last[q] >= 0 and self.compatible(last[q], token)):
-                last[p], size[p] = token, length
-        out = []
-        p = n
+        last, size = self.last_tokens(s)
+        out, p = [], len(s)
         while p > 0:
             out.append(last[p])
             p -= size[p]
         return out[::-1]
 
 
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-PLAIN = re.compile(r"[\x21-\x7e]*\Z")
+# Text of printable ASCII and the letters of Latin-1 has one form (NFC) and one lower case everywhere: its words are
+# found here. All other text goes through the library's normaliser and pre-tokeniser.
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*\Z")
 
 
 class Encoder:
@@ -162,9 +166,10 @@ class Encoder:
         return got
 
     def split(self, text: str):
-        """The words of a piece of text, as characters for bytes; the library's own rules where it is not plain ASCII."""
+        """The words of a piece of text, as characters for bytes."""
         if PLAIN.match(text):
-            return ASCII_WORDS.findall(text.lower())
+            words = LATIN_WORDS.findall(text.lower())
+            return words if text.isascii() else [w.encode().decode("latin-1") for w in words]
         back = {c: chr(b) for b, c in self.v.byte_char.items()}
         lib = self.v.library
         return ["".join(back[c] for c in w) for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
@@ -193,24 +198,51 @@ class Encoder:
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, which sees each piece between white space once."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         with open(path, encoding="utf-8") as f:
             self.lib = Tokenizer.from_str(f.read())
         self.lib.no_truncation()
         self.lib.no_padding()
         self.most = most
         self.cache: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chars = {b: c for b, c in byte_chars().items() if b > 126}
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Caches the ids of new pieces; pieces that differ in case or punctuation share their words.
+
+        Words of plain text need no normaliser any more: the library's model takes them as they are.
+        """
+        model, words, whole = self.lib.model, self.words, []
+        for c in chunks:
+            text = c.decode("utf-8", "replace")
+            if "<|" in text or not PLAIN.match(text):
+                whole.append(c)
+                continue
+            ids = []
+            for w in LATIN_WORDS.findall(text.lower()):
+                got = words.get(w)
+                if got is None:
+                    raw = w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
+                    got = words[w] = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
+                ids.append(got)
+            self.cache[c] = ids[0] if len(ids) == 1 else b"".join(ids)
+        for at in range(0, len(whole), 4096):
+            part = whole[at : at + 4096]
+            for c, e in zip(part, self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
+                self.cache[c] = array("I", e.ids).tobytes()
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]
         if len(self.cache) >= self.most:
             self.cache.clear()
-        new = list({c for s in split for c in s if c not in self.cache})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.lib.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self.words) >= self.most:
+            self.words.clear()
+        new: set[bytes] = set()
+        for s in split:
+            new.update(s)
+        self.learn([c for c in new if c not in self.cache])
         get = self.cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
