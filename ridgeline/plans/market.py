@@ -232,8 +232,10 @@ def day_binary_import(spark, d):
     from ridgeline.sources import bars
 
     rows = bars.lineitem_bars(spark, d).where("code IN ('A', 'N')").toPandas().sort_values(["code", "ts"])
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    root = tempfile.mkdtemp(prefix="ridgeline-day-", dir=base.removeprefix("file://") if base and "://" not in base.removeprefix("file://") else None)
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if base.startswith("/"):  # the shared folder, where it is a path that this process can write to
+        os.makedirs(base, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="ridgeline-day-", dir=base if base.startswith("/") else None)
     for code, g in rows.groupby("code"):
         r = np.zeros(len(g), files.DAY)
         r["date"] = g["ts"].str.replace("-", "").astype(int)
