@@ -369,3 +369,19 @@ def test_labels_outside_the_learning_rows_change_nothing(spark, tiny):
     a = {r["doc_id"]: r["score"] for r in toxicity.toxicity(d, l).collect()}
     flip = l.withColumn("toxic", __import__("pyspark.sql.functions", fromlist=["when"]).when(toxicity.held_out(l["doc_id"]), 1 - l["toxic"]).otherwise(l["toxic"]))
     assert a == {r["doc_id"]: r["score"] for r in toxicity.toxicity(d.withColumn("lang", d["source"]), flip).collect()}
+
+
+def test_toxicity_keeps_words_apart(spark):
+    """A word that no label has seen brings no evidence, though the first 19 bits of its hash are those of a toxic word."""
+    r, seen = random.Random(4), {}
+    while True:
+        w = "".join(r.choice("bcdfghjklm") for _ in range(12))
+        data = np.frombuffer(w.encode(), np.uint8)
+        slot = int(toxicity.W.span_hashes(data, np.array([0]), np.array([12]))[0] >> np.uint64(45))
+        if seen.setdefault(slot, w) != w:
+            break
+    toxic, unseen = seen[slot], w
+    rows = [(i, f"one two three {toxic if i % 2 else 'four'} five") for i in range(40)] + [(100, unseen), (101, toxic)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect()}
+    assert got[100] == 0 and got[101] > 1
