@@ -281,10 +281,10 @@ def backtest_metrics_by_signal(spark, d):
 
 @query()
 def backtest_signals(spark, d):
-    """The signal strategy over what each bar shows for the first time, up to a date (each bar is a recomputation)."""
+    """The signal strategy over what each bar shows for the first time."""
     from ridgeline.operators import backtest
 
-    b = structure.as_of(walk(spark, d), "1996-06-30")
+    b = walk(spark, d)
     causes = backtest.visible_signals(b, mode="loose").select(F.lit("all").alias("run"), "code", "ts", "kind", "seq")
     bars = b.select(F.lit("all").alias("run"), "code", "ts", (F.col("open") / 1e9).alias("open"), (F.col("close") / 1e9).alias("close"))
     return layer(backtest.backtest(bars, causes, "signals"), "equity").select("run", "ts", r(F.col("equity"), 4).alias("equity"))

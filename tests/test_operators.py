@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions import codes
-from ridgeline.operators import adjust, backtest, clean, meta, pit, quality, scan, structure
+from ridgeline.operators import adjust, backtest, clean, kernel, meta, pit, quality, scan, structure
+from ridgeline.plans import structural
 from ridgeline.sources import bars, files, sinks
 
 
@@ -238,3 +239,27 @@ def test_visible_signals_see_no_future(spark, tiny):
     cut = "1996-06-30"
     poison = b.withColumn("high", F.when(F.col("ts") > cut, F.col("high") * 3).otherwise(F.col("high")))
     assert rows(got.where(F.col("ts") <= cut)) == rows(backtest.visible_signals(poison, mode="loose").where(F.col("ts") <= cut))
+
+
+def walks(spark, tiny):
+    """code, and its bars in order of ts, of the order walk."""
+    b = bars.order_walk_bars(spark, tiny).toPandas().sort_values(["code", "ts"])
+    return [(code, g["ts"].tolist(), *(g[c].astype(float).tolist() for c in ("open", "high", "low", "close"))) for code, g in b.groupby("code")]
+
+
+def test_backtest_signals_replays_every_bar(spark, tiny):
+    """Against a replay that analyses every prefix of every series, to the last bar."""
+    opened, causes = [], []
+    for code, ts, open_, high, low, close in walks(spark, tiny):
+        seen = set()
+        for n in range(1, len(ts) + 1):
+            found = [g for g in kernel.analyse(high[:n], low[:n], close[:n], "day", "loose").signals if g.status == kernel.CONFIRMED]
+            fresh = {(g.kind, ts[g.src], round(g.price, 4)): g.kind for g in found if (g.kind, ts[g.src], round(g.price, 4)) not in seen}
+            seen |= set(fresh)
+            causes += [(code, ts[n - 1], k, i) for i, k in enumerate(fresh.values()) if n > 1]
+        opened += [(code, t, o / 1e9, c / 1e9) for t, o, c in zip(ts, open_, close)]
+    opened, causes = pd.DataFrame(opened, columns=["code", "ts", "open", "close"]), pd.DataFrame(causes, columns=["code", "ts", "kind", "seq"])
+    want = backtest.run_ledger(opened, causes, backtest.signal_strategy(), 100_000.0)["equity"]
+    got = structural.QUERIES["backtest_signals"](spark, tiny).toPandas().sort_values("ts")
+    assert got["ts"].tolist() == sorted(opened["ts"].unique()) and got["ts"].max() > "2001"
+    assert got["equity"].tolist() == pytest.approx([x["equity"] for x in want], abs=1e-3)
