@@ -41,9 +41,9 @@ def reconcile(prev: DataFrame, new: DataFrame, keys: list[str], as_of: str) -> D
     return both.select(*(F.when(gone, F.col(f"o_{k}")).otherwise(F.col(k)).alias(k) for k in keys), status.alias("status"), known.alias("confirmed_at"))
 
 
-def first_visible(seen: DataFrame, keys: list[str], time: str = "checkpoint") -> DataFrame:
-    """When each object first shows, without those that the first time of its series shows already."""
-    start = seen.groupBy(F.col("code").alias("s_code")).agg(F.min(time).alias("start"))
+def first_visible(seen: DataFrame, bars: DataFrame, keys: list[str], time: str = "checkpoint") -> DataFrame:
+    """When each object first shows, without those that the first bar of its series shows already."""
+    start = bars.groupBy(F.col("code").alias("s_code")).agg(F.min("ts").alias("start"))
     first = seen.groupBy(*keys).agg(F.min(time).alias("first_visible"))
     return first.join(start, F.col("code") == F.col("s_code")).where(F.col("first_visible") > F.col("start")).select(*keys, "first_visible")
 

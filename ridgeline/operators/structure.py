@@ -113,6 +113,31 @@ def checkpoints(bars: DataFrame, step: int, level: str = "day", mode: str = "str
     return need.groupBy("code").applyInPandas(run, "code string, checkpoint string, kind string, src_start int, src_end int, ts string, price double, status string")
 
 
+def showings(bars: DataFrame, level: str = "day", mode: str = "strict") -> DataFrame:
+    """Signals, whatever their status, at the bar that first shows them: (code, kind, src_start, src_end, checkpoint).
+
+    Each bar sees only the bars up to it. A bar that leaves the strokes as they
+    were shows what the one before does, so signals are sought only when they change.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        ts, high, low, close = (pdf[c].tolist() for c in ("ts", "high", "low", "close"))
+        seen: dict = {}
+        before = None
+        for n in range(1, len(ts) + 1):
+            strokes = kernel.build_strokes(kernel.find_fractals(kernel.merge_bars(high[:n], low[:n]), high, low))
+            if strokes == before:
+                continue
+            before = strokes
+            for g in kernel.analyse(high[:n], low[:n], close[:n], level, mode).signals:
+                seen.setdefault((g.kind, g.src_start, g.src_end), ts[n - 1])
+        return pd.DataFrame([(pdf["code"].iloc[0], *k, t) for k, t in seen.items()], columns=["code", "kind", "src_start", "src_end", "checkpoint"])
+
+    need = bars.select("code", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
+    return need.groupBy("code").applyInPandas(run, "code string, kind string, src_start int, src_end int, checkpoint string")
+
+
 def trail(seen: DataFrame, marks: DataFrame) -> DataFrame:
     """The life of each signal: first and last checkpoint that shows it, and the one that no longer does.
 

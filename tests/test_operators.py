@@ -263,3 +263,23 @@ def test_backtest_signals_replays_every_bar(spark, tiny):
     got = structural.QUERIES["backtest_signals"](spark, tiny).toPandas().sort_values("ts")
     assert got["ts"].tolist() == sorted(opened["ts"].unique()) and got["ts"].max() > "2001"
     assert got["equity"].tolist() == pytest.approx([x["equity"] for x in want], abs=1e-3)
+
+
+def test_first_visible_signals_look_at_every_bar(spark, tiny):
+    """Against an analysis of every prefix; only what the first bar shows is left out."""
+    want = set()
+    for code, ts, _, high, low, close in walks(spark, tiny):
+        seen = {}
+        for n in range(1, len(ts) + 1):
+            for g in kernel.analyse(high[:n], low[:n], close[:n], "day", "loose").signals:
+                seen.setdefault((code, g.kind, g.src_start, g.src_end), ts[n - 1])
+        want |= {(*k, t) for k, t in seen.items() if t > ts[0]}
+    got = structural.QUERIES["first_visible_signals"](spark, tiny)
+    assert want and rows(got) == sorted(want)
+
+
+def test_first_visible_primes_with_the_first_bar(spark):
+    """What the first checkpoint with a signal shows is new, unless it is the series' first bar."""
+    seen = spark.createDataFrame([("a", "x", "2"), ("a", "y", "3"), ("a", "x", "3"), ("b", "x", "1")], "code string, kind string, checkpoint string")
+    b = spark.createDataFrame([(c, t) for c in "ab" for t in "123"], "code string, ts string")
+    assert rows(pit.first_visible(seen, b, ["code", "kind"])) == [("a", "x", "2"), ("a", "y", "3")]
