@@ -223,7 +223,7 @@ def sync_circuit_breaker(spark, d):
 
 @query()
 def day_binary_import(spark, d):
-    """Line-item bars written as 32-byte records and read back through the binary source."""
+    """Line-item bars written as 32-byte records, a file a code, and read back through the binary source."""
     import os
     import tempfile
 
@@ -231,18 +231,25 @@ def day_binary_import(spark, d):
 
     from ridgeline.sources import bars
 
-    rows = bars.lineitem_bars(spark, d).where("code IN ('A', 'N')").toPandas().sort_values(["code", "ts"])
     base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
     if base.startswith("/"):  # the shared folder, where it is a path that this process can write to
         os.makedirs(base, exist_ok=True)
     root = tempfile.mkdtemp(prefix="ridgeline-day-", dir=base if base.startswith("/") else None)
-    for code, g in rows.groupby("code"):
+    os.makedirs(f"{root}/sh/lday")
+
+    def write(g):
+        g = g.sort_values("ts")
         r = np.zeros(len(g), files.DAY)
         r["date"] = g["ts"].str.replace("-", "").astype(int)
         for c in ("open", "high", "low", "close"):
             r[c] = g[c].astype("int64")
         r["volume"] = g["volume"]
-        os.makedirs(f"{root}/sh/lday", exist_ok=True)
-        with open(f"{root}/sh/lday/sh60000{ord(code) % 10}.day", "wb") as f:
+        name = f"{root}/sh/lday/sh60000{ord(g['code'].iloc[0]) % 10}.day"
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        with tempfile.NamedTemporaryFile(dir=os.path.dirname(name), delete=False) as f:  # a task that runs twice leaves one file
             f.write(r.tobytes())
+        os.replace(f.name, name)
+        return g[["code"]].head(1)
+
+    bars.lineitem_bars(spark, d).select("code", "ts", "open", "high", "low", "close", "volume").groupBy("code").applyInPandas(write, "code string").collect()
     return files.read_packages(spark, f"file://{root}").select("code", "period", "ts", "open", "high", "low", "close", "volume", "error")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import codes
 from ridgeline.operators import adjust, backtest, clean, kernel, meta, pit, quality, scan, structure
-from ridgeline.plans import structural
+from ridgeline.plans import market, structural
 from ridgeline.sources import bars, files, sinks
 
 
@@ -283,3 +283,11 @@ def test_first_visible_primes_with_the_first_bar(spark):
     seen = spark.createDataFrame([("a", "x", "2"), ("a", "y", "3"), ("a", "x", "3"), ("b", "x", "1")], "code string, kind string, checkpoint string")
     b = spark.createDataFrame([(c, t) for c in "ab" for t in "123"], "code string, ts string")
     assert rows(pit.first_visible(seen, b, ["code", "kind"])) == [("a", "x", "2"), ("a", "y", "3")]
+
+
+def test_day_binary_import_holds_every_code(spark, tiny):
+    """Every line-item bar comes back: prices in units, codes by their file's digits."""
+    want = [(f"60000{ord(x['code']) % 10}", x["ts"], *(int(x[c]) / 100 for c in ("open", "high", "low", "close")), float(x["volume"])) for x in bars.lineitem_bars(spark, tiny).collect()]
+    got = market.QUERIES["day_binary_import"](spark, tiny)
+    assert got.where("error is not null").count() == 0
+    assert len({x[0] for x in want}) == 3 and rows(got, "code", "ts", "open", "high", "low", "close", "volume") == sorted(want)
