@@ -385,3 +385,13 @@ def test_toxicity_keeps_words_apart(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect()}
     assert got[100] == 0 and got[101] > 1
+
+
+def test_toxicity_counts_every_occurrence(spark):
+    """200 of 1,000 words carry a fifth of what the word carries alone; the others bring nothing."""
+    rows = [(i, f"one two three {'zorgly' if i % 2 else 'four'} five") for i in range(40)]
+    rest = ["".join(chr(98 + int(c)) for c in f"{i:03d}") + "q" for i in range(800)]
+    rows += [(100, " ".join(["zorgly"] * 200 + rest)), (101, "zorgly")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect()}
+    assert got[101] > 1 and got[100] == pytest.approx(got[101] / 5)
