@@ -166,12 +166,12 @@ def code_normalize(spark, d):
   SELECT p_partkey, market, substr(digits, 1, 3) = CASE market WHEN 'sh' THEN '000' WHEN 'sz' THEN '399' WHEN 'bj' THEN '899' END AS is_index,
     said IS NOT NULL OR own IS NOT NULL OR substr(digits, 1, 1) IN ('0', '1') AS is_a_share FROM k""")
 def market_predicates(spark, d):
-    c = _codes(spark, d).where("p_partkey % 6 < 4")
+    c = _codes(spark, d)
     e = F.lower(F.trim("text"))
-    digits = F.regexp_extract(e, "([0-9]{6})", 1)
-    said = F.regexp_extract(e, "(sh|sz|bj)", 1)
-    key = F.when(said == "", digits).otherwise(F.concat(said, F.lit("."), digits))
-    k = c.select("p_partkey", key.alias("key"))
+    head, digits, tail = (F.regexp_extract(e, r"^(sh|sz|bj)?\.?([0-9]{6})(?:\.(sh|sz|bj))?$", n) for n in (1, 2, 3))
+    said = F.concat(head, tail)
+    key = F.when((digits == "") | ((head != "") & (tail != "")), None).when(said == "", digits).otherwise(F.concat(said, F.lit("."), digits))
+    k = c.select("p_partkey", key.alias("key")).where("key is not null")
     return k.select("p_partkey", codes.market_of(F.col("key")).alias("market"), codes.is_index(F.col("key")).alias("is_index"), codes.is_a_share(F.col("key")).alias("is_a_share"))
 
 

@@ -291,3 +291,10 @@ def test_day_binary_import_holds_every_code(spark, tiny):
     got = market.QUERIES["day_binary_import"](spark, tiny)
     assert got.where("error is not null").count() == 0
     assert len({x[0] for x in want}) == 3 and rows(got, "code", "ts", "open", "high", "low", "close", "volume") == sorted(want)
+
+
+def test_market_predicates_take_every_row(spark, tiny, monkeypatch):
+    """Rows go by their spelling, not by their part key's residue."""
+    given = spark.createDataFrame([(4, "sh600000"), (5, " 000001.SZ"), (10, "sh.600000.sz"), (11, "x600000"), (0, "600000")], "p_partkey long, text string")
+    monkeypatch.setattr(market, "_codes", lambda spark, d: given)
+    assert rows(market.QUERIES["market_predicates"](spark, tiny), "p_partkey", "market") == [(0, "sh"), (4, "sh"), (5, "sz")]
