@@ -4,11 +4,15 @@ A block is a run of ids coded on its own: its model starts afresh and a CRC-32
 guards its ids. Its header lists the distinct ids; the coder works on their
 ranks ("symbols"). Three predictions are mixed for each symbol:
 
-* order 2 and order 1 name one symbol each, from tables over the last two and
-  the last symbol, with a confidence that grows with every hit; how far a
-  confidence is trusted is itself learned from hits and misses;
-* order 0 gives the rest of the probability to all symbols by their counts so
-  far, refreshed at doubling intervals and then every ``REFRESH`` symbols.
+* order 2 and order 1 name one symbol each, the one that followed the last two
+  (the last) symbols before, with a confidence that grows with every hit; how
+  far a confidence is trusted is itself learned from hits and misses;
+* order 0 gives the rest of the probability to all symbols by their counts.
+
+Counts and trust are learned all the time and take effect at doubling
+intervals, then every ``REFRESH`` symbols. A symbol's interval is that of the
+first prediction that names it, so a decoder looks at the two named symbols
+first and finds all others by one look into a table of order 0's slots.
 
 The mix drives a carryless range coder of 64-bit state and 32-bit output
 words. Blocks are independent, so numpy codes one symbol of every block at a
@@ -22,84 +26,128 @@ import zlib
 
 import numpy as np
 
-BLOCK, LANES = 8192, 512
-TOTAL, SCALE, REFRESH = 24, 17, 1024
-#: What the named symbols share; the rest always is order 0's, so that every symbol has an interval.
-NAMED = (1 << TOTAL) - (1 << SCALE)
-SLOTS2 = 1 << 13
+BLOCK, LANES = 4096, 1024
+#: Bits of a mixed probability, of a trust, and the bits of order 0's slots.
+TOTAL, TRUST, SLOTS_LEAST, SLOTS_MOST = 16, 12, 10, 14
+REFRESH = 1024
+SLOTS2 = 1 << 12
 TOP = np.uint64(1 << 32)
 LOW32 = np.uint64((1 << 32) - 1)
-MAGIC = b"RLTK\x01"
+WORD = np.uint64(32)
+MAGIC = b"RLTK\x02"
+HEAD = "<QIIII"
 
 
 class Models:
     """The predictions of k blocks; every array has a row for each block, and shorter blocks come last."""
 
-    def __init__(self, sizes: np.ndarray):
+    def __init__(self, sizes: np.ndarray, decoding: bool):
         k, self.m = len(sizes), int(sizes.max())
-        self.sizes = sizes
+        self.sizes, self.decoding = sizes.astype(np.int64), decoding
+        lane = np.arange(k, dtype=np.int64)
+        bits = np.clip(np.ceil(np.log2(4.0 * sizes)), SLOTS_LEAST, SLOTS_MOST).astype(np.uint32)
+        self.bits, self.slots = bits, 1 << int(bits.max())
+        self.named = (np.uint32(1 << TOTAL) - (np.uint32(1) << bits)).astype(np.uint32)  # order 0 keeps a part for every slot
         self.counts = (np.arange(self.m) < sizes[:, None]).astype(np.int64)
-        self.cum = np.zeros((k, self.m + 1), np.int64)
-        self.refresh()
-        self.t1 = np.zeros(k * (self.m + 1), np.int64)
-        self.t2 = np.zeros(k * SLOTS2, np.int64)
-        self.q = [np.tile(np.linspace(6000, 60000, 8).astype(np.int64), k) for _ in range(2)]  # trust by confidence, of 2**16
-        lane = np.arange(k)
-        self.at1, self.at2, self.at_q, self.at_c = lane * (self.m + 1), lane * SLOTS2, lane * 8, lane * (self.m + 1)
+        self.t1 = np.zeros(k * (self.m + 1), np.int32)
+        self.t2 = np.zeros(k * SLOTS2, np.int32)
+        self.at1, self.at2, self.at_q, self.at_s, self.at_m = lane * (self.m + 1), lane * SLOTS2, lane * 8, lane * self.slots, lane * self.m
+        # hits and tries of a confidence, for each block and order
+        self.tries = np.zeros((2, k, 8))
+        self.hits = np.zeros((2, k, 8))
         self.prev1 = np.full(k, self.m, np.int64)
         self.prev2 = np.full(k, self.m, np.int64)
-        self.step = 0
+        self.step, self.next = 0, 64
+        self.seen: list[tuple] = []
+        self.renew()
 
-    def refresh(self) -> None:
-        """Order-0 intervals from the counts; every symbol keeps at least one part of 2**SCALE."""
+    def renew(self) -> None:
+        """Order-0 intervals and trusts from what was counted so far."""
+        k = len(self.sizes)
+        if self.seen:
+            for order in (0, 1):
+                key = np.concatenate([s[order] for s in self.seen])
+                tried = np.bincount(key, minlength=16 * k).reshape(k, 8, 2)
+                self.hits[order] += tried[:, :, 1]
+                self.tries[order] += tried.sum(axis=2)
+            sym = np.concatenate([s[2] for s in self.seen])
+            self.counts += 24 * np.bincount(sym, minlength=k * self.m).reshape(k, self.m)
+            self.seen.clear()
+        guess = np.linspace(0.1, 0.9, 8)
+        # from 1/256 to 63/64, so that no interval is empty
+        self.trust = np.maximum((self.hits + 2 * guess) / (self.tries + 2) * ((1 << TRUST) - 64), 16).astype(np.uint32).reshape(2, -1)
+        # the parts of each symbol, one slot at least, as start << 16 | size
         sums = np.cumsum(self.counts, axis=1)
-        room = (1 << SCALE) - self.sizes
+        room = (1 << self.bits.astype(np.int64)) - self.sizes
         rank = np.minimum(np.arange(1, self.m + 1), self.sizes[:, None])
-        self.cum[:, 1:] = sums * room[:, None] // sums[:, -1:] + rank
+        cum = np.zeros((k, self.m + 1), np.int64)
+        cum[:, 1:] = np.floor(sums * (room / sums[:, -1])[:, None] + 1e-6).astype(np.int64) + rank
+        size = np.diff(cum, axis=1)
+        self.parts = (cum[:, :-1] << 16 | size).astype(np.uint32).reshape(-1)
+        if self.decoding:
+            fill = np.zeros((k, self.slots), np.uint16)
+            own = np.arange(self.slots) < (1 << self.bits.astype(np.int64))[:, None]
+            fill[own] = np.repeat(np.tile(np.arange(self.m, dtype=np.uint16), k), size.reshape(-1))
+            self.slot = fill.reshape(-1)
 
     def predict(self, k: int) -> None:
-        """p1, p2 and the weights w0, w1, w2 of the first k blocks."""
-        self.i1 = self.at1[:k] + self.prev1[:k]
-        self.i2 = self.at2[:k] + ((self.prev1[:k] * 40503 + self.prev2[:k] * 10007) & (SLOTS2 - 1))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.j1, self.j2 = self.at_q[:k] + (self.e1 & 7), self.at_q[:k] + (self.e2 & 7)
-        self.w2 = (NAMED * self.q[1][self.j2]) >> 16
-        self.w1 = ((NAMED - self.w2) * self.q[0][self.j1]) >> 16
-        self.w0 = (1 << TOTAL) - self.w1 - self.w2
+        """The symbols that order 2 and 1 name, and the weights: ``a`` of order 2's, ``b`` of order 1's, ``rest`` of order 0."""
+        p1, p2 = self.prev1[:k], self.prev2[:k]
+        self.i1 = self.at1[:k] + p1
+        self.i2 = self.at2[:k] + ((p1 * 40503 + p2 * 10007) & (SLOTS2 - 1))
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
+        self.s1, self.s2 = self.e1 >> 3, self.e2 >> 3
+        self.q1, self.q2 = self.at_q[:k] + (self.e1 & 7), self.at_q[:k] + (self.e2 & 7)
+        named = self.named[:k]
+        a = (named * self.trust[1].take(self.q2)) >> np.uint32(TRUST)
+        b = ((named - a) * self.trust[0].take(self.q1)) >> np.uint32(TRUST)
+        same = self.s1 == self.s2
+        self.ab = a + b
+        self.a = np.where(same, self.ab, a)
+        self.rest = np.uint32(1 << TOTAL) - self.ab
 
     def interval(self, k: int, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.at_c[:k] + sym
-        flat = self.cum.reshape(-1)
-        low = (flat[at] * self.w0) >> SCALE
-        high = (flat[at + 1] * self.w0) >> SCALE
-        start = low + (self.p1 < sym) * self.w1 + (self.p2 < sym) * self.w2
-        return start, high - low + (self.p1 == sym) * self.w1 + (self.p2 == sym) * self.w2
+        part = self.parts.take(self.at_m[:k] + sym)
+        first = part >> np.uint32(16)
+        low = (first * self.rest) >> self.bits[:k]
+        high = ((first + (part & np.uint32(0xFFFF))) * self.rest) >> self.bits[:k]
+        self.hit1, self.hit2 = self.s1 == sym, self.s2 == sym
+        start = np.where(self.hit2, np.uint32(0), np.where(self.hit1, self.a, self.ab + low))
+        size = np.where(self.hit2, self.a, np.where(self.hit1, self.ab - self.a, high - low))
+        return start, size
 
     def find(self, k: int, target: np.ndarray) -> np.ndarray:
         """The symbol of each block whose interval holds the target."""
-        flat, low, high = self.cum.reshape(-1), np.zeros(k, np.int64), self.sizes[:k].copy()
-        base = self.at_c[:k]
-        for _ in range(int(self.m).bit_length()):
-            mid = (low + high) >> 1
-            at = ((flat[base + mid] * self.w0) >> SCALE) + (self.p1 < mid) * self.w1 + (self.p2 < mid) * self.w2
-            under = at <= target
-            low = np.where(under, mid, low)
-            high = np.where(under, high, np.maximum(mid, low))
-        return low
+        past = np.maximum(target, self.ab) - self.ab
+        slot = (((past + np.uint32(1)).astype(np.float64) * (1 << self.bits[:k].astype(np.int64)) - 1) / self.rest).astype(np.int64)
+        other = self.slot.take(self.at_s[:k] + slot)
+        return np.where(target < self.a, self.s2, np.where(target < self.ab, self.s1, other)).astype(np.int64)
 
     def update(self, k: int, sym: np.ndarray) -> None:
-        for table, i, e, p, j, q in ((self.t1, self.i1, self.e1, self.p1, self.j1, self.q[0]), (self.t2, self.i2, self.e2, self.p2, self.j2, self.q[1])):
-            hit = p == sym
-            q[j] += np.where(hit, (63500 - q[j]) >> 5, (300 - q[j]) >> 5)
-            c = e & 7
-            table[i] = np.where(hit, e + (c < 7), np.where(c == 0, sym << 3, e - ((c + 1) >> 1)))
-        self.counts.reshape(-1)[np.arange(k) * self.m + sym] += 24
+        fresh = (sym << 3).astype(np.int32)
+        for table, i, e, hit in ((self.t1, self.i1, self.e1, self.hit1), (self.t2, self.i2, self.e2, self.hit2)):
+            table[i] = np.where(hit, e + ((e & 7) < 7), fresh)
+        self.seen.append((self.q1 * 2 + self.hit1, self.q2 * 2 + self.hit2, self.at_m[:k] + sym))
         self.prev2[:k] = self.prev1[:k]
         self.prev1[:k] = sym
         self.step += 1
-        if self.step % REFRESH == 0 or (self.step < REFRESH and self.step >= 32 and self.step & (self.step - 1) == 0):
-            self.refresh()
+        if self.step == self.next:
+            self.next += min(self.step, REFRESH)
+            self.renew()
+
+
+def narrow(low: np.ndarray, span: np.ndarray, n: int):
+    """Lanes whose top word is settled, again and again: yields them while it shifts their state by a word."""
+    lo, sp = low[:n], span[:n]
+    at = np.flatnonzero(((lo ^ (lo + sp)) < TOP) | (sp < TOP))
+    while len(at):
+        lo, sp = low[at], span[at]
+        settled = (lo ^ (lo + sp)) < TOP
+        sp = np.where(settled, sp, (~lo + np.uint64(1)) & LOW32)
+        yield at, lo
+        lo, sp = lo << WORD, sp << WORD
+        low[at], span[at] = lo, sp
+        at = at[((lo ^ (lo + sp)) < TOP) | (sp < TOP)]
 
 
 def encode_lanes(symbols: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
@@ -109,42 +157,32 @@ def encode_lanes(symbols: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     grid = np.zeros((int(lens[0]), k), np.int64)
     for i, s in enumerate(symbols):
         grid[: len(s), i] = s
-    model = Models(sizes)
+    model = Models(sizes, decoding=False)
     low, span = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    words: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def flush(n):
-        at = np.arange(n)
-        while True:
-            lo, sp = low[at], span[at]
-            settled = (lo ^ (lo + sp)) < TOP
-            narrow = ~settled & (sp < TOP)
-            sp = np.where(narrow, (~lo + np.uint64(1)) & LOW32, sp)
-            go = settled | narrow
-            if not go.any():
-                return
-            at, lo, sp = at[go], lo[go], sp[go]
-            words.append((at, (lo >> np.uint64(32)).astype(np.uint32)))
-            low[at], span[at] = lo << np.uint64(32), sp << np.uint64(32)
-
+    lanes: list[np.ndarray] = []
+    words: list[np.ndarray] = []
     active = np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
     for t in range(int(lens[0])):
         n = int(active[t])
+        sym = grid[t, :n]
         model.predict(n)
-        start, freq = model.interval(n, grid[t, :n])
+        start, size = model.interval(n, sym)
         r = span[:n] >> np.uint64(TOTAL)
-        low[:n] += r * start.astype(np.uint64)
-        span[:n] = r * freq.astype(np.uint64)
-        flush(n)
-        model.update(n, grid[t, :n])
-    for part in range(2):
-        words.append((np.arange(k), (low >> np.uint64(32)).astype(np.uint32)))
-        low <<= np.uint64(32)
-    lane = np.concatenate([a for a, _ in words])
-    value = np.concatenate([w for _, w in words]).astype("<u4")
-    order = np.argsort(lane, kind="stable")
+        low[:n] += r * start
+        span[:n] = r * size
+        for at, lo in narrow(low, span, n):
+            lanes.append(at)
+            words.append(lo >> WORD)
+        model.update(n, sym)
+    for _ in range(2):
+        lanes.append(np.arange(k))
+        words.append(low >> WORD)
+        low <<= WORD
+    lane = np.concatenate(lanes)
+    order = np.argsort(lane.astype(np.uint16) if k <= 1 << 16 else lane, kind="stable")
+    value = np.concatenate(words).astype("<u4")[order]
     cuts = np.searchsorted(lane[order], np.arange(1, k))
-    return [x.tobytes() for x in np.split(value[order], cuts)]
+    return [x.tobytes() for x in np.split(value, cuts)]
 
 
 def decode_lanes(data: list[bytes], lens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -152,34 +190,24 @@ def decode_lanes(data: list[bytes], lens: np.ndarray, sizes: np.ndarray) -> list
     k = len(data)
     words = np.concatenate([np.frombuffer(d + bytes(16), "<u4") for d in data]).astype(np.uint64)
     at_word = np.concatenate([[0], np.cumsum([len(d) // 4 + 4 for d in data])])[:-1].astype(np.int64)
-    model = Models(sizes)
+    model = Models(sizes, decoding=True)
     low, span = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    code = (words[at_word] << np.uint64(32)) | words[at_word + 1]
+    code = (words[at_word] << WORD) | words[at_word + 1]
     at_word += 2
-    grid = np.zeros((int(lens[0]), k), np.int32)
+    grid = np.zeros((int(lens[0]), k), np.uint16)
     active = np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
     last = np.uint64((1 << TOTAL) - 1)
     for t in range(int(lens[0])):
         n = int(active[t])
         model.predict(n)
         r = span[:n] >> np.uint64(TOTAL)
-        target = np.minimum((code[:n] - low[:n]) // r, last).astype(np.int64)
+        target = np.minimum((code[:n] - low[:n]) // r, last).astype(np.uint32)
         sym = model.find(n, target)
-        start, freq = model.interval(n, sym)
-        low[:n] += r * start.astype(np.uint64)
-        span[:n] = r * freq.astype(np.uint64)
-        at = np.arange(n)
-        while True:
-            lo, sp = low[at], span[at]
-            settled = (lo ^ (lo + sp)) < TOP
-            narrow = ~settled & (sp < TOP)
-            sp = np.where(narrow, (~lo + np.uint64(1)) & LOW32, sp)
-            go = settled | narrow
-            if not go.any():
-                break
-            at, lo, sp = at[go], lo[go], sp[go]
-            low[at], span[at] = lo << np.uint64(32), sp << np.uint64(32)
-            code[at] = (code[at] << np.uint64(32)) | words[at_word[at]]
+        start, size = model.interval(n, sym)
+        low[:n] += r * start
+        span[:n] = r * size
+        for at, _ in narrow(low, span, n):
+            code[at] = (code[at] << WORD) | words[at_word[at]]
             at_word[at] += 1
         model.update(n, sym)
         grid[t, :n] = sym
@@ -201,11 +229,15 @@ def unpack_alphabet(data: bytes) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
-def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    """Ids (below 2**31) as bytes: a head, a directory of blocks, and the blocks."""
-    if block > 1 << (SCALE - 1):
-        raise ValueError("a block holds at most half as many ids as order 0 has parts")
+def encode(ids: np.ndarray, note: bytes = b"", block: int = BLOCK, lanes: int = LANES) -> bytes:
+    """Ids (below 2**31) as bytes: a head, a checked note, a directory of blocks, and the blocks.
+
+    Few ids make shorter blocks rather than fewer of them, so that a file is coded in step.
+    """
+    if block > 1 << (SLOTS_MOST - 1):
+        raise ValueError("a block holds at most half as many ids as order 0 has slots")
     ids = np.ascontiguousarray(ids, "<u4")
+    block = max(min(block, 1024), min(block, -(-len(ids) // lanes)))
     blocks = [ids[a : a + block] for a in range(0, len(ids), block)]
     made = []
     for at in range(0, len(blocks), lanes):
@@ -214,17 +246,21 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
         coded = encode_lanes(list(symbols), np.array([len(a) for a in alphabets]))
         done = {i: (len(b), zlib.crc32(b), pack_alphabet(a.astype(np.int64)), c) for (i, b), a, c in zip(group, alphabets, coded)}
         made += [done[i] for i in range(len(group))]
-    head = [MAGIC, struct.pack("<QI", len(ids), len(made))]
+    head = [MAGIC, struct.pack(HEAD, len(ids), len(made), len(note), zlib.crc32(note), lanes), note]
     head += [struct.pack("<IIII", n, crc, len(a), len(c)) for n, crc, a, c in made]
     return b"".join([*head, *(x for _, _, a, c in made for x in (a, c))])
 
 
-def decode(data: bytes, lanes: int = LANES) -> np.ndarray:
-    """The ids that ``encode`` was given; raises if a block's checksum differs."""
+def decode(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The ids and the note that ``encode`` was given; raises if a checksum differs."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a token file of this format")
-    total, n = struct.unpack_from("<QI", data, len(MAGIC))
-    at = len(MAGIC) + 12
+    total, n, note_size, note_crc, lanes = struct.unpack_from(HEAD, data, len(MAGIC))
+    at = len(MAGIC) + struct.calcsize(HEAD)
+    note = data[at : at + note_size]
+    if zlib.crc32(note) != note_crc:
+        raise ValueError("the note is damaged")
+    at += note_size
     directory = [struct.unpack_from("<IIII", data, at + 16 * i) for i in range(n)]
     at += 16 * n
     parts = []
@@ -244,4 +280,4 @@ def decode(data: bytes, lanes: int = LANES) -> np.ndarray:
     ids = np.concatenate(out)
     if len(ids) != total:
         raise ValueError("the file is cut short")
-    return ids
+    return ids, note

@@ -3,9 +3,10 @@
 Documents are dealt out by ranges of doc_id and sorted, so shards and the
 documents within them ascend. A shard is a run of segments; a segment holds the
 ids of whole documents, about ``segment`` of them (one long document may be
-more), as one binary file of ``rangecoder``: a head, a directory of blocks with
-their checksums, and independently coded blocks. Segments are stored as rows of
-a Parquet table (shard, segment, doc_ids, lengths, data): Spark's committer
+more), as one binary file of ``rangecoder``: a head with the documents' ids and
+lengths, a directory of blocks with their checksums, and independently coded
+blocks. Segments are stored as rows of a Parquet table (shard, segment, n_ids,
+data): Spark's committer
 then publishes the files whole on any store, also when executors are lost, and
 readers get at any segment alone.
 
@@ -16,6 +17,7 @@ result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -32,6 +34,18 @@ END = 2
 SEGMENT = rangecoder.BLOCK * rangecoder.LANES
 
 
+def note_of(docs: list, lengths: list[int]) -> bytes:
+    """The documents of a file: how many, how many of them (the first) have no id, their ids and lengths."""
+    n_null = sum(d is None for d in docs)
+    return struct.pack("<II", len(docs), n_null) + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(lengths, "<i8").tobytes()
+
+
+def documents_of(note: bytes) -> tuple[list, np.ndarray]:
+    n, n_null = struct.unpack_from("<II", note)
+    docs = np.frombuffer(note, "<i8", n, 8).tolist()
+    return [None] * n_null + docs[n_null:], np.frombuffer(note, "<i8", n, 8 + 8 * n)
+
+
 def writer(path: str, end: int, segment: int):
     def run(batches):
         e = encoder(path, LibraryEncoder)
@@ -42,9 +56,9 @@ def writer(path: str, end: int, segment: int):
         held = 0
 
         def out():
-            data = rangecoder.encode(np.frombuffer(b"".join(ids), "<u4"))
             lengths = [len(x) // 4 for x in ids]
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["shard", "segment", "n_ids", "doc_ids", "lengths", "data"])
+            data = rangecoder.encode(np.frombuffer(b"".join(ids), "<u4"), note_of(docs, lengths))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["shard", "segment", "n_ids", "data"])
 
         for batch in pieces(batches):
             for doc, got in zip(batch.column("doc_id").to_pylist(), e.documents(texts(batch.column("text")))):
@@ -61,11 +75,11 @@ def writer(path: str, end: int, segment: int):
 
 
 def reader(batches):
-    """(shard, segment, place, doc_id, before, n_tokens, ids_crc32) of every document of the files."""
+    """(shard, segment, doc_id, before, n_tokens, ids_crc32) of every document of the files, all from the coded bytes."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids = rangecoder.decode(batch.column("data")[i].as_py())
-            lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
+            ids, note = rangecoder.decode(batch.column("data")[i].as_py())
+            docs, lengths = documents_of(note)
             ends = np.cumsum(lengths)
             if (ends[-1] if len(ends) else 0) != len(ids):
                 raise ValueError("the lengths of a segment differ from its ids")
@@ -73,16 +87,16 @@ def reader(batches):
             crc = [zlib.crc32(np.ascontiguousarray(ids[a:b])) for a, b in zip(ends - lengths, ends)]
             same = lambda c, kind: pa.array([batch.column(c)[i].as_py()] * n, kind)
             yield pa.RecordBatch.from_arrays(
-                [same("shard", pa.int32()), same("segment", pa.int32()), pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
+                [same("shard", pa.int32()), same("segment", pa.int32()), pa.array(docs, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())],
                 ["shard", "segment", "doc_id", "before", "n_tokens", "ids_crc32"],
             )
 
 
 def write_tokens(documents: DataFrame, vocabulary: str | None = None, end: int = END, segment: int = SEGMENT) -> Saved:
-    """The token files of ``documents`` (doc_id, text), in ascending order of doc_id."""
+    """The token files of ``documents`` (doc_id, text), in ascending order of doc_id; of equal ids the hash of the text decides."""
     small_batches(documents.sparkSession)
-    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id")
-    return Saved(ordered.mapInArrow(writer(vocabulary or word_bpe(), end, segment), "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, data binary"), "tokens")
+    ordered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").orderBy("doc_id", F.xxhash64("text"))
+    return Saved(ordered.mapInArrow(writer(vocabulary or word_bpe(), end, segment), "shard int, segment int, n_ids long, data binary"), "tokens")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -97,7 +111,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
     own = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
     base = heads.withColumn("own", F.coalesce(own, F.lit(0))).join(spark.createDataFrame(starts, "s_shard int, first long"), F.col("shard") == F.col("s_shard"))
     base = base.select(F.col("shard").alias("b_shard"), F.col("segment").alias("b_segment"), (F.col("own") + F.col("first")).alias("base"))
-    docs = files.select("shard", "segment", "doc_ids", "lengths", "data").mapInArrow(reader, "shard int, segment int, doc_id long, before long, n_tokens long, ids_crc32 long")
+    docs = files.select("shard", "segment", "data").mapInArrow(reader, "shard int, segment int, doc_id long, before long, n_tokens long, ids_crc32 long")
     return docs.join(base, (F.col("shard") == F.col("b_shard")) & (F.col("segment") == F.col("b_segment"))).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -204,22 +204,30 @@ def test_quality_keeps_clean_documents(spark, tiny):
 # --- 5
 
 
-@pytest.mark.parametrize("n,block,vocabulary", [(0, 8, 5), (1, 8, 5), (9, 8, 1), (1000, 64, 3), (3000, 700, 49_408), (2000, 16, 2)])
+@pytest.mark.parametrize("n,block,vocabulary", [(0, 8, 5), (1, 8, 5), (9, 8, 1), (1000, 64, 3), (3000, 700, 49_408), (2000, 16, 2), (9000, 8192, 2), (9000, 8192, 49_408)])
 def test_range_coder_round_trip(n, block, vocabulary):
     x = np.random.default_rng(n).integers(0, vocabulary, n)
-    data = rangecoder.encode(x, block, 8)
-    assert (rangecoder.decode(data, 8) == x).all()
-    assert (rangecoder.decode(data, 3) == x).all()  # how many blocks run in step is the reader's matter
+    for lanes in (8, 3):
+        ids, note = rangecoder.decode(rangecoder.encode(x, b"a note", block, lanes))
+        assert (ids == x).all() and note == b"a note"
+
+
+def test_range_coder_on_long_runs():
+    """Predictions that are always right, then always wrong: no interval is ever empty."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([np.zeros(5000, int), np.arange(5000), np.tile([1, 2], 3000), r.permutation(5000)])
+    assert (rangecoder.decode(rangecoder.encode(x))[0] == x).all()
 
 
 def test_range_coder_learns_and_detects():
     x = np.tile(np.arange(50), 400)
-    data = rangecoder.encode(x)
+    data = rangecoder.encode(x, b"note")
     assert len(data) < len(x) // 4
-    bad = bytearray(data)
-    bad[len(bad) // 2] ^= 1
-    with pytest.raises(ValueError):
-        rangecoder.decode(bytes(bad))
+    for at in (len(data) // 2, data.index(b"note")):
+        bad = bytearray(data)
+        bad[at] ^= 1
+        with pytest.raises(ValueError):
+            rangecoder.decode(bytes(bad))
     with pytest.raises(ValueError):
         rangecoder.decode(b"other" + data)
 
