@@ -11,10 +11,20 @@ def round_half_up(x, digits: int = 4) -> F.Column:
     return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
+# The daily price limit by the first digits of a bare code; all others have the last one.
+LIMITS = {"300": 0.2, "301": 0.2, "688": 0.2, "689": 0.2, "4": 0.3, "8": 0.3, "": 0.1}
+
+
+def limit_of(digits: str) -> float:
+    return next(share for start, share in LIMITS.items() if digits.startswith(start))
+
+
 def limit_pct(code) -> F.Column:
     """The daily price limit of a bare code: 20% for the growth boards, 30% for codes from 4 or 8, else 10%."""
-    three = F.substring(code, 1, 3)
-    return F.when(three.isin("300", "301", "688", "689"), 0.2).when(F.substring(code, 1, 1).isin("4", "8"), 0.3).otherwise(0.1)
+    out = F.lit(LIMITS[""])
+    for start, share in LIMITS.items():
+        out = F.when(code.startswith(start), share).otherwise(out) if start else out
+    return out
 
 
 def commission(amount, rate: float = 0.00025, least: float = 5.0) -> F.Column:

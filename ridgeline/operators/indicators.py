@@ -51,5 +51,5 @@ def max_drawdown(equity: DataFrame) -> DataFrame:
     """key, drawdown, drawdown_pct: the worst absolute fall from the running peak, and its share of that peak."""
     w = Window.partitionBy("key").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     df = equity.withColumn("peak", F.max("equity").over(w)).withColumn("fall", F.col("peak") - F.col("equity"))
-    worst = F.max_by(F.struct("fall", "peak"), F.struct("fall", F.expr("-unix_date(to_date(substr(ts, 1, 10)))"))).alias("w")
+    worst = F.max_by(F.struct("fall", "peak"), F.struct("fall", F.expr("-unix_date(try_to_date(substr(ts, 1, 10)))"))).alias("w")
     return df.groupBy("key").agg(worst).select("key", F.col("w.fall").alias("drawdown"), F.when(F.col("w.peak") > 0, round_half_up(F.col("w.fall") / F.col("w.peak"), 6)).alias("drawdown_pct"))

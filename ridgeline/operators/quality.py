@@ -32,7 +32,7 @@ def cross_source(a: DataFrame, b: DataFrame) -> DataFrame:
     """code, n, worst_day, worst: the largest relative difference of closes on common days (the first of equal ones)."""
     diff = F.abs(F.col("close") - F.col("b_close")) / F.col("b_close")
     both = a.select("code", "ts", "close").join(b.select("code", "ts", F.col("close").alias("b_close")).where("b_close > 0"), ["code", "ts"]).withColumn("diff", round_half_up(diff, 8))
-    key = F.struct("diff", F.expr("-unix_date(to_date(substr(ts, 1, 10)))").alias("d"))
+    key = F.struct("diff", F.expr("-unix_date(try_to_date(substr(ts, 1, 10)))").alias("d"))
     return both.groupBy("code").agg(F.count("*").alias("n"), F.max_by("ts", key).alias("worst_day"), F.max("diff").alias("worst"))
 
 

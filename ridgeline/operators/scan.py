@@ -28,7 +28,7 @@ def sufficiency(series: DataFrame) -> DataFrame:
     requirement never suffice.
     """
     bars, days = weight(F.col("period"), LEAST_BARS, None), weight(F.col("period"), LEAST_DAYS, None)
-    span = F.datediff(F.to_date(F.substring("sync_end", 1, 10)), F.to_date(F.substring(F.greatest("sync_start", "file_start"), 1, 10)))
+    span = F.datediff(F.try_to_date(F.substring("sync_end", 1, 10)), F.try_to_date(F.substring(F.greatest("sync_start", "file_start"), 1, 10)))
     reason = (
         F.when(bars.isNull(), "no requirement for this period").when(F.col("sync_end").isNull(), "never synchronised").when(F.col("n_bars") < bars, "too few bars").when(F.coalesce(span, F.lit(-1)) < days, "history too short")
     )
@@ -90,17 +90,24 @@ def breakout_state(pivots: DataFrame, closes: DataFrame) -> DataFrame:
 
 
 def diff_fingerprints(prev: DataFrame, new: DataFrame) -> DataFrame:
+    """``fingerprint_changes`` of two tables (code, part, item)."""
+    return fingerprint_changes(prev.select("code", F.lit(False).alias("is_new"), "part", "item").union(new.select("code", F.lit(True), "part", "item")))
+
+
+def fingerprint_changes(items: DataFrame) -> DataFrame:
     """What is new in each series: changes (code, change, item), NO_CHANGE and FIRST_SNAPSHOT included.
 
-    prev, new: (code, part, item) with part pivot, signal, breakout or divergence.
+    items: (code, is_new, part, item) of the earlier and the later fingerprint,
+    with part pivot, signal, breakout or divergence. A breakout is any change
+    of state. One aggregation by item, one by series; nothing is read twice.
     """
-    old_codes, codes = prev.select("code").distinct(), new.select("code").distinct()
-    fresh = new.join(prev, ["code", "part", "item"], "left_anti").join(old_codes, "code", "left_semi")
     name = F.when(F.col("part") == "pivot", "NEW_PIVOT").when(F.col("part") == "breakout", "PIVOT_BREAKOUT").when(F.col("part") == "signal", "SIGNAL").otherwise("DIVERGENCE")
-    changes = fresh.where("part <> 'breakout' OR item IN ('up', 'down')").select("code", name.alias("change"), "item")
-    first = codes.join(old_codes, "code", "left_anti").select("code", F.lit("FIRST_SNAPSHOT").alias("change"), F.lit("").alias("item"))
-    same = codes.join(old_codes, "code", "left_semi").join(changes.select("code").distinct(), "code", "left_anti").select("code", F.lit("NO_CHANGE").alias("change"), F.lit("").alias("item"))
-    return changes.union(first).union(same)
+    each = items.groupBy("code", "part", "item").agg(F.bool_or("is_new").alias("now"), F.bool_or(~F.col("is_new")).alias("before"))
+    fresh = F.when(F.col("now") & ~F.col("before"), F.struct(name.alias("change"), "item"))
+    by_code = each.groupBy("code").agg(F.collect_list(fresh).alias("fresh"), F.bool_or("before").alias("known"), F.bool_or("now").alias("now")).where("now")
+    only = lambda what: F.array(F.struct(F.lit(what).alias("change"), F.lit("").alias("item")))
+    changes = F.when(~F.col("known"), only("FIRST_SNAPSHOT")).when(F.size("fresh") == 0, only("NO_CHANGE")).otherwise(F.col("fresh"))
+    return by_code.select("code", F.explode(changes).alias("c")).select("code", "c.change", "c.item")
 
 
 def usable_periods(sync: DataFrame) -> DataFrame:

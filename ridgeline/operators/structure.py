@@ -15,12 +15,23 @@ from ridgeline.operators import kernel
 
 LAYERS = ("merged", "fractal", "stroke", "segment", "pivot", "trend", "divergence", "signal", "error")
 SCHEMA = (
-    "code string, layer string, depth int, idx int, kind string, direction int, ts string, end_ts string, price double, high double, low double, zg double, zd double, "
+    "code string, period string, layer string, depth int, idx int, kind string, direction int, ts string, end_ts string, price double, high double, low double, zg double, zd double, "
     "start_idx int, end_idx int, src_start int, src_end int, status string, confirmed_at string, area_now double, area_prev double, flag boolean, level string, text string"
 )
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+def keys_of(bars: DataFrame) -> list[str]:
+    """What tells series apart: code, and period where there is one."""
+    return ["code", *(["period"] if "period" in bars.columns else [])]
+
+
+def series(bars: DataFrame, *columns: str) -> DataFrame:
+    """code, period (null without one), ts and ``columns`` as doubles: what is shuffled."""
+    period = F.col("period").cast("string") if "period" in bars.columns else F.lit(None).cast("string")
+    return bars.select("code", period.alias("period"), "ts", *(F.col(c).cast("double").alias(c) for c in columns))
+
+
 def rows_of(code: str, ts: list[str], s: kernel.Structure, level: str) -> list[dict]:
     """The long table's rows of one series."""
     at = lambda i: None if i is None else ts[i]
@@ -36,7 +47,7 @@ def rows_of(code: str, ts: list[str], s: kernel.Structure, level: str) -> list[d
     for i, k in enumerate(s.strokes):
         add("stroke", i, direction=k.direction, ts=at(k.start.src), end_ts=at(k.end.src), high=k.high, low=k.low, start_idx=k.start.midx, end_idx=k.end.midx, src_start=k.start.src, src_end=k.end.src, status=k.status, confirmed_at=at(k.confirmed))
     for i, g in enumerate(s.segments):
-        add("segment", i, direction=g.direction, ts=at(g.src_start), end_ts=at(g.src_end), high=g.high, low=g.low, start_idx=g.first, end_idx=g.last, src_start=g.src_start, src_end=g.src_end, status=g.status, confirmed_at=at(g.confirmed))
+        add("segment", i, direction=g.direction, ts=at(g.src_start), end_ts=at(g.src_end), high=g.high, low=g.low, start_idx=g.first, end_idx=g.last, src_start=g.src_start, src_end=g.src_end, status=g.status, confirmed_at=at(g.confirmed), area_now=kernel.hist_area(s.macd[2], g.src_start, g.src_end, g.direction))
     for depth, (name, pivots, trends) in enumerate(s.levels):
         for p in pivots:
             add("pivot", p.idx, depth=depth, level=name, ts=at(p.src_start), end_ts=at(p.src_end), high=p.gg, low=p.dd, zg=p.zg, zd=p.zd, start_idx=p.start, end_idx=p.end, src_start=p.src_start, src_end=p.src_end, status=p.status, confirmed_at=at(p.confirmed), flag=p.capped)
@@ -64,7 +75,9 @@ def runner(level: str, mode: str, policy, layers):
             rows = rows_of(code, ts, kernel.analyse(pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist(), level, mode, policy), level)
         except Exception as e:  # one bad series must not stop a market
             rows = [{"code": code, "layer": "error", "depth": 0, "idx": 0, "text": f"{type(e).__name__}: {e}"}]
-        return frame([r for r in rows if layers is None or r["layer"] in layers or r["layer"] == "error"])
+        out = frame([r for r in rows if layers is None or r["layer"] in layers or r["layer"] == "error"])
+        out["period"] = pdf["period"].iloc[0]
+        return out
 
     return run
 
@@ -73,8 +86,7 @@ def structure(bars: DataFrame, level: str = "day", mode: str = "strict", policy=
     """The long table of every series of ``bars``. Only the columns that the kernel needs are shuffled."""
     if mode not in ("strict", "loose"):
         raise ValueError(f"mode is strict or loose, not {mode!r}")
-    need = bars.select("code", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
-    return need.groupBy("code").applyInPandas(runner(level, mode, policy, layers), SCHEMA)
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(runner(level, mode, policy, layers), SCHEMA)
 
 
 def layer(table: DataFrame, name: str) -> DataFrame:
@@ -96,7 +108,7 @@ def clip(table: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def checkpoints(bars: DataFrame, step: int, level: str = "day", mode: str = "strict") -> DataFrame:
-    """Signals at every ``step`` bars and at the end: (code, checkpoint, kind, src_start, src_end, ts, price, status)."""
+    """Signals at every ``step`` bars and at the end: (code, period, checkpoint, kind, src_start, src_end, ts, price, status)."""
     if step < 1:
         raise ValueError("step is 1 at least")
 
@@ -106,11 +118,10 @@ def checkpoints(bars: DataFrame, step: int, level: str = "day", mode: str = "str
         out = []
         for n in sorted({*range(step, len(ts) + 1, step), len(ts)}):
             s = kernel.analyse(high[:n], low[:n], close[:n], level, mode)
-            out += [(pdf["code"].iloc[0], ts[n - 1], g.kind, g.src_start, g.src_end, ts[g.src], g.price, g.status) for g in s.signals]
-        return pd.DataFrame(out, columns=["code", "checkpoint", "kind", "src_start", "src_end", "ts", "price", "status"])
+            out += [(pdf["code"].iloc[0], pdf["period"].iloc[0], ts[n - 1], g.kind, g.src_start, g.src_end, ts[g.src], g.price, g.status) for g in s.signals]
+        return pd.DataFrame(out, columns=["code", "period", "checkpoint", "kind", "src_start", "src_end", "ts", "price", "status"])
 
-    need = bars.select("code", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
-    return need.groupBy("code").applyInPandas(run, "code string, checkpoint string, kind string, src_start int, src_end int, ts string, price double, status string")
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, checkpoint string, kind string, src_start int, src_end int, ts string, price double, status string")
 
 
 def showings(bars: DataFrame, level: str = "day", mode: str = "strict") -> DataFrame:
@@ -132,10 +143,9 @@ def showings(bars: DataFrame, level: str = "day", mode: str = "strict") -> DataF
             before = strokes
             for g in kernel.analyse(high[:n], low[:n], close[:n], level, mode).signals:
                 seen.setdefault((g.kind, g.src_start, g.src_end), ts[n - 1])
-        return pd.DataFrame([(pdf["code"].iloc[0], *k, t) for k, t in seen.items()], columns=["code", "kind", "src_start", "src_end", "checkpoint"])
+        return pd.DataFrame([(pdf["code"].iloc[0], pdf["period"].iloc[0], *k, t) for k, t in seen.items()], columns=["code", "period", "kind", "src_start", "src_end", "checkpoint"])
 
-    need = bars.select("code", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
-    return need.groupBy("code").applyInPandas(run, "code string, kind string, src_start int, src_end int, checkpoint string")
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, kind string, src_start int, src_end int, checkpoint string")
 
 
 def trail(seen: DataFrame, marks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import codes
 from ridgeline.operators import meta, quality, scan
+from ridgeline.plans.sql import LB
 from ridgeline.sources import files
 
 QUERIES: dict = {}
@@ -221,7 +222,7 @@ def sync_circuit_breaker(spark, d):
     return sync.too_many_failures(t(spark, d, "events").select(F.col("event_type").alias("period"), F.col("event_id").alias("seq"), (F.col("value") > 60).alias("ok")), 3)
 
 
-@query()
+@query(f"""WITH {LB} SELECT '60000' || CAST(ascii(code) % 10 AS VARCHAR) AS code, 'day' AS period, ts, open / 100e0 AS open, high / 100e0 AS high, low / 100e0 AS low, close / 100e0 AS close, CAST(volume AS DOUBLE) AS volume, CAST(NULL AS VARCHAR) AS error FROM lb""")
 def day_binary_import(spark, d):
     """Line-item bars written as 32-byte records, a file a code, and read back through the binary source."""
     import os

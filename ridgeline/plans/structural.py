@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import round_half_up as r
-from ridgeline.operators import pit, scan, structure
+from ridgeline.operators import pit, scan, structure, watch
 from ridgeline.operators.structure import layer
-from ridgeline.plans.sql import F as FR, M, S, fold
+from ridgeline.plans import structure_sql as sq
+from ridgeline.plans.sql import F as FR, M, S, fold, rnd
 from ridgeline.sources import bars as src
 
 QUERIES: dict = {}
@@ -63,28 +64,33 @@ def strokes(spark, d):
     return longs(t, "idx", "start_idx", "end_idx", "src_start", "src_end")
 
 
-@query()
+@query(sq.base() + f""" SELECT code, idx, d AS direction, CAST(h AS DOUBLE) AS high, CAST(l AS DOUBLE) AS low, a AS start_idx, z AS end_idx, src_start, src_end, {sq.at('sg', 'src_start')} AS ts, {sq.at('sg', 'src_end')} AS end_ts, status, {sq.at('sg', 'known')} AS confirmed_at FROM sg""")
 def segments(spark, d):
-    return table(spark, d, "segment").select("code", "idx", "direction", "high", "low", "start_idx", "end_idx", "src_start", "src_end", "ts", "end_ts", "status", "confirmed_at")
+    t = table(spark, d, "segment").select("code", "idx", "direction", "high", "low", "start_idx", "end_idx", "src_start", "src_end", "ts", "end_ts", "status", "confirmed_at")
+    return longs(t, "idx", "direction", "start_idx", "end_idx", "src_start", "src_end")
 
 
-@query()
+@query(sq.base(sq.pivots("p0", "sg")) + f""" SELECT code, idx, CAST(zg AS DOUBLE) AS zg, CAST(zd AS DOUBLE) AS zd, CAST(gg AS DOUBLE) AS gg, CAST(dd AS DOUBLE) AS dd, start_idx, end_idx, src_start, src_end, status, {sq.at('p0', 'known')} AS confirmed_at, capped FROM p0""")
 def pivots(spark, d):
-    return layer(table(spark, d, "pivot"), "pivot").where("depth = 0").select("code", "idx", "zg", "zd", F.col("high").alias("gg"), F.col("low").alias("dd"), "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("capped"))
+    t = layer(table(spark, d, "pivot"), "pivot").where("depth = 0").select("code", "idx", "zg", "zd", F.col("high").alias("gg"), F.col("low").alias("dd"), "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("capped"))
+    return longs(t, "idx", "start_idx", "end_idx", "src_start", "src_end")
 
 
-@query()
+@query(sq.base(sq.LEVEL0) + f""" SELECT code, idx, CASE d WHEN 1 THEN 'up' WHEN -1 THEN 'down' ELSE 'consolidation' END AS kind, d AS direction, CAST(h AS DOUBLE) AS high, CAST(l AS DOUBLE) AS low, start_idx, end_idx, src_start, src_end, status, {sq.at('t0', 'known')} AS confirmed_at FROM t0""")
 def trends(spark, d):
-    return table(spark, d, "trend").where("depth = 0").select("code", "idx", "kind", "direction", "high", "low", "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at")
+    t = table(spark, d, "trend").where("depth = 0").select("code", "idx", "kind", "direction", "high", "low", "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at")
+    return longs(t, "idx", "direction", "start_idx", "end_idx", "src_start", "src_end")
 
 
-@query()
+@query(sq.base(sq.LEVEL0, sq.LEVEL1, sq.LEVEL2) + """ SELECT code, depth, level, CAST(sum(p) AS BIGINT) AS n_pivots, CAST(sum(t) AS BIGINT) AS n_trends FROM (
+  SELECT code, 0 AS depth, 'day' AS level, 1 AS p, 0 AS t FROM p0 UNION ALL SELECT code, 0, 'day', 0, 1 FROM t0 UNION ALL SELECT code, 1, 'week', 1, 0 FROM p1 UNION ALL SELECT code, 1, 'week', 0, 1 FROM t1
+  UNION ALL SELECT code, 2, 'month', 1, 0 FROM p2 UNION ALL SELECT code, 2, 'month', 0, 1 FROM t2) GROUP BY code, depth, level""")
 def levels(spark, d):
     t = table(spark, d, "pivot", "trend")
-    return t.groupBy("code", "depth", "level").agg(F.count_if(F.col("layer") == "pivot").alias("n_pivots"), F.count_if(F.col("layer") == "trend").alias("n_trends"))
+    return longs(t, "depth").groupBy("code", "depth", "level").agg(F.count_if(F.col("layer") == "pivot").alias("n_pivots"), F.count_if(F.col("layer") == "trend").alias("n_trends"))
 
 
-@query()
+@query(sq.base(sq.MACD) + f""" SELECT sg.code, sg.idx, {rnd('sum(greatest(hist * d, 0))', 2)} AS area FROM sg JOIN hist ON hist.code = sg.code AND hist.i BETWEEN src_start AND src_end GROUP BY sg.code, sg.idx""")
 def hist_area(spark, d):
     """MACD area of every segment in its own colour: a range join by buckets of bars."""
     from ridgeline.operators.indicators import ema_macd
@@ -96,32 +102,35 @@ def hist_area(spark, d):
     s = seg.select("code", "idx", "direction", "src_start", "src_end", F.explode(F.sequence(F.floor(F.col("src_start") / size), F.floor(F.col("src_end") / size))).alias("bucket"))
     h = hist.select(F.col("code").alias("h_code"), "i", "hist", F.floor(F.col("i") / size).alias("h_bucket"))
     j = s.join(h, (F.col("code") == F.col("h_code")) & (F.col("bucket") == F.col("h_bucket")) & F.col("i").between(F.col("src_start"), F.col("src_end")))
-    return j.groupBy("code", "idx").agg(r(F.sum(F.greatest(F.col("hist") * F.col("direction"), F.lit(0.0))), 2).alias("area"))
+    return longs(j, "idx").groupBy("code", "idx").agg(r(F.sum(F.greatest(F.col("hist") * F.col("direction"), F.lit(0.0))), 2).alias("area"))
 
 
-@query()
+@query(sq.base(sq.LEVEL0, sq.DIVERGE) + f""" SELECT code, idx, d AS direction, {sq.at('d0', 'src')} AS ts, CAST(price AS DOUBLE) AS price, ref AS start_idx, seg AS end_idx, {rnd('now', 2)} AS area_now, {rnd('prev', 2)} AS area_prev, further AS new_extreme, status, {sq.at('d0', 'known')} AS confirmed_at FROM d0 WHERE kind = 'consolidation'""")
 def divergence_consolidation(spark, d):
-    return table(spark, d, "divergence").where("kind = 'consolidation'").select("code", "idx", "direction", "ts", "price", "start_idx", "end_idx", r(F.col("area_now"), 2).alias("area_now"), r(F.col("area_prev"), 2).alias("area_prev"), F.col("flag").alias("new_extreme"), "status", "confirmed_at")
+    return longs(table(spark, d, "divergence"), "idx", "direction", "start_idx", "end_idx").where("kind = 'consolidation'").select("code", "idx", "direction", "ts", "price", "start_idx", "end_idx", r(F.col("area_now"), 2).alias("area_now"), r(F.col("area_prev"), 2).alias("area_prev"), F.col("flag").alias("new_extreme"), "status", "confirmed_at")
 
 
-@query()
+@query(sq.base(sq.LEVEL0, sq.DIVERGE) + f""" SELECT code, idx, d AS direction, {sq.at('d0', 'src')} AS ts, CAST(price AS DOUBLE) AS price, ref AS start_idx, seg AS end_idx, status, {sq.at('d0', 'known')} AS confirmed_at FROM d0 WHERE kind = 'trend'""")
 def divergence_trend(spark, d):
-    return table(spark, d, "divergence").where("kind = 'trend'").select("code", "idx", "direction", "ts", "price", "start_idx", "end_idx", "status", "confirmed_at")
+    return longs(table(spark, d, "divergence"), "idx", "direction", "start_idx", "end_idx").where("kind = 'trend'").select("code", "idx", "direction", "ts", "price", "start_idx", "end_idx", "status", "confirmed_at")
 
 
 
+SIGNALS = {loose: sq.base(sq.LEVEL0, sq.LEVEL1, sq.DIVERGE, sq.DIVERGE1, sq.signals("sig", loose)) for loose in (False, True)}
+SIGNAL_ROWS = f""" SELECT code, idx, kind, {sq.at('sig', 'src')} AS ts, CAST(price AS DOUBLE) AS price, zone AS pivot_idx, src_start, src_end, status, {sq.at('sig', 'known')} AS confirmed_at, nested AS quantao FROM sig"""
 
-@query()
+
+@query(SIGNALS[False] + SIGNAL_ROWS)
 def signals_strict(spark, d):
-    return table(spark, d, "signal").select("code", "idx", "kind", "ts", "price", F.col("start_idx").alias("pivot_idx"), "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("quantao"))
+    return longs(table(spark, d, "signal"), "idx", "start_idx", "src_start", "src_end").select("code", "idx", "kind", "ts", "price", F.col("start_idx").alias("pivot_idx"), "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("quantao"))
 
 
-@query()
+@query(SIGNALS[True] + SIGNAL_ROWS)
 def signals_loose(spark, d):
-    return table(spark, d, "signal", mode="loose").select("code", "idx", "kind", "ts", "price", F.col("start_idx").alias("pivot_idx"), "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("quantao"))
+    return longs(table(spark, d, "signal", mode="loose"), "idx", "start_idx", "src_start", "src_end").select("code", "idx", "kind", "ts", "price", F.col("start_idx").alias("pivot_idx"), "src_start", "src_end", "status", "confirmed_at", F.col("flag").alias("quantao"))
 
 
-@query()
+@query(SIGNALS[False] + f" SELECT code, kind, {sq.at('sig', 'src')} AS ts, nested AS quantao FROM sig WHERE kind IN ('b1', 's1')")
 def quantao(spark, d):
     return table(spark, d, "signal").where("kind IN ('b1', 's1')").select("code", "kind", "ts", F.col("flag").alias("quantao"))
 
@@ -143,7 +152,18 @@ def reconcile(spark, d):
     return pit.reconcile(prev, new, ["code", "id"], "2000-01-01")
 
 
-@query()
+def _prefixes(step: int) -> str:
+    """Signals of every prefix of ``step`` bars, and of the whole: each prefix is a series of its own."""
+    cut = f"""wn AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts) AS i, count(*) OVER (PARTITION BY code) AS n FROM wb),
+wc AS (SELECT x.code || '@' || y.ts AS code, x.ts, x.high, x.low, x.close FROM wn AS x JOIN wn AS y ON y.code = x.code AND y.i >= x.i AND (y.i % {step} = 0 OR y.i = y.n)),
+"""
+    return SIGNALS[True].replace("b AS (SELECT code, ts", cut + "b AS (SELECT code, ts", 1).replace("FROM wb),\nm0", "FROM wc),\nm0", 1)
+
+
+@query(_prefixes(100) + """, sn AS (SELECT DISTINCT split_part(code, '@', 1) AS code, split_part(code, '@', 2) AS checkpoint, kind, src_start, src_end, idx FROM sig),
+  mk AS (SELECT code, checkpoint, lead(checkpoint) OVER (PARTITION BY code ORDER BY checkpoint) AS after FROM (SELECT DISTINCT split_part(code, '@', 1) AS code, split_part(code, '@', 2) AS checkpoint FROM wc)),
+  lf AS (SELECT code, kind, src_start, src_end, min(checkpoint) AS first_seen, max(checkpoint) AS last_seen, count(*) AS times FROM sn GROUP BY 1, 2, 3, 4)
+  SELECT lf.code, kind, src_start, src_end, first_seen, last_seen, times, after IS NULL AS alive, after AS falsified_at FROM lf JOIN mk ON mk.code = lf.code AND mk.checkpoint = last_seen""")
 def signal_trail(spark, d):
     b = walk(spark, d)
     seen = structure.checkpoints(b, 100, mode="loose")
@@ -152,7 +172,7 @@ def signal_trail(spark, d):
     n = F.row_number().over(Window.partitionBy("code").orderBy("ts"))
     last = F.count("*").over(Window.partitionBy("code"))
     marks = b.select("code", "ts", n.alias("n"), last.alias("last")).where("n % 100 = 0 OR n = last").select("code", F.col("ts").alias("checkpoint"))
-    return structure.trail(seen, marks)
+    return structure.trail(longs(seen, "src_start", "src_end"), marks)
 
 
 @query()
@@ -193,41 +213,55 @@ def snapshot_json(spark, d):
     return pit.snapshot_json(table(spark, d))
 
 
-@query()
+@query(SIGNALS[True] + f""", gs AS (SELECT code, src_start, src_end, CASE WHEN if(d = 1, h > ph, l < pl) AND area < pa THEN least(greatest((pa - area) / pa, 0), 1) ELSE 0 END AS div FROM (
+    SELECT *, lag(area) OVER w AS pa, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM d0a WINDOW w AS (PARTITION BY code, d ORDER BY src_end, idx))),
+  gh AS (SELECT sig.code, kind, 'day' AS level, {sq.at('sig', 'src')} AS ts, CAST(price AS DOUBLE) AS price, status, CASE WHEN kind IN ('b1', 's1') THEN 3e0 WHEN kind IN ('b2', 's2') THEN 2e0 WHEN kind IN ('b3', 's3') THEN 1.5e0 ELSE 1e0 END * 2e0
+    * CASE status WHEN 'confirmed' THEN 1e0 ELSE 0.6e0 END * CASE WHEN nested = false THEN 0.7e0 ELSE 1e0 END * (1 + coalesce(gs.div, 0)) AS raw FROM sig LEFT JOIN gs ON gs.code = sig.code AND gs.src_start = sig.src_start AND gs.src_end = sig.src_end)
+  SELECT code, kind, level, ts, price, status, {rnd('raw', 6)} AS strength FROM gh ORDER BY strength DESC, level, ts, code, kind LIMIT 50""")
 def scan_strength_topk(spark, d):
+    """One kernel pass: segments carry their areas, so signals and strengths come from one table."""
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "segment"))
-    area = hist_area(spark, d)
-    seg = layer(t, "segment").select("code", "idx", "direction", "high", "low", "src_start", "src_end", "status").join(area, ["code", "idx"])
+    seg = layer(t, "segment").select("code", "idx", "direction", "high", "low", "src_start", "src_end", "status", F.col("area_now").alias("area"))
     return scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), 50)
 
 
-@query()
+@query(SIGNALS[True] + """, se AS (SELECT code, kind, src_end FROM sig) SELECT se.code, se.kind, se.src_end, x.t AS trend_idx, CASE WHEN x.t IS NULL THEN y.p END AS zone_idx FROM se
+  LEFT JOIN (SELECT s.code, s.src_end, min(t1.idx) AS t FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN t1 ON t1.code = s.code AND s.src_end BETWEEN t1.src_start AND t1.src_end GROUP BY 1, 2) AS x ON x.code = se.code AND x.src_end = se.src_end
+  LEFT JOIN (SELECT s.code, s.src_end, min(p0.idx) AS p FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN p0 ON p0.code = s.code AND s.src_end BETWEEN p0.src_start AND p0.src_end GROUP BY 1, 2) AS y ON y.code = se.code AND y.src_end = se.src_end""")
 def level_context(spark, d):
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "trend", "pivot"))
-    return scan.level_context(layer(t, "signal"), layer(t, "trend").where("depth = 1"), layer(t, "pivot").where("depth = 0"))
+    return scan.level_context(longs(layer(t, "signal"), "src_end"), longs(layer(t, "trend"), "idx").where("depth = 1"), longs(layer(t, "pivot"), "idx").where("depth = 0"))
 
 
-@query()
-def fingerprint_diff(spark, d):
-    def items(b):
-        t = structure.structure(b, layers=("pivot", "signal"))
-        p = layer(t, "pivot").where("depth = 0").select("code", F.lit("pivot").alias("part"), F.concat_ws(":", "src_start", "src_end", r(F.col("zg"), 2), r(F.col("zd"), 2)).alias("item"))
-        s = layer(t, "signal").select("code", F.lit("signal"), F.concat_ws(":", "kind", "ts", r(F.col("price"), 2)))
-        last = b.groupBy("code").agg(F.max_by("close", "ts").alias("close"))
-        k = scan.breakout_state(layer(t, "pivot").where("depth = 0"), last).select("code", F.lit("breakout"), "state")
-        return p.union(s).union(k)
+def _items(when: str) -> str:
+    """The fingerprint of each series over the bars of the walk up to a time, as SQL."""
+    head = SIGNALS[False].replace("FROM wb)", f"FROM wb WHERE ts <= '{when}')")
+    return f"""({head}, ls AS (SELECT code, CASE WHEN if(d = 1, h > ph, l < pl) AND area < pa THEN {sq.at('q', 'src_end')} || ':' || CAST(d AS VARCHAR) END AS item, row_number() OVER (PARTITION BY code ORDER BY src_end DESC, src_start DESC) AS n FROM (
+    SELECT *, lag(area) OVER w AS pa, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM d0a WINDOW w AS (PARTITION BY code, d ORDER BY src_end, idx)) AS q)
+  SELECT code, 'pivot' AS part, CAST(src_start AS VARCHAR) || ':' || CAST(src_end AS VARCHAR) || ':' || CAST(CAST(zd AS DOUBLE) AS VARCHAR) || ':' || CAST(CAST(zg AS DOUBLE) AS VARCHAR) AS item FROM p0
+  UNION ALL SELECT code, 'signal', {sq.at('sig', 'src')} || ':' || kind FROM sig
+  UNION ALL SELECT code, 'divergence', item FROM ls WHERE n = 1 AND item IS NOT NULL
+  UNION ALL SELECT x.code, 'breakout', CASE WHEN y.zg IS NULL THEN 'none' WHEN x.c > y.zg THEN 'up' WHEN x.c < y.zd THEN 'down' ELSE 'inside' END FROM (SELECT code, arg_max(c, i) AS c FROM b GROUP BY code) AS x
+    LEFT JOIN (SELECT code, zg, zd, row_number() OVER (PARTITION BY code ORDER BY src_end DESC, src_start DESC) AS n FROM p0) AS y ON y.code = x.code AND y.n = 1)"""
 
-    b = walk(spark, d)
-    return scan.diff_fingerprints(items(structure.as_of(b, "1997-01-01")), items(b))
 
+@query(f"""WITH prev AS {_items('1997-01-01')}, cur AS {_items('9999')}, fresh AS (SELECT DISTINCT c.code, c.part, c.item FROM cur AS c WHERE c.code IN (SELECT code FROM prev) AND NOT EXISTS (SELECT 1 FROM prev AS p WHERE p.code = c.code AND p.part = c.part AND p.item = c.item))
+  SELECT code, CASE part WHEN 'pivot' THEN 'NEW_PIVOT' WHEN 'signal' THEN 'SIGNAL' WHEN 'breakout' THEN 'PIVOT_BREAKOUT' ELSE 'DIVERGENCE' END AS change, item FROM fresh
+  UNION ALL SELECT DISTINCT code, CASE WHEN code IN (SELECT code FROM prev) THEN 'NO_CHANGE' ELSE 'FIRST_SNAPSHOT' END, '' FROM cur WHERE code NOT IN (SELECT code FROM fresh)""")
+def fingerprint_diff(spark, d):
+    """What is new in each series between two points in time: one kernel pass, one aggregation."""
+    return scan.fingerprint_changes(watch.fingerprints(walk(spark, d), ["1997-01-01", "9999"]))
 
-@query()
+
+@query(sq.base(sq.pivots("p0", "sg")) + """ SELECT x.code, CASE WHEN y.zg IS NULL THEN 'none' WHEN x.c > y.zg THEN 'up' WHEN x.c < y.zd THEN 'down' ELSE 'inside' END AS state FROM (SELECT code, arg_max(c, i) AS c FROM b GROUP BY code) AS x
+  LEFT JOIN (SELECT code, zg, zd, row_number() OVER (PARTITION BY code ORDER BY src_end DESC, src_start DESC) AS n FROM p0) AS y ON y.code = x.code AND y.n = 1""")
 def breakout_state(spark, d):
     b = walk(spark, d)
     return scan.breakout_state(table(spark, d, "pivot").where("depth = 0"), b.groupBy("code").agg(F.max_by("close", "ts").alias("close")))
 
 
-@query()
+@query(sq.base() + """ SELECT code, idx, a AS start_idx, z AS end_idx FROM (SELECT *, lag(z) OVER w AS pz, lag(status) OVER w AS ps, lag(d) OVER w AS pd FROM sg WINDOW w AS (PARTITION BY code ORDER BY idx))
+  WHERE pz + 1 <> a OR (status = 'confirmed' AND ((z - a) % 2 <> 0 OR (ps = 'confirmed' AND pd = d)))""")
 def segment_problems(spark, d):
     """Invariants of segments, checked natively: contiguous strokes, alternating and odd when confirmed. No rows is right."""
     from pyspark.sql import Window
@@ -236,7 +270,7 @@ def segment_problems(spark, d):
     w = Window.partitionBy("code").orderBy("idx")
     prev = lambda c: F.lag(c).over(w)
     bad = (prev("end_idx") + 1 != F.col("start_idx")) | ((F.col("status") == "confirmed") & ((F.col("end_idx") - F.col("start_idx")) % 2 != 0)) | ((F.col("status") == "confirmed") & (prev("status") == "confirmed") & (prev("direction") == F.col("direction")))
-    return s.withColumn("bad", bad).where("bad").select("code", "idx", "start_idx", "end_idx")
+    return s.withColumn("bad", bad).where("bad").select("code", *(F.col(c).cast("long").alias(c) for c in ("idx", "start_idx", "end_idx")))
 
 
 # --- ledgers and streams
@@ -257,24 +291,29 @@ def _ledger(spark, d):
     return backtest.backtest(bars, causes, "fractal", share=0.3)
 
 
-@query()
+METRICS = " SELECT {}, " + f"""n, wins, losses, {rnd('CAST(wins AS DOUBLE) / n')} AS win_rate, {rnd('w')} AS avg_win, {rnd('l')} AS avg_loss, {rnd('w / nullif(abs(l), 0)')} AS payoff_ratio, {rnd('sw / nullif(abs(sl), 0)')} AS profit_factor,
+  {rnd('total / n')} AS expectancy, {rnd('total')} AS total_pnl, {rnd('bars')} AS avg_holding_bars FROM (SELECT """ + "{}" + """, count(*) AS n, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl <= 0) AS losses, avg(pnl) FILTER (pnl > 0) AS w, avg(pnl) FILTER (pnl <= 0) AS l,
+  sum(pnl) AS total, sum(pnl) FILTER (pnl > 0) AS sw, sum(pnl) FILTER (pnl <= 0) AS sl, avg(holding_bars) AS bars FROM tp GROUP BY {})"""
+
+
+@query(sq.LEDGER + f""" SELECT 'all' AS run, seq, ts, code, side, price, qty, {rnd('amount')} AS amount, {rnd('fee + tax')} AS fees, {rnd('cash')} AS cash, if(side = 'buy', 'fractal_bottom', 'fractal_top') AS signal_kind FROM fl""")
 def backtest_fills(spark, d):
-    return layer(_ledger(spark, d), "fill").select("run", "seq", "ts", "code", "side", "price", "qty", r(F.col("amount"), 4).alias("amount"), r(F.col("fees"), 4).alias("fees"), r(F.col("cash"), 4).alias("cash"), "signal_kind")
+    return longs(layer(_ledger(spark, d), "fill"), "seq").select("run", "seq", "ts", "code", "side", "price", "qty", r(F.col("amount"), 4).alias("amount"), r(F.col("fees"), 4).alias("fees"), r(F.col("cash"), 4).alias("cash"), "signal_kind")
 
 
-@query()
+@query(sq.LEDGER + f" SELECT run, seq, code, signal_kind, entry_ts, exit_ts, qty, {rnd('pnl')} AS pnl, holding_bars FROM tp")
 def backtest_round_trips(spark, d):
-    return layer(_ledger(spark, d), "trip").select("run", "seq", "code", "signal_kind", "entry_ts", F.col("ts").alias("exit_ts"), "qty", r(F.col("pnl"), 4).alias("pnl"), "holding_bars")
+    return longs(layer(_ledger(spark, d), "trip"), "seq", "holding_bars").select("run", "seq", "code", "signal_kind", "entry_ts", F.col("ts").alias("exit_ts"), "qty", r(F.col("pnl"), 4).alias("pnl"), "holding_bars")
 
 
-@query()
+@query(sq.LEDGER + METRICS.format(*["run"] * 3))
 def backtest_metrics(spark, d):
     from ridgeline.operators import backtest
 
     return backtest.trip_metrics(layer(_ledger(spark, d), "trip"), ["run"])
 
 
-@query()
+@query(sq.LEDGER + METRICS.format(*["run, signal_kind"] * 3))
 def backtest_metrics_by_signal(spark, d):
     from ridgeline.operators import backtest
 
@@ -292,14 +331,16 @@ def backtest_signals(spark, d):
     return layer(backtest.backtest(bars, causes, "signals"), "equity").select("run", "ts", r(F.col("equity"), 4).alias("equity"))
 
 
-@query()
+@query(sq.LEDGER + f""", dn AS (SELECT ts, peak, peak - equity AS fall, row_number() OVER (ORDER BY peak - equity DESC, ts) AS n FROM (SELECT ts, equity, max(equity) OVER (ORDER BY ts) AS peak FROM eq))
+  SELECT 'all' AS key, {rnd('fall')} AS drawdown, {rnd('fall / peak', 6)} AS drawdown_pct FROM dn WHERE n = 1""")
 def equity_drawdown(spark, d):
     from ridgeline.operators.indicators import max_drawdown
 
-    return max_drawdown(layer(_ledger(spark, d), "equity").select(F.col("run").alias("key"), "ts", "equity"))
+    worst = max_drawdown(layer(_ledger(spark, d), "equity").select(F.col("run").alias("key"), "ts", "equity"))
+    return worst.withColumn("drawdown", r(F.col("drawdown")))
 
 
-@query()
+@query(sq.base() + " SELECT sg.code, x.as_of, src_start, src_end, status FROM sg JOIN (SELECT code, max(ts) AS as_of FROM b GROUP BY code) AS x ON x.code = sg.code")
 def stream_step_equiv(spark, d):
     """Bars fed in three batches through the stateful stream; the last snapshot's segments, which must equal the batch's."""
     import uuid
@@ -314,6 +355,6 @@ def stream_step_equiv(spark, d):
         q.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     last = out.groupBy("code").agg(F.max("version").alias("version"))
-    return out.join(last, ["code", "version"]).where("layer = 'segment' AND status <> 'invalidated'").select("code", "as_of", "src_start", "src_end", "status")
+    return out.join(last, ["code", "version"]).where("layer = 'segment' AND status <> 'invalidated'").select("code", "as_of", F.col("src_start").cast("long").alias("src_start"), F.col("src_end").cast("long").alias("src_end"), "status")
 
 

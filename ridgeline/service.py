@@ -87,9 +87,9 @@ class Service:
 
     def scan(self, period: str = "day", mode: str = "strict", limit: int = 100) -> list[dict]:
         """The strongest signals of every stored series of a period."""
-        b = store.read_bars(self.spark, f"{self.root}/bars", period=period).drop("market", "period")
+        b = store.read_bars(self.spark, f"{self.root}/bars", period=period).drop("market")
         t = structure.structure(b, level=period, mode=mode, layers=("signal", "segment")).persist()
-        seg = layer(t, "segment").withColumn("area", F.lit(None).cast("double"))
+        seg = layer(t, "segment").withColumn("area", F.col("area_now"))
         out = [r.asDict() for r in scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), limit).collect()]
         t.unpersist()
         return out
