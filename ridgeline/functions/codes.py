@@ -12,6 +12,8 @@ SHARED, DEFAULT = ("0", "1"), "sz"
 MARKETS = ("sh", "sz", "bj", "hk", "us", "sw")
 INDEX_DIGITS = {"sh": "000", "sz": "399", "bj": "899"}
 INDEX_NAMES = {"hk": ("hsi", "hstech"), "us": ("dji", "ixic")}
+# What a code looks like in the markets that digits alone never name.
+FOREIGN = {"hk": "[0-9]{5}|[a-z]{1,10}", "us": "[a-z][a-z0-9.-]{0,9}", "sw": "801[0-9]{3}"}
 
 
 def lookup(key, table: dict[str, str]) -> F.Column:
@@ -50,16 +52,29 @@ def store_key(code) -> F.Column:
 
 
 def normalize_code(text) -> F.Column:
-    """A store key from what a user may write (600000, sh600000, SH.600000, 600000.SH).
+    """A store key from what a user may write (600000, sh600000, SH.600000, 600000.SH, hk.00700, us.dji, sw.801120).
 
-    A prefix and a suffix that differ, or no six digits, give null.
+    A prefix and a suffix that differ, or a form that no market has, give null.
     """
     t = clean(text)
     head, digits, tail = (F.regexp_extract(t, r"^(sh|sz|bj)?\.?([0-9]{6})(?:\.(sh|sz|bj))?$", i) for i in (1, 2, 3))
     said = F.coalesce(F.nullif(head, F.lit("")), F.nullif(tail, F.lit("")))
     clash = (head != "") & (tail != "") & (head != tail)
     known = market_of_digits(digits, None).isNotNull() | is_ambiguous(digits) | said.isNotNull()
-    return F.when((digits == "") | clash | ~known, None).when(said.isNull() | (said == market_of_digits(digits)), digits).otherwise(F.concat(said, F.lit("."), digits))
+    foreign = F.lit(None).cast("string")
+    for market, form in FOREIGN.items():
+        own = F.regexp_extract(t, rf"^{market}\.?\s*({form})$", 1)
+        foreign = F.when(own != "", F.concat(F.lit(f"{market}."), own)).otherwise(foreign)
+    home = F.when((digits == "") | clash | ~known, None).when(said.isNull() | (said == market_of_digits(digits)), digits).otherwise(F.concat(said, F.lit("."), digits))
+    return F.coalesce(foreign, home)
+
+
+def is_hk(key) -> F.Column:
+    return F.coalesce(prefix_of(key) == "hk", F.lit(False))
+
+
+def is_us(key) -> F.Column:
+    return F.coalesce(prefix_of(key) == "us", F.lit(False))
 
 
 def is_ambiguous(digits) -> F.Column:

@@ -145,35 +145,32 @@ def factor_fingerprint(spark, d):
 def _codes(spark, d):
     """Codes in many spellings from part keys."""
     six = F.lpad(((F.col("p_partkey") * 7919) % 1000000).cast("string"), 6, "0")
-    k = F.col("p_partkey") % 6
-    text = F.when(k == 0, six).when(k == 1, F.concat(F.lit("sh"), six)).when(k == 2, F.concat(F.lit(" SZ."), six)).when(k == 3, F.concat(six, F.lit(".BJ "))).when(k == 4, F.concat(F.lit("sh."), six, F.lit(".sz"))).otherwise(F.concat(F.lit("x"), six))
+    k, five, three, one = F.col("p_partkey") % 10, F.substring(six, 1, 5), F.substring(six, 1, 3), F.substring(six, 1, 1)
+    forms = [six, F.concat(F.lit("sh"), six), F.concat(F.lit(" SZ."), six), F.concat(six, F.lit(".BJ ")), F.concat(F.lit("sh."), six, F.lit(".sz")), F.concat(F.lit("x"), six), F.concat(F.lit("HK."), five), F.concat(F.lit("us.brk"), one), F.concat(F.lit("sw.801"), three), F.concat(F.lit("hk"), five)]
+    text = F.element_at(F.array(*forms), (k + 1).cast("int"))
     return t(spark, d, "part").select("p_partkey", text.alias("text"))
 
 
 CODES = """c0 AS (SELECT p_partkey, lpad(CAST((p_partkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS six FROM part),
-  c AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN six WHEN 1 THEN 'sh' || six WHEN 2 THEN ' SZ.' || six WHEN 3 THEN six || '.BJ ' WHEN 4 THEN 'sh.' || six || '.sz' ELSE 'x' || six END AS text FROM c0),
+  c AS (SELECT p_partkey, six, CASE p_partkey % 10 WHEN 0 THEN six WHEN 1 THEN 'sh' || six WHEN 2 THEN ' SZ.' || six WHEN 3 THEN six || '.BJ ' WHEN 4 THEN 'sh.' || six || '.sz' WHEN 5 THEN 'x' || six WHEN 6 THEN 'HK.' || six[1:5] WHEN 7 THEN 'us.brk' || six[1:1] WHEN 8 THEN 'sw.801' || six[1:3] ELSE 'hk' || six[1:5] END AS text FROM c0),
   e AS (SELECT *, regexp_extract(lower(trim(text)), '^(sh|sz|bj)?\\.?([0-9]{6})(?:\\.(sh|sz|bj))?$', 1) AS head, regexp_extract(lower(trim(text)), '^(sh|sz|bj)?\\.?([0-9]{6})(?:\\.(sh|sz|bj))?$', 2) AS digits, regexp_extract(lower(trim(text)), '^(sh|sz|bj)?\\.?([0-9]{6})(?:\\.(sh|sz|bj))?$', 3) AS tail FROM c),
   g AS (SELECT *, coalesce(nullif(head, ''), nullif(tail, '')) AS said, CASE substr(digits, 1, 2) WHEN '92' THEN 'bj' WHEN '88' THEN 'sh' WHEN '81' THEN 'bj' WHEN '82' THEN 'bj' ELSE
     CASE substr(digits, 1, 1) WHEN '6' THEN 'sh' WHEN '5' THEN 'sh' WHEN '9' THEN 'sh' WHEN '4' THEN 'bj' WHEN '8' THEN 'bj' WHEN '2' THEN 'sz' WHEN '3' THEN 'sz' END END AS own FROM e)"""
 
 
-@query(f"""WITH {CODES} SELECT p_partkey, CASE WHEN digits = '' OR (head <> '' AND tail <> '' AND head <> tail) OR (own IS NULL AND substr(digits, 1, 1) NOT IN ('0', '1') AND said IS NULL) THEN NULL
+@query(f"""WITH {CODES} SELECT p_partkey, CASE WHEN p_partkey % 10 IN (6, 9) THEN 'hk.' || six[1:5] WHEN p_partkey % 10 IN (7, 8) THEN text WHEN digits = '' OR (head <> '' AND tail <> '' AND head <> tail) OR (own IS NULL AND substr(digits, 1, 1) NOT IN ('0', '1') AND said IS NULL) THEN NULL
   WHEN said IS NULL OR said = coalesce(own, 'sz') THEN digits ELSE said || '.' || digits END AS key FROM g""")
 def code_normalize(spark, d):
     return _codes(spark, d).select("p_partkey", codes.normalize_code(F.col("text")).alias("key"))
 
 
-@query(f"""WITH {CODES}, k AS (SELECT p_partkey, coalesce(said || '.', '') || digits AS key, coalesce(said, own, 'sz') AS market, digits, said, own FROM g WHERE digits <> '' AND NOT (head <> '' AND tail <> ''))
-  SELECT p_partkey, market, substr(digits, 1, 3) = CASE market WHEN 'sh' THEN '000' WHEN 'sz' THEN '399' WHEN 'bj' THEN '899' END AS is_index,
-    said IS NOT NULL OR own IS NOT NULL OR substr(digits, 1, 1) IN ('0', '1') AS is_a_share FROM k""")
+@query(f"""WITH {CODES}, k AS (SELECT p_partkey, p_partkey % 10 AS form, coalesce(said, own, 'sz') AS market, digits, said, own FROM g WHERE (digits <> '' AND NOT (head <> '' AND tail <> '' AND head <> tail) AND (own IS NOT NULL OR substr(digits, 1, 1) IN ('0', '1') OR said IS NOT NULL)) OR p_partkey % 10 > 5)
+  SELECT p_partkey, CASE WHEN form IN (6, 9) THEN 'hk' WHEN form = 7 THEN 'us' WHEN form = 8 THEN 'sw' ELSE market END AS market, form < 6 AND coalesce(substr(digits, 1, 3) = CASE market WHEN 'sh' THEN '000' WHEN 'sz' THEN '399' WHEN 'bj' THEN '899' END, false) AS is_index,
+    form < 6 AND (own IS NOT NULL OR substr(digits, 1, 1) IN ('0', '1') OR said <> 'sz') AS is_a_share, form IN (6, 9) AS is_hk, form = 7 AS is_us, form = 8 AS is_sw FROM k""")
 def market_predicates(spark, d):
-    c = _codes(spark, d)
-    e = F.lower(F.trim("text"))
-    head, digits, tail = (F.regexp_extract(e, r"^(sh|sz|bj)?\.?([0-9]{6})(?:\.(sh|sz|bj))?$", n) for n in (1, 2, 3))
-    said = F.concat(head, tail)
-    key = F.when((digits == "") | ((head != "") & (tail != "")), None).when(said == "", digits).otherwise(F.concat(said, F.lit("."), digits))
-    k = c.select("p_partkey", key.alias("key")).where("key is not null")
-    return k.select("p_partkey", codes.market_of(F.col("key")).alias("market"), codes.is_index(F.col("key")).alias("is_index"), codes.is_a_share(F.col("key")).alias("is_a_share"))
+    """What every valid spelling's store key says; spellings that no market has have no key."""
+    k = _codes(spark, d).select("p_partkey", codes.normalize_code(F.col("text")).alias("key")).where("key is not null")
+    return k.select("p_partkey", codes.market_of(F.col("key")).alias("market"), *(getattr(codes, n)(F.col("key")).alias(n) for n in ("is_index", "is_a_share", "is_hk", "is_us", "is_sw")))
 
 
 @query("""SELECT event_id, CAST(2004 + date // 2048 AS VARCHAR) || '-' || lpad(CAST((date % 2048) // 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(date % 2048 % 100 AS VARCHAR), 2, '0') || ' ' || lpad(CAST(minute // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(minute % 60 AS VARCHAR), 2, '0') AS ts

@@ -192,12 +192,16 @@ def factor_status(spark, d):
     return adjust.factor_status(b, adjust.adjust(b, _ladder(spark, d), "qfq"), codes)
 
 
-@query(f"""WITH {LB} SELECT code, ts, {rnd('close * 1.1e0', 2)} AS up, {rnd('close * 0.9e0', 2)} AS down FROM (SELECT code, ts, CAST(close AS DOUBLE) / 100 AS close FROM lb)""")
+@query(f"""WITH {LB}, x AS (SELECT code, ts, CAST(close AS DOUBLE) / 100 AS close, unnest(['600000', '300750', '301001', '688981', '689009', '430047', '830799', '920001']) AS digits FROM lb),
+  y AS (SELECT *, CASE WHEN digits[1:3] IN ('300', '301', '688', '689') THEN 0.2e0 WHEN digits[1] IN ('4', '8') THEN 0.3e0 ELSE 0.1e0 END AS p FROM x)
+  SELECT code, ts, digits, {rnd('close * (1 + p)', 2)} AS up, {rnd('close * (1 - p)', 2)} AS down FROM y""")
 def limit_prices(spark, d):
+    """Each close's next limits under codes of all three rates."""
     from ridgeline.functions.numbers import limit_pct, round_half_up
 
-    b = src.lineitem_bars(spark, d).select("code", "ts", (F.col("close") / 100).alias("close"), limit_pct(F.lit("600000")).alias("p"))
-    return b.select("code", "ts", round_half_up(F.col("close") * F.when(F.col("p") == 0.1, 1.1), 2).alias("up"), round_half_up(F.col("close") * F.when(F.col("p") == 0.1, 0.9), 2).alias("down"))
+    b = src.lineitem_bars(spark, d).select("code", "ts", (F.col("close") / 100).alias("close"), F.explode(F.array(*map(F.lit, ("600000", "300750", "301001", "688981", "689009", "430047", "830799", "920001")))).alias("digits"))
+    b = b.withColumn("p", limit_pct(F.col("digits")))
+    return b.select("code", "ts", "digits", round_half_up(F.col("close") * (1 + F.col("p")), 2).alias("up"), round_half_up(F.col("close") * (1 - F.col("p")), 2).alias("down"))
 
 
 # --- checks between tables

@@ -66,9 +66,9 @@ def test_store_round_trip(spark, tmp_path):
 
 
 def test_codes(spark):
-    df = spark.createDataFrame([(x,) for x in ("600000", "sh600000", "SZ.000001", "sh.000001", "000300.SH", "sh.600000.sz", "92abc", "920123", "881001", "hk.hsi", None, "700000")], "t string")
+    df = spark.createDataFrame([(x,) for x in ("600000", "sh600000", "SZ.000001", "sh.000001", "000300.SH", "sh.600000.sz", "92abc", "920123", "881001", "hk.hsi", None, "700000", "HK00700", "us.brk.b", "sw.801120", "801120", "hk.0070", "sw.802120")], "t string")
     got = [r[0] for r in df.select(codes.normalize_code(F.col("t"))).collect()]
-    assert got == ["600000", "600000", "000001", "sh.000001", "sh.000300", None, None, "920123", "881001", None, None, None]
+    assert got == ["600000", "600000", "000001", "sh.000001", "sh.000300", None, None, "920123", "881001", "hk.hsi", None, None, "hk.00700", "us.brk.b", "sw.801120", "801120", None, None]
     m = dict(df.where("t IS NOT NULL").select("t", codes.market_of(F.col("t"))).collect())
     assert m["920123"] == "bj" and m["881001"] == "sh" and m["hk.hsi"] == "hk" and m["sh.000001"] == "sh"
     i = dict(df.where("t IS NOT NULL").select("t", codes.is_index(F.col("t"))).collect())
