@@ -35,6 +35,8 @@ from tokenizers import Tokenizer
 from .common import pieces, table
 
 END = "Ā"  # stands behind the last byte of a word, which are all below it
+#: Longer pieces of text (of languages without spaces, of data) are not cached.
+LONG = 64
 _loaded: dict = {}
 
 
@@ -151,7 +153,7 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 600_000):
         self.v = Vocabulary(path)
-        self.most = most
+        self.most = most  # pieces of at most LONG bytes: what a cache holds is bounded in bytes
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
 
@@ -160,9 +162,10 @@ class Encoder:
         if got is None:
             ids = self.v.encode_word(w)
             got = len(ids), np.array(ids, "<u4").tobytes(), " ".join(self.v.text[i] for i in ids).encode()
-            if len(self.words) >= self.most:
-                self.words.clear()
-            self.words[w] = got
+            if len(w) <= LONG:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                self.words[w] = got
         return got
 
     def split(self, text: str):
@@ -183,9 +186,10 @@ class Encoder:
             elif x:
                 parts += [self.word(w) for w in self.split(x)]
         got = sum(p[0] for p in parts), b"".join(p[1] for p in parts), b" ".join(p[2] for p in parts)
-        if len(self.chunks) >= self.most:
-            self.chunks.clear()
-        self.chunks[c] = got
+        if len(c) <= LONG:
+            if len(self.chunks) >= self.most:
+                self.chunks.clear()
+            self.chunks[c] = got
         return got
 
     def document(self, text: bytes) -> tuple[int, bytes, bytes]:
@@ -224,7 +228,9 @@ class LibraryEncoder:
                 got = words.get(w)
                 if got is None:
                     raw = w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
-                    got = words[w] = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
+                    got = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
+                    if len(w) <= LONG:
+                        words[w] = got
                 ids.append(got)
             self.cache[c] = ids[0] if len(ids) == 1 else b"".join(ids)
         for at in range(0, len(whole), 4096):
@@ -244,7 +250,11 @@ class LibraryEncoder:
             new.update(s)
         self.learn([c for c in new if c not in self.cache])
         get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, s)) for s in split]
+        for c in new:
+            if len(c) > LONG:
+                del self.cache[c]
+        return out
 
 
 def encoder(path: str, kind=Encoder):

@@ -22,7 +22,8 @@ with 2e-4 and 3e-6.
 
 Defined results. Null or empty text, or no word: an empty set, n_shingles 0,
 linked with nothing, kept. Repeated rows get a result each; rows that share a
-doc_id count as one document in links. A null doc_id has component_id null
+doc_id count as one document, which links by each of its texts; n_shingles is
+each row's own. A null doc_id has component_id null
 and is kept if nothing smaller has its set. Empty table: empty result.
 """
 
@@ -69,7 +70,7 @@ def signer(k: int, n: int):
             count, h1, h2, mins = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 count.append(len(s))
-                h1.append(int(W.mix(s + W.STEP[3]).sum(dtype=W.U).astype(np.int64)))
+                h1.append(digest(s))
                 h2.append(int(W.mix(s * W.STEP[4]).sum(dtype=W.U).astype(np.int64)))
                 low = np.full(n, 2**64 - 1, W.U)
                 for at in range(0, len(s), 4096):
@@ -86,10 +87,19 @@ def signer(k: int, n: int):
     return run
 
 
+def digest(s: np.ndarray) -> int:
+    """The first of a set's two hashes."""
+    return int(W.mix(s + W.STEP[3]).sum(dtype=W.U).astype(np.int64))
+
+
 def set_maker(k: int):
+    """(rep, shingles) of the rows whose set is that of the class that was asked for."""
+
     def run(batches):
         for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())], ["doc_id", "shingles"])
+            sets = list(shingle_sets(batch.column("text"), k))
+            mine = pa.array([digest(s) == h for s, h in zip(sets, batch.column("h1").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"]).filter(mine)
 
     return run
 
@@ -133,7 +143,18 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = Saved(docs.mapInArrow(signer(k, collections * width), SIGNATURE), "minhash").df
     own = ["n_shingles", "h1", "h2"]
-    reps = Saved(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("tags").alias("tags")), "classes").df
+    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("of"), F.first("mins").alias("mins"), F.first("tags").alias("tags"))
+    # documents with several different sets (rows that share a doc_id): their sets get numbers of their own, above all ids, and a link to the document
+    mixed = Saved(sig.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("m")).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("m"), "mixed").df
+    several = not mixed.isEmpty()
+    rep = F.col("of")
+    if several:
+        classes = classes.join(mixed, F.col("of") == F.col("m"), "left")
+        rep = F.when(F.col("m").isNotNull(), F.lit(1 << 62) + F.pmod(F.xxhash64(*own), F.lit(1 << 62))).otherwise(rep)
+    reps = Saved(classes.select(*own, rep.alias("rep"), "of", "mins", "tags"), "classes").df
+    ties = None
+    if several:
+        ties = Saved(sig.join(mixed, F.col("doc_id") == F.col("m"), "left_semi").join(reps.select(*own, "rep"), own).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(), "ties").df
 
     n = collections * width
     part = lambda c: F.slice("mins", c * width + 1, width)
@@ -149,7 +170,8 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
 
     # each step: the tables that take part, and who is compared
     steps = [(min(FIRST, len(tables)), "hub"), *((len(tables), "hub") for _ in range(rounds)), (len(tables), "all")]
-    links = label = tried = None
+    links, tried = ties, None
+    label = components(ties) if several else None
     for r, (most, kind) in enumerate(steps):
         members = buckets.where(F.col("key").bitwiseAND(F.lit(TABLE_MASK)) < most) if most < len(tables) else buckets
         if label is not None:
@@ -181,7 +203,7 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        found = Saved(verify(docs, pairs, k, percent), "links").df
+        found = Saved(verify(docs, pairs, reps, k, percent), "links").df
         links = found if links is None else links.union(found)
         label = components(links)
     if label is None:
@@ -195,17 +217,19 @@ def minhash_dedup(documents: DataFrame, k: int = 5, percent: int = 75, collectio
 SLOTS = 1 << 20
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles of the documents of ``ids`` (doc_id); texts of others are not shuffled, or few of them."""
+def sets_of(docs: DataFrame, ids: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """rep, shingles of the classes of ``ids`` (rep); texts of other documents are not shuffled, or few of them."""
+    wanted = reps.select("rep", F.col("of").alias("doc_id"), "h1").join(ids, "rep", "left_semi")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
-    slots = ids.select(slot.alias("slot")).distinct()
-    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")
-    return saved(near.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(set_maker(k), "doc_id long, shingles binary"), "sets")
+    slots = wanted.select(slot.alias("slot")).distinct()
+    near = docs.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    rows = near.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "rep", "th"]).select("rep", "h1", "text")
+    return saved(rows.mapInArrow(set_maker(k), "rep long, shingles binary"), "sets").dropDuplicates(["rep"])
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), reps, k)
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(checker(percent), "a long, b long")
 
@@ -221,7 +245,7 @@ def compare_in_blocks(docs: DataFrame, members: DataFrame, reps: DataFrame, k: i
     hub = members.groupBy("key").agg(F.min("rep").alias("hub"))
     group = components(members.join(hub, "key").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "groups").toDF("rep", "grp")
     own = members.select("rep", "component").distinct().join(group, "rep").join(reps.select("rep", "n_shingles", "mins"), "rep")
-    sets = sets_of(docs, members.select(F.col("rep").alias("doc_id")).distinct(), k)
+    sets = sets_of(docs, members.select("rep").distinct(), reps, k)
     own = own.join(sets.toDF("rep", "shingles"), "rep")
     blocks = group.groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     own = own.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -267,20 +291,20 @@ def brute(rows: list[tuple], k: int = 5, percent: int = 75) -> dict:
     """The same over all pairs of (doc_id, text) in plain Python, for tests."""
     import re
 
-    sets = {}
+    sets: list[tuple] = []
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
-    top = {i: i for i in sets}
+        sets.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
+    top = {i: i for i, _ in sets}
 
     def root(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for a, b in combinations(sorted(sets), 2):
-        n = len(sets[a] & sets[b])
-        if n and 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
-            x, y = sorted((root(a), root(b)))
-            top[y] = x
-    return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+    for (a, x), (b, y) in combinations(sets, 2):
+        n = len(x & y)
+        if n and 100 * n >= percent * (len(x) + len(y) - n):
+            p, q = sorted((root(a), root(b)))
+            top[q] = p
+    return {i: (len(s), root(i), root(i) == i) for i, s in sets}

@@ -28,7 +28,7 @@ anchors were cut. All comparisons are of whole bytes, none of hashes.
 
 Defined results. Null or empty text: nothing to remove, the digest of the empty
 string. Rows equal in doc_id and text are one document and get the same result
-each; rows that share only the doc_id are ordered by their text's hash. A null
+each, and their places are gathered as a set, so copies of a row cost what other rows do; rows that share only the doc_id are ordered by their text's hash. A null
 doc_id comes before all others. Empty table: empty result.
 """
 
@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bwt
 from . import words as W
@@ -47,6 +48,7 @@ from .common import Saved, pieces, raw_text, release, small_batches, table
 
 LENGTH, K = 100, 32
 HOT, BATCH, SHARD = 20_000, 40_000, 1 << 14
+HOT_ANCHORS = 10_000
 HASH_BITS = np.uint64(36)  # places of a window's minimum hash lie in the low bits
 
 
@@ -58,7 +60,7 @@ def minimizers(data: np.ndarray, ends: np.ndarray, length: int):
         return z, z, z.astype(W.U), z, z
     spread = length - K + 1
     at = np.arange(n - K + 1)
-    h = W.span_hashes(data, at, at + K)
+    h = W.window_hashes(data, K)
     key = (h >> HASH_BITS << HASH_BITS) | at.astype(W.U)
     have = 1
     while have * 2 <= spread:
@@ -253,12 +255,16 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...
     docs = documents.select("doc_id", *carried, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     place = "id long, th long, pos int, j0 short, j1 short"
     anchors = Saved(docs.select("id", "th", "text").mapInArrow(anchors_of(length), f"h long, {place}"), "anchors")
-    often = anchors.df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    spots = Saved(anchors.df.join(often, "h", "left_semi"), "spots")
+    often = Saved(anchors.df.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # an anchor with a large share of all places would be one task's: there are at most HOT_ANCHORS such, which are broadcast
+    hot = F.broadcast(often.df.where(F.col("n") > max(1000, anchors.df.count() // HOT_ANCHORS)).select("h"))
+    rest = anchors.df.join(hot, "h", "left_anti").join(often.df.select("h"), "h", "left_semi")
+    spots = Saved(anchors.df.join(hot, "h", "left_semi").union(rest), "spots")
+    often.drop()
     anchors.drop()
     release(spark)
 
-    by_doc = spots.df.groupBy("id", "th").agg(F.collect_list(F.struct("h", "pos", "j0", "j1")).alias("spots"))
+    by_doc = spots.df.groupBy("id", "th").agg(F.collect_set(F.struct("h", "pos", "j0", "j1")).alias("spots"))
     cut = docs.select("id", "th", "text").join(by_doc, ["id", "th"]).mapInArrow(stretches_of(length), "key long, j0 short, j1 short, seg binary, id long, th long, pos int")
     first = F.min(F.struct("id", "th", "pos")).alias("first")
     same = Saved(cut.groupBy("key", "j0", "j1", "seg").agg(first), "stretches")
@@ -278,9 +284,10 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, keep: tuple[str, ...
     none = F.lit(None)
     parts = spots.df.select("id", "th", "pos", "j0", "j1", none.cast("binary").alias("kept")).union(kept.df.select("id", "th", "pos", none.cast("short"), none.cast("short"), "kept"))
     parts = parts.withColumns({c: F.coalesce(c, F.lit(0).cast("short")) for c in ("j0", "j1")})
-    result = parts.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "j0", "j1", "kept")).alias("spots"))
-    kinds = dict(documents.dtypes)
-    out = ", ".join([f"doc_id {kinds['doc_id']}", *(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {}".format("string" if as_text else "binary")])
+    result = parts.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "j0", "j1", "kept")).alias("spots"))
+    out = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *(T.StructField(f"k{i}", documents.schema[c].dataType) for i, c in enumerate(keep))])
+    for c, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string" if as_text else "binary")):
+        out = out.add(c, kind)
     done = docs.join(result, ["id", "th"], "left").select("doc_id", *(f"k{i}" for i in range(len(keep))), "text", "spots").mapInArrow(cut_texts(length, as_text), out)
     return done.select("doc_id", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 

@@ -1,26 +1,28 @@
 """Words and word shingles of many texts at once, with numpy over their UTF-8 bytes.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D; UTF-8 never
-uses those bytes inside a character. Hashes are 64 bits wide: every word gets
-a polynomial over random byte values (prefix sums, so no Python loop), mixed
-by a finaliser; a shingle mixes the hashes of its words.
+uses those bytes inside a character. Hashes are 64 bits wide: a word is read in
+blocks of 8 bytes, each of which is mixed into the hash of those before, all
+words at a time; the few long ones are hashed one by one. A shingle mixes the
+hashes of its words. Nothing is kept for each position of a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
-BYTE = _rng.integers(1, 2**64, 256, dtype=U)
-BASE = int(_rng.integers(0, 2**62)) * 2 + 1
-BACK = pow(BASE, -1, 2**64)
 STEP = _rng.integers(0, 2**63, 8, dtype=U) * U(2) + U(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+#: What of a little-endian block belongs to a word that ends after so many bytes of it.
+PART = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: Words of more blocks are hashed one by one.
+MOST_BLOCKS = 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,16 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept for the largest n so far."""
-    got = _powers.get(base)
-    if got is None or len(got) <= n:
-        m = 1 << max(16, int(n + 1).bit_length())
-        got = np.full(m, base & (2**64 - 1), U)
-        got[0] = 1
-        got = np.multiply.accumulate(got)
-        _powers[base] = got
-    return got[: n + 1]
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as a view (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
 
 
 def spans(data: np.ndarray, ends: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,10 +57,29 @@ def spans(data: np.ndarray, ends: np.ndarray, space: np.ndarray = IS_SPACE) -> t
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte ranges; equal bytes, equal hash."""
-    n = len(data)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * powers(n, BASE)[:n], out=total[1:])
-    return mix((total[stops] - total[starts]) * powers(n, BACK)[starts] + (stops - starts).astype(U))
+    view, left = blocks(data), stops - starts
+    out = mix(left.astype(U) * STEP[5] + STEP[6])
+    long = left > 8 * MOST_BLOCKS
+    for i in np.flatnonzero(long):
+        out[i] ^= U(xxhash.xxh3_64_intdigest(data[starts[i] : stops[i]].tobytes()))
+    at = np.flatnonzero((left > 0) & ~long)
+    for k in range(MOST_BLOCKS):
+        at = at[left[at] > 8 * k] if k else at
+        if not len(at):
+            break
+        part = view[starts[at] + 8 * k] & PART[np.minimum(left[at] - 8 * k, 8)]
+        out[at] = mix((out[at] ^ part) * STEP[7])
+    return out
+
+
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` (a multiple of 8) bytes from each position on, where there are so many."""
+    view, n = np.array(blocks(data)), len(data) - size + 1
+    out = np.zeros(n, U)
+    for k in range(0, size, 8):
+        out = (out ^ view[k : k + n]) * STEP[k // 8 % 8]
+        out ^= out >> U(29)
+    return mix(out)
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -137,6 +137,28 @@ def test_pipeline_equals_brute_force(spark):
     assert all(n <= want[i][0] - want[i][1] and n >= want[i][0] - want[i][1] - 6 * want[i][2] for i, n in cut.items())
 
 
+def test_pipeline_with_columns_of_any_name(spark):
+    cp = stages()
+    names = ["kept", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row", "rest", "id", "th", "spots", "key", "a.b"]
+    docs = frame(spark, documents()).select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, f in cp.STAGES[:-1]:
+        out = f(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    good, bad = " ".join(words_of(200)), "x"
+    nulls_ = spark.createDataFrame([(None, good, "en", "s", 1), (None, bad, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["text"] for r in dict(cp.STAGES)["quality_rules"](spark, nulls_, "").collect()] == [good]
+
+
+def words_of(n):
+    import random
+
+    from tests.llm.fixtures import words
+
+    return words(random.Random(8), n)
+
+
 def test_pipeline_takes_empty_and_null(spark):
     cp = stages()
     for docs in (empty(spark), empty(spark).limit(0)):

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from ridgeline.llm import bpe, bwt, langid, minhash, packing, quality, rangecoder, suffix, tokenfile, toxicity
+from ridgeline.llm import words as W
 from tests.llm.fixtures import documents, empty, frame, nulls, words
 
 ROWS = documents()
@@ -63,6 +65,38 @@ def test_minhash_large_group(spark):
     assert got == {i: v[1] for i, v in want.items()} and set(got.values()) == {0}
 
 
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out[:n]
+
+
+def test_words_that_break_polynomial_hashes():
+    x, y = thue_morse(1024), thue_morse(1024, "b", "a")
+    long = [x * 50, y * 50]
+    assert quality.count(pa.array([x + "\n" + y, x + "\n" + x, "\n".join(long)]))["n_dup_lines"].tolist() == [0, 1, 0]
+    for n in (1, 7, 8, 9, 64, 127, 128, 129, 1000):
+        words = [thue_morse(n), thue_morse(n, "b", "a"), "a" * n, "a" * (n + 1)]
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        starts, stops, _ = W.spans(data, np.array([0, len(data)]))
+        h = W.span_hashes(data, starts, stops)
+        assert len(set(h)) == len(set(words))
+        again = np.frombuffer(("  x " + " ".join(words)).encode(), np.uint8)
+        starts, stops, _ = W.spans(again, np.array([0, len(again)]))
+        assert (W.span_hashes(again, starts, stops)[1:] == h).all()  # where a word stands does not matter
+
+
+def test_minhash_of_rows_that_share_an_id(spark):
+    r = random.Random(4)
+    a, b = (" ".join(words(r, 80)) for _ in range(2))
+    near = lambda t: t + " end"
+    rows_ = [(5, a), (5, b), (7, near(b)), (9, near(a)), (3, b), (11, " ".join(words(r, 60)))]
+    for order in (rows_, rows_[::-1]):
+        got = minhash.minhash_dedup(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, v[1]) for i, v in minhash.brute(order).items()} == {(5, 3), (7, 3), (9, 3), (3, 3), (11, 11)}
+
+
 def test_equal_bytes(spark):
     from pyspark.sql import functions as F
 
@@ -282,6 +316,14 @@ def test_passages_in_a_small_alphabet(spark, monkeypatch, hot, batch, shard):
     assert got == suffix.brute(rows)
 
 
+def test_passages_of_many_copies_of_a_row(spark):
+    r = random.Random(5)
+    text = " ".join(words(r, 600))
+    many = spark.createDataFrame([(1, text)] * 500 + [(2, text)], "doc_id long, text string").repartition(3)
+    got = suffix.cut_repeats(many).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(x) for x in got} == {(1, 0, 500), (2, len(text.encode()), 1)}
+
+
 def test_passages_nulls_and_empty(spark):
     got = suffix.cut_repeats(nulls(spark), keep=("rep", "th"), as_text=True)
     assert got.columns[:3] == ["doc_id", "rep", "th"] and [r["n_removed"] for r in got.collect()] == [0, 0]
