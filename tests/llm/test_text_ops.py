@@ -431,17 +431,30 @@ def test_toxicity_keeps_words_apart(spark):
         if seen.setdefault(slot, w) != w:
             break
     toxic, unseen = seen[slot], w
-    rows = [(i, f"one two three {toxic if i % 2 else 'four'} five") for i in range(40)] + [(100, unseen), (101, toxic)]
+    rows = [(i, f"one two three {'four' if i % 5 else toxic} five") for i in range(300)] + [(1000, unseen), (1001, toxic), (1002, "quite other")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect()}
-    assert got[100] == 0 and got[101] > 1
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")).collect()}
+    assert got[1000] == pytest.approx(got[1002]) and got[1001] > got[1000] + 1
 
 
 def test_toxicity_counts_every_occurrence(spark):
     """200 of 1,000 words carry a fifth of what the word carries alone; the others bring nothing."""
-    rows = [(i, f"one two three {'zorgly' if i % 2 else 'four'} five") for i in range(40)]
+    rows = [(i, f"one two three {'four' if i % 5 else 'zorgly'} five") for i in range(300)]
     rest = ["".join(chr(98 + int(c)) for c in f"{i:03d}") + "q" for i in range(800)]
-    rows += [(100, " ".join(["zorgly"] * 200 + rest)), (101, "zorgly")]
+    rows += [(1000, " ".join(["zorgly"] * 200 + rest)), (1001, "zorgly"), (1002, " ".join(rest))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")).collect()}
-    assert got[101] > 1 and got[100] == pytest.approx(got[101] / 5)
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(d, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")).collect()}
+    assert got[1001] > 1 and got[1000] == pytest.approx(got[1001] / 5 + got[1002] * 4 / 5)
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(12)
+    vocabulary = words(r, 300)
+    rows = [(i, " ".join(r.choices(vocabulary, k=r.randint(1, 60)) + (["zorgly", "zorgling"] if i % 6 == 0 else []))) for i in range(240)] + [(500, None), (501, "Zorgly ÉTÉ zorgly"), (502, "")]
+    labels = [(i, int(i % 6 == 0)) for i in range(0, 240) if i % 3 < 2]
+    got = {x["doc_id"]: x["evidence"] for x in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    text = {i: t or "" for i, t in rows}
+    learned = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    evidence = toxicity.brute(list(text.values()), [text[i] for i, y in learned.items() if y], [text[i] for i, y in learned.items() if not y])
+    new = [i for i in text if i not in learned]
+    assert len(new) > 80 and all(got[i] == pytest.approx(evidence(text[i]), abs=1e-4) for i in new)
