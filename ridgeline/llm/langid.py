@@ -1,12 +1,13 @@
 """Operator 3: language ID by interpolated Kneser-Ney character models.
 
-One model a language, order 4 over a folded alphabet of 64 symbols (a-z, a
-space for everything that is not a letter, 37 slots for other letters), so a
-4-gram is a number below 2**24. That bounds the model: at most 2**24 entries a
-language, however large the corpus. Counts are gathered from every training
-row, summed where the rows are and then in Spark. Each order is a sorted hash
-array: the sorted n-grams that any language has, and a matrix of final log
-probabilities with a column for each language, so a lookup scores all
+One model a language, order 4 over the letters themselves, as UTF-16 units
+(a letter beyond the first 65,536 is two of them), and one space for whatever
+is not a letter. So a 4-gram is exactly one 64-bit key, of any script. Counts
+are gathered from every training row, summed where the rows are and then in
+Spark; the model has an entry for each n-gram that the corpus has, so it grows
+as a language's n-grams do, and passes through the driver. Each order is a
+sorted array of keys: the n-grams that any language has, and a matrix of final
+log probabilities with a column for each language, so a lookup scores all
 languages at once.
 
 The language with the lowest length-normalised cross-entropy wins. Rejection
@@ -32,33 +33,40 @@ from pyspark.sql import functions as F
 
 from .common import Saved, pieces, release, small_batches, table
 
-ORDER, BITS = 4, 6
-SIZE = 1 << BITS
+ORDER, BITS = 4, 16
+U = np.uint64
 
 
-def fold_table() -> np.ndarray:
-    """Symbol of each code point: 0 no letter, 1-26 a-z, 27-63 other letters."""
-    out = np.zeros(0x110000, np.uint8)
-    points = [c for c in range(0x110000) if chr(c).isalpha()]
-    out[points] = 27 + (np.array(points, np.uint64) * np.uint64(2654435761) % np.uint64(2**32) % np.uint64(37)).astype(np.uint8)
-    out[97:123] = np.arange(1, 27)
-    return out
+def low_units(k: int) -> np.uint64:
+    """The mask of the last k symbols of a key."""
+    return U((1 << (BITS * k)) - 1)
 
 
-_fold = None
+def letter_table() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+_letters = None
 
 
 def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, bounds, letters): the folded texts one after another, runs of 0 cut to one; each starts with a 0."""
-    global _fold
-    if _fold is None:
-        _fold = fold_table()
+    """(symbols, bounds, letters): the units of the texts one after another, 0 for other characters, runs of 0 cut to one; each starts with a 0."""
+    global _letters
+    if _letters is None:
+        _letters = letter_table()
     col = pc.utf8_lower(col.fill_null(""))
+    points = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-    text = "".join(col.to_pylist())
-    codes = _fold[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.where(_letters[points], points, 0)
+    wide = points > 0xFFFF
+    codes = points.astype(np.uint16)
+    if wide.any():  # two units each
+        doc = np.repeat(np.arange(len(lens)), lens)
+        lens = lens + np.bincount(doc[wide], minlength=len(lens))
+        codes = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-16-le", "surrogatepass"), np.uint16)
     ends = np.concatenate([[0], np.cumsum(lens)])
-    s = np.zeros(len(codes) + len(lens), np.uint8)
+    s = np.zeros(len(codes) + len(lens), np.uint16)
     doc = np.repeat(np.arange(len(lens)), lens)
     s[np.arange(len(codes)) + doc + 1] = codes
     starts = ends[:-1] + np.arange(len(lens))
@@ -74,13 +82,13 @@ def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def grams(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The 4-grams that end at each symbol after a text's first (padded with 0), and their bounds."""
-    w = s.astype(np.uint32)
+    w = s.astype(U)
     at = np.arange(len(s)) - np.repeat(bounds[:-1], np.diff(bounds))
     g = w.copy()
     for k in range(1, ORDER):
         prev = np.zeros_like(w)
         prev[k:] = w[:-k]
-        g |= np.where(at >= k, prev, 0).astype(np.uint32) << np.uint32(BITS * k)
+        g |= np.where(at >= k, prev, U(0)) << U(BITS * k)
     return g[at > 0], bounds - np.arange(len(bounds))
 
 
@@ -102,7 +110,7 @@ def count_grams(batches):
             parts = [g[bounds[i] : bounds[i + 1]] for i, x in enumerate(langs) if x == lang]
             merge(lang, *np.unique(np.concatenate(parts), return_counts=True))
     for lang, (keys, n) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def discount(n: np.ndarray) -> float:
@@ -113,26 +121,28 @@ def discount(n: np.ndarray) -> float:
 class Kneser:
     """Interpolated Kneser-Ney of one language: probabilities of all n-grams of an order."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
+    def __init__(self, keys: np.ndarray, n: np.ndarray, symbols: int):
         self.tables = []  # from the lowest order
-        counts = (keys.astype(np.int64), n.astype(np.int64))
+        self.symbols = symbols
+        order = np.argsort(keys)
+        counts = (keys[order], n[order].astype(np.int64))
         orders = [counts]
         for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
-            low, c = np.unique(orders[-1][0] & ((1 << (BITS * k)) - 1), return_counts=True)
+            low, c = np.unique(orders[-1][0] & low_units(k), return_counts=True)
             orders.append((low, c))
         for keys, n in reversed(orders):
             d = discount(n)
-            ctx, back, types = np.unique(keys >> BITS, return_inverse=True, return_counts=True)
+            ctx, back, types = np.unique(keys >> U(BITS), return_inverse=True, return_counts=True)
             total = np.bincount(back, n)
             self.tables.append({"keys": keys, "p": np.maximum(n - d, 0) / total[back], "ctx": ctx, "bow": d * types / total})
 
     def prob(self, order: int, grams: np.ndarray) -> np.ndarray:
         """P(last symbol | the others) for n-grams of ``order`` symbols."""
         if order == 0:
-            return np.full(len(grams), 1 / SIZE)
+            return np.full(len(grams), 1 / self.symbols)
         t = self.tables[order - 1]
-        low = self.prob(order - 1, grams & ((1 << (BITS * (order - 1))) - 1))
-        return find(t["keys"], t["p"], grams, 0.0) + find(t["ctx"], t["bow"], grams >> BITS, 1.0) * low
+        low = self.prob(order - 1, grams & low_units(order - 1))
+        return find(t["keys"], t["p"], grams, 0.0) + find(t["ctx"], t["bow"], grams >> U(BITS), 1.0) * low
 
 
 def find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
@@ -147,39 +157,40 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         self.langs = sorted(counts["lang"].unique())
-        models = [Kneser(*(part := counts[counts["lang"] == x].sort_values("gram"))[["gram", "n"]].to_numpy().T) for x in self.langs]
+        keys = counts["gram"].to_numpy().astype(np.int64).view(U)
+        self.symbols = len(np.unique(keys & low_units(1))) + 1  # one for all that were never seen
+        lang, n = counts["lang"].to_numpy(), counts["n"].to_numpy()
+        models = [Kneser(keys[lang == x], n[lang == x], self.symbols) for x in self.langs]
         self.orders = []
         for k in range(ORDER, 0, -1):
-            keys = np.unique(np.concatenate([m.tables[k - 1]["keys"] for m in models])) if models else np.zeros(0, np.int64)
+            keys = np.unique(np.concatenate([m.tables[k - 1]["keys"] for m in models])) if models else np.zeros(0, U)
             logp = np.log(np.stack([m.prob(k, keys) for m in models], axis=1)).astype(np.float32) if models else None
             ctx = np.unique(np.concatenate([m.tables[k - 1]["ctx"] for m in models])) if models else keys
             bow = np.log(np.stack([find(m.tables[k - 1]["ctx"], m.tables[k - 1]["bow"], ctx, 1.0) for m in models], axis=1)).astype(np.float32) if models else None
             self.orders.append((keys, logp, ctx, bow))
-        self.index = None
 
     def scores(self, g: np.ndarray) -> np.ndarray:
         """Log probability of each 4-gram in each language."""
-        if self.index is None:  # on the worker: the place of every 4-gram in the sorted array
-            self.index = np.full(1 << (BITS * ORDER), -1, np.int32)
-            self.index[self.orders[0][0]] = np.arange(len(self.orders[0][0]), dtype=np.int32)
-        at = self.index[g]
-        out = self.orders[0][1][at]
-        miss = np.flatnonzero(at < 0)
+        distinct, back = np.unique(g, return_inverse=True)  # sorted, so that lookups run along the array
+        keys, logp = self.orders[0][:2]
+        at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+        out = logp[at]
+        miss = np.flatnonzero(keys[at] != distinct)
         if len(miss):
-            out[miss] = self.backed(g[miss].astype(np.int64))
-        return out
+            out[miss] = self.backed(distinct[miss])
+        return out[back]
 
     def backed(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros((len(g), len(self.langs)), np.float32)
         open_ = np.arange(len(g))
         for k in range(ORDER - 1, -1, -1):
             ctx, bow = self.orders[ORDER - 1 - k][2:]
-            h = g[open_] >> BITS
+            h = g[open_] >> U(BITS)
             at = np.minimum(np.searchsorted(ctx, h), len(ctx) - 1)
             out[open_] += np.where((ctx[at] == h)[:, None], bow[at], 0)
-            g = g & ((1 << (BITS * k)) - 1)
+            g = g & low_units(k)
             if k == 0:
-                out[open_] += -np.log(SIZE)
+                out[open_] += -np.log(self.symbols)
                 break
             keys, logp = self.orders[ORDER - k][:2]
             at = np.minimum(np.searchsorted(keys, g[open_]), len(keys) - 1)
@@ -225,8 +236,8 @@ def language_id(documents: DataFrame, tail: float = 0.999, slack: float = 1.2, s
     """doc_id, held_out, lang_pred, score, entropy, rejected for every row of ``documents`` (doc_id, text, lang)."""
     small_batches(documents.sparkSession)
     learned = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = learned.select("text", "lang").mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    model = Model(counts.toPandas())  # at most 2**24 rows a language
+    counts = learned.select("text", "lang").mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    model = Model(counts.toPandas())  # a row for each n-gram and language
     release(documents.sparkSession)
     docs = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     out = "doc_id {}, held_out boolean, lang_pred string, score double, entropy double, n_letters long".format(dict(documents.dtypes)["doc_id"])
@@ -243,7 +254,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
-def brute_prob(counts: dict, history: tuple, symbol: int) -> float:
+def brute_prob(counts: dict, history: tuple, symbol: int, symbols: int) -> float:
     """Interpolated Kneser-Ney by the formula over {4-gram tuple: n}, for tests."""
     levels = [dict(counts)]
     for _ in range(ORDER - 1):
@@ -254,7 +265,7 @@ def brute_prob(counts: dict, history: tuple, symbol: int) -> float:
 
     def p(k, h):
         if k == 0:
-            return 1 / SIZE
+            return 1 / symbols
         level = levels[ORDER - k]
         n = np.array(list(level.values()))
         d = discount(n)

@@ -189,11 +189,37 @@ def test_language_model_is_kneser_ney():
 
     r = np.random.default_rng(0)
     counts = Counter(tuple(int(x) for x in g) for g in r.integers(0, 5, (400, 4)))
-    pack = lambda g: sum(x << (6 * (3 - i)) for i, x in enumerate(g))
+    pack = lambda g: sum(x << (16 * (3 - i)) for i, x in enumerate(g))
     model = langid.Model(pd.DataFrame([("x", pack(g), n) for g, n in counts.items()], columns=["lang", "gram", "n"]))
     tests = [tuple(int(x) for x in g) for g in r.integers(0, 7, (80, 4))]
-    got = model.scores(np.array([pack(g) for g in tests], np.uint32))[:, 0]
-    assert np.allclose(got, np.log([langid.brute_prob(counts, g[:3], g[3]) for g in tests]), atol=1e-5)
+    got = model.scores(np.array([pack(g) for g in tests], np.uint64))[:, 0]
+    assert model.symbols == 6
+    assert np.allclose(got, np.log([langid.brute_prob(counts, g[:3], g[3], 6) for g in tests]), atol=1e-5)
+
+
+def test_language_symbols_are_letters_of_any_script():
+    s, bounds, letters = langid.symbols(pa.array(["Ab1é", None, "中 𠀀!", "😀", "..ÉΩ"]))
+    assert letters.tolist() == [3, 0, 3, 0, 2]
+    assert s.tolist() == [0, 97, 98, 0, 0xE9, 0, 0, 0x4E2D, 0, 0xD840, 0xDC00, 0, 0, 0, 0xE9, 0x3C9]
+    assert bounds.tolist() == [0, 5, 6, 12, 13, 16]
+
+
+def test_language_id_equals_brute_force(spark):
+    """The choice and its entropy by the formula, over texts of four alphabets."""
+    r = random.Random(6)
+    alphabets = {"a": "abcd", "g": "αβγδ", "c": "абвг", "h": "中文字典"}
+    rows = [(i, " ".join("".join(r.choices(alphabets[k], k=r.randint(1, 6))) for _ in range(r.randint(2, 9))), k) for i, k in enumerate(r.choices(list(alphabets), k=80))]
+    rows += [(200, "ab αβ α", "a"), (201, "zzz", None)]
+    got = {x["doc_id"]: x for x in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    counts = {k: Counter() for k in alphabets}
+    grams_of = lambda t: [tuple(([0] * 4 + [0, *(ord(c) if c.isalpha() else 0 for c in t)])[n + 2 : n + 6]) for n in range(len(t))]
+    for i, t, k in rows:
+        if k and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[k].update(grams_of(t))
+    symbols = len({g[-1] for c in counts.values() for g in c}) + 1
+    for i, t, _ in rows[::7] + rows[-2:]:
+        ce = {k: -np.mean([np.log(langid.brute_prob(counts[k], g[:3], g[3], symbols)) for g in grams_of(t)]) for k in counts}
+        assert got[i]["entropy"] == pytest.approx(min(ce.values()), abs=1e-4) and ce[got[i]["lang_pred"]] == pytest.approx(min(ce.values()))
 
 
 def test_language_id(spark, docs):
