@@ -64,6 +64,37 @@ def rank_hits(signals: DataFrame, strengths: DataFrame, limit: int | None = None
     return out.limit(limit) if limit is not None else out
 
 
+def market_scan(bars: DataFrame, sync: DataFrame, mode: str = "loose", level: str = "day") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, hits) of every series of ``bars`` (code, period, ts, high, low, close).
+
+    sync: (code, period, sync_start, sync_end). Only series with enough history
+    are analysed. outcomes: code, period, outcome (hit, none, insufficient or
+    error), reason, n_hits, best strength; hits: code, period, kind, ts, price,
+    status, strength. The structure is computed once for both.
+    """
+    from ridgeline.operators.structure import structure
+
+    keys = ["code", "period"]
+    series = bars.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.min("ts").alias("file_start")).join(sync.select(*keys, "sync_start", "sync_end"), keys, "left")
+    judged = sufficiency(series)
+    table = structure(bars.join(judged.where("ok").select(*keys), keys, "left_semi"), level=level, mode=mode, layers=("signal", "segment"))
+    # strengths meet their signals inside a series: one aggregation of the table instead of two readings
+    own = Window.partitionBy(*keys, "layer", "direction").orderBy("src_end", "idx")
+    prev = lambda c: F.lag(c).over(own)
+    further = F.when(F.col("direction") == 1, F.col("high") > prev("high")).otherwise(F.col("low") < prev("low"))
+    share = F.least(F.greatest(F.try_divide(prev("area_now") - F.col("area_now"), prev("area_now")), F.lit(0.0)), F.lit(1.0))
+    weaker = F.when(F.coalesce(further & (F.col("area_now") < prev("area_now")), F.lit(False)), share).otherwise(0.0)
+    marked = table.withColumn("divergence", F.when(F.col("layer") == "segment", weaker))
+    both = marked.withColumn("divergence", F.max("divergence").over(Window.partitionBy(*keys, "src_start", "src_end")))
+    strength = round_half_up(hit_strength(F.col("kind"), F.col("level"), F.col("status"), F.col("flag"), F.col("divergence")), 6)
+    hits = both.where("layer = 'signal'").select(*keys, "kind", "ts", "price", "status", strength.alias("strength"))
+    failed = table.where("layer = 'error'").select(*keys, F.col("text").alias("error"))
+    found = hits.groupBy(*keys).agg(F.count("*").alias("n_hits"), F.max("strength").alias("best"))
+    out = judged.join(found, keys, "left").join(failed, keys, "left")
+    outcome = F.when(~F.col("ok"), "insufficient").when(F.col("error").isNotNull(), "error").when(F.col("n_hits") > 0, "hit").otherwise("none")
+    return out.select(*keys, outcome.alias("outcome"), F.coalesce("reason", "error").alias("reason"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best"), hits
+
+
 def level_context(signals: DataFrame, trends: DataFrame, pivots: DataFrame) -> DataFrame:
     """The higher trend (the first that holds the signal's bar), else the higher zone.
 

@@ -213,11 +213,13 @@ def snapshot_json(spark, d):
     return pit.snapshot_json(table(spark, d))
 
 
-@query(SIGNALS[True] + f""", gs AS (SELECT code, src_start, src_end, CASE WHEN if(d = 1, h > ph, l < pl) AND area < pa THEN least(greatest((pa - area) / pa, 0), 1) ELSE 0 END AS div FROM (
+STRENGTH = f""", gs AS (SELECT code, src_start, src_end, CASE WHEN if(d = 1, h > ph, l < pl) AND area < pa THEN least(greatest((pa - area) / pa, 0), 1) ELSE 0 END AS div FROM (
     SELECT *, lag(area) OVER w AS pa, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM d0a WINDOW w AS (PARTITION BY code, d ORDER BY src_end, idx))),
   gh AS (SELECT sig.code, kind, 'day' AS level, {sq.at('sig', 'src')} AS ts, CAST(price AS DOUBLE) AS price, status, CASE WHEN kind IN ('b1', 's1') THEN 3e0 WHEN kind IN ('b2', 's2') THEN 2e0 WHEN kind IN ('b3', 's3') THEN 1.5e0 ELSE 1e0 END * 2e0
-    * CASE status WHEN 'confirmed' THEN 1e0 ELSE 0.6e0 END * CASE WHEN nested = false THEN 0.7e0 ELSE 1e0 END * (1 + coalesce(gs.div, 0)) AS raw FROM sig LEFT JOIN gs ON gs.code = sig.code AND gs.src_start = sig.src_start AND gs.src_end = sig.src_end)
-  SELECT code, kind, level, ts, price, status, {rnd('raw', 6)} AS strength FROM gh ORDER BY strength DESC, level, ts, code, kind LIMIT 50""")
+    * CASE status WHEN 'confirmed' THEN 1e0 ELSE 0.6e0 END * CASE WHEN nested = false THEN 0.7e0 ELSE 1e0 END * (1 + coalesce(gs.div, 0)) AS raw FROM sig LEFT JOIN gs ON gs.code = sig.code AND gs.src_start = sig.src_start AND gs.src_end = sig.src_end)"""
+
+
+@query(SIGNALS[True] + STRENGTH + f""" SELECT code, kind, level, ts, price, status, {rnd('raw', 6)} AS strength FROM gh ORDER BY strength DESC, level, ts, code, kind LIMIT 50""")
 def scan_strength_topk(spark, d):
     """One kernel pass: segments carry their areas, so signals and strengths come from one table."""
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "segment"))
@@ -225,6 +227,18 @@ def scan_strength_topk(spark, d):
     return scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), 50)
 
 
+@query(SIGNALS[True] + STRENGTH + f""", sn AS (SELECT code, count(*) AS n, min(ts) AS a, max(ts) AS z FROM b GROUP BY code)
+  SELECT sn.code, 'day' AS period, CASE WHEN sn.code[1] IN ('1', '2', '3') THEN 'insufficient' WHEN count(gh.code) > 0 THEN 'hit' ELSE 'none' END AS outcome,
+    CASE sn.code[1] WHEN '1' THEN 'never synchronised' WHEN '2' THEN 'history too short' WHEN '3' THEN 'history too short' END AS reason, count(gh.code) FILTER (sn.code[1] > '3') AS n_hits, {rnd('max(raw) FILTER (sn.code[1] > chr(51))', 6)} AS best
+  FROM sn LEFT JOIN gh ON gh.code = sn.code GROUP BY sn.code""")
+def market_scan(spark, d):
+    """The scan as a job: one series was never synchronised, one has a malformed date, one is too short; the others are analysed."""
+    b = walk(spark, d).withColumn("period", F.lit("day"))
+    first = F.substring("code", 1, 1)
+    sync = b.groupBy("code", "period").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).where(first != "1").select("code", "period", F.when(first == "2", F.lit("19x")).when(first == "3", F.date_sub(F.to_date("z"), 100).cast("string")).otherwise(F.col("a")).alias("sync_start"), F.col("z").alias("sync_end"))
+    return scan.market_scan(b, sync)[0]
+
+
 @query(SIGNALS[True] + """, se AS (SELECT code, kind, src_end FROM sig) SELECT se.code, se.kind, se.src_end, x.t AS trend_idx, CASE WHEN x.t IS NULL THEN y.p END AS zone_idx FROM se
   LEFT JOIN (SELECT s.code, s.src_end, min(t1.idx) AS t FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN t1 ON t1.code = s.code AND s.src_end BETWEEN t1.src_start AND t1.src_end GROUP BY 1, 2) AS x ON x.code = se.code AND x.src_end = se.src_end
   LEFT JOIN (SELECT s.code, s.src_end, min(p0.idx) AS p FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN p0 ON p0.code = s.code AND s.src_end BETWEEN p0.src_start AND p0.src_end GROUP BY 1, 2) AS y ON y.code = se.code AND y.src_end = se.src_end""")
