@@ -14,9 +14,8 @@ bucket by hash, bucket counts become offsets, and pieces are numbered within
 their buckets; a hot length spreads over all buckets.
 
 Defined results. Null or empty text: one piece of length 1, the end id.
-Repeated rows: packed each; rows that share a doc_id are told apart by the
-hash of their ids only, so equal ones are interchangeable. Empty table: empty
-result.
+Repeated rows: packed each, and spread over buckets like others. Empty table:
+empty result.
 """
 
 from __future__ import annotations
@@ -194,9 +193,9 @@ def pack(documents: DataFrame, vocabulary: str | None = None, end: int = 0, size
     small_batches(spark)
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", "text").mapInArrow(cut(vocabulary or word_bpe(), end, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    parts = Saved(rows, "pieces").df
+    parts = Saved(rows.withColumn("row", F.monotonically_increasing_id()), "pieces").df  # written, so a piece keeps its number
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = parts.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     places = plan(hist, size)
@@ -204,7 +203,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, end: int = 0, size
     placed = spark.createDataFrame(places or [], "p_length long, low long, high long, sequence long, offset long")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("length").alias("b_length"), F.col("bucket").alias("b_bucket"), F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = parts.withColumn("own", own).join(before, (F.col("length") == F.col("b_length")) & (F.col("bucket") == F.col("b_bucket"))).withColumn("rank", F.col("own") + F.col("before"))
     out = ranked.join(F.broadcast(placed) if len(places) < 100_000 else placed, (F.col("length") == F.col("p_length")) & F.col("rank").between(F.col("low"), F.col("high")))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
