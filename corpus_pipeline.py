@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridgeline.llm import langid, minhash, packing, quality, suffix
-from ridgeline.llm.common import saved
+from ridgeline.llm.common import alone
 
 
 def _name():
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        now = alone(lambda: stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            last.drop()
+        docs, last = now.df, now
     return STAGES[-1][1](spark, docs, sf_dir)
