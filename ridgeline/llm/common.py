@@ -41,6 +41,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Tables that were written and not dropped, in order.
+_held: list[Saved] = []
+
+
 class Saved:
     """A table that was written to the shared folder; ``drop()`` frees its disk."""
 
@@ -55,8 +59,11 @@ class Saved:
         finally:
             conf.set(key, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _held.append(self)
 
     def drop(self) -> None:
+        if self in _held:
+            _held.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -67,6 +74,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return Saved(df, tag).df
 
 
+def alone(make, tag: str) -> Saved:
+    """The table that ``make()`` gives, written; what an operator wrote on the way to it is dropped."""
+    before = set(map(id, _held))
+    out = Saved(make(), tag)
+    for other in [s for s in _held if id(s) not in before and s is not out]:
+        other.drop()
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more."""
     gc.collect()

@@ -137,6 +137,22 @@ def test_pipeline_equals_brute_force(spark):
     assert all(n <= want[i][0] - want[i][1] and n >= want[i][0] - want[i][1] - 6 * want[i][2] for i, n in cut.items())
 
 
+def test_tables_on_the_way_are_dropped(spark):
+    import glob
+
+    root = common.checkpoint_dir(spark).removeprefix("file://") + "/ridgeline"
+    before = set(glob.glob(f"{root}/*"))
+
+    def make():
+        step = common.saved(spark.range(5), "step")
+        return step.where("id > 1")
+
+    out = common.alone(make, "result")
+    assert set(glob.glob(f"{root}/*")) - before == {out.path.removeprefix("file://")} and out.df.count() == 3
+    out.drop()
+    assert set(glob.glob(f"{root}/*")) == before
+
+
 def test_pipeline_with_columns_of_any_name(spark):
     cp = stages()
     names = ["kept", "_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row", "rest", "id", "th", "spots", "key", "a.b"]
