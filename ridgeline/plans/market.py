@@ -251,3 +251,86 @@ def day_binary_import(spark, d):
 
     bars.lineitem_bars(spark, d).select("code", "ts", "open", "high", "low", "close", "volume").groupBy("code").applyInPandas(write, "code string").collect()
     return files.read_packages(spark, f"file://{root}").select("code", "period", "ts", "open", "high", "low", "close", "volume", "error")
+
+
+MARKET = """CASE WHEN code LIKE '%.%' THEN split_part(code, '.', 1) ELSE coalesce(CASE substr(code, 1, 2) WHEN '92' THEN 'bj' WHEN '88' THEN 'sh' WHEN '81' THEN 'bj' WHEN '82' THEN 'bj' ELSE
+  CASE substr(code, 1, 1) WHEN '6' THEN 'sh' WHEN '5' THEN 'sh' WHEN '9' THEN 'sh' WHEN '4' THEN 'bj' WHEN '8' THEN 'bj' WHEN '2' THEN 'sz' WHEN '3' THEN 'sz' END END, 'sz') END"""
+STORED = "SELECT CASE o_custkey % 4 WHEN 0 THEN 'sh.' WHEN 1 THEN 'sz.' WHEN 2 THEN 'hk.' ELSE '' END || lpad(CAST((o_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code, strftime(max(o_orderdate), '%Y-%m-%d') AS last_ts FROM orders GROUP BY o_custkey"
+
+
+def _stored(spark, d):
+    """A store's codes, some with a market, and their last days."""
+    six = F.lpad(((F.col("o_custkey") * 7919) % 1000000).cast("string"), 6, "0")
+    head = F.element_at(F.array(*map(F.lit, ("sh.", "sz.", "hk.", ""))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    o = t(spark, d, "orders").groupBy("o_custkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last_ts"))
+    return o.select(F.concat(head, six).alias("code"), "last_ts")
+
+
+@query(f"WITH s AS ({STORED}) SELECT {MARKET} AS market, max(last_ts) AS newest, count(*) AS n FROM s GROUP BY 1")
+def newest_per_market(spark, d):
+    from ridgeline.operators import lookups
+
+    return lookups.newest_per_market(_stored(spark, d))
+
+
+@query(f"""WITH s AS ({STORED}), w AS (SELECT DISTINCT lpad(CAST((c_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code FROM customer)
+  SELECT w.code, coalesce(min(CASE WHEN s.code = w.code THEN s.code END), min(CASE WHEN s.code = 'sh.' || w.code THEN s.code END), min(CASE WHEN s.code = 'sz.' || w.code THEN s.code END)) AS found
+  FROM w LEFT JOIN s ON s.code IN (w.code, 'sh.' || w.code, 'sz.' || w.code) GROUP BY w.code""")
+def benchmark_first_hit(spark, d):
+    """The stored key that stands for a bare code: itself, else of Shanghai, else of Shenzhen."""
+    from ridgeline.operators import lookups
+
+    wanted = t(spark, d, "customer").select(F.lpad(((F.col("c_custkey") * 7919) % 1000000).cast("string"), 6, "0").alias("code")).distinct()
+    return lookups.first_hit(wanted, _stored(spark, d))
+
+
+@query("""WITH tk AS (SELECT CAST(c_custkey AS VARCHAR) AS code, unnest(['day', '30']) AS period FROM customer), u AS (SELECT CAST(s_suppkey AS VARCHAR) AS code, s_name AS name FROM supplier),
+  y AS (SELECT CAST(o_custkey AS VARCHAR) AS code, 'day' AS period, strftime(min(o_orderdate), '%Y-%m-%d') AS sync_start, strftime(max(o_orderdate), '%Y-%m-%d') AS sync_end FROM orders GROUP BY o_custkey)
+  SELECT tk.code, tk.period, coalesce(name, '') AS name, sync_start, sync_end FROM tk LEFT JOIN u ON u.code = tk.code LEFT JOIN y ON y.code = tk.code AND y.period = tk.period""")
+def task_dims(spark, d):
+    from ridgeline.operators import lookups
+
+    day = lambda f: F.date_format(f("o_orderdate"), "yyyy-MM-dd")
+    tasks = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("code"), F.explode(F.array(F.lit("day"), F.lit("30"))).alias("period"))
+    universe = t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("name"))
+    sync = t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("code")).agg(day(F.min).alias("sync_start"), day(F.max).alias("sync_end")).withColumn("period", F.lit("day"))
+    return lookups.with_dims(tasks, universe, sync)
+
+
+@query("SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS scan_date, event_type AS code, value AS strength FROM events ORDER BY event_id DESC LIMIT 500")
+def scan_results_latest(spark, d):
+    from ridgeline.operators import lookups
+
+    saved = t(spark, d, "events").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("scan_date"), F.col("event_type").alias("code"), F.col("value").alias("strength"))
+    return lookups.scan_results(saved)
+
+
+@query(f"""WITH s AS ({STORED}), x AS (SELECT DISTINCT code, {MARKET} AS market FROM s), p AS (SELECT *, unnest(['1', '5', '30', 'day']) AS period FROM x)
+  SELECT code, period, CASE WHEN market IN ('sh', 'sz') AND (period = '1' OR (period <> 'day' AND substr(split_part(code, '.', -1), 1, 3) = if(market = 'sh', '000', '399'))) THEN 'pytdx' WHEN market = 'hk' THEN 'tencent' ELSE 'baostock' END AS source FROM p""")
+def source_routes(spark, d):
+    from ridgeline.operators import lookups
+
+    each = _stored(spark, d).select("code").distinct().select("code", F.explode(F.array(*map(F.lit, ("1", "5", "30", "day")))).alias("period"))
+    return each.select("code", "period", lookups.source_route(F.col("code"), F.col("period")).alias("source"))
+
+
+@query("SELECT strftime(day, '%Y-%m-%d') AS day, 'weekday' AS source FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS day) WHERE isodow(day) < 6")
+def calendar_weekdays(spark, d):
+    from ridgeline.operators import lookups
+
+    nothing = t(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("day > DATE '2100-01-01'")
+    return lookups.trading_calendar(nothing, "1992-01-01", "1998-12-31").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source")
+
+
+@query("""WITH o AS (SELECT n_name AS code, n_regionkey AS r, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey END AS sort_order FROM nation WHERE n_nationkey < 12 AND n_nationkey <> 4),
+  f AS (SELECT n_name AS code, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation WHERE n_nationkey >= 8 AND n_name NOT IN (SELECT code FROM o))
+  SELECT code, sort_order FROM o UNION ALL SELECT code, (SELECT max(sort_order) FROM o) + n FROM f""")
+def watchlist_edit(spark, d):
+    """One name goes, others come behind what is there."""
+    from ridgeline.operators import lookups
+
+    n = t(spark, d, "nation")
+    rows = n.where("n_nationkey < 12").select(F.col("n_name").alias("code"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_nationkey")).cast("int").alias("sort_order"), F.lit("2020-01-01").alias("added_at"))
+    gone = n.where("n_nationkey = 4").first()["n_name"]
+    new = n.where("n_nationkey >= 8").select(F.col("n_name").alias("code"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"), F.lit("2020-01-02").alias("added_at"))
+    return lookups.add_watch(lookups.remove_watch(rows, gone), new).select("code", F.col("sort_order").cast("long").alias("sort_order"))

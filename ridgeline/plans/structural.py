@@ -105,6 +105,19 @@ def hist_area(spark, d):
     return longs(j, "idx").groupBy("code", "idx").agg(r(F.sum(F.greatest(F.col("hist") * F.col("direction"), F.lit(0.0))), 2).alias("area"))
 
 
+@query(sq.base(sq.MACD, "df AS (SELECT code, i, f - s AS dif FROM e1)") + f""" SELECT code, idx, {rnd('hi.dif', 2)} AS dif_high, hi.i AS high_at, {rnd('lo.dif', 2)} AS dif_low, lo.i AS low_at, {rnd('if(d = 1, hi.dif, lo.dif)', 2)} AS dif_extreme
+  FROM (SELECT sg.code, sg.idx, any_value(d) AS d, arg_max({{'dif': dif, 'i': i}}, {{'a': dif, 'b': -i}}) AS hi, arg_min({{'dif': dif, 'i': i}}, {{'a': dif, 'b': i}}) AS lo FROM sg JOIN df ON df.code = sg.code AND df.i BETWEEN src_start AND src_end GROUP BY sg.code, sg.idx)""")
+def dif_extremes(spark, d):
+    """DIF's highest and lowest in every segment, and where."""
+    from ridgeline.operators import lookups
+    from ridgeline.operators.indicators import ema_macd
+    from pyspark.sql import Window
+
+    lines = ema_macd(walk(spark, d)).withColumn("i", F.row_number().over(Window.partitionBy("code").orderBy("ts")) - 1)
+    got = lookups.dif_extremes(table(spark, d, "segment"), lines)
+    return longs(got, "idx", "high_at", "low_at").withColumns({c: r(F.col(c), 2) for c in ("dif_high", "dif_low", "dif_extreme")})
+
+
 @query(sq.base(sq.LEVEL0, sq.DIVERGE) + f""" SELECT code, idx, d AS direction, {sq.at('d0', 'src')} AS ts, CAST(price AS DOUBLE) AS price, ref AS start_idx, seg AS end_idx, {rnd('now', 2)} AS area_now, {rnd('prev', 2)} AS area_prev, further AS new_extreme, status, {sq.at('d0', 'known')} AS confirmed_at FROM d0 WHERE kind = 'consolidation'""")
 def divergence_consolidation(spark, d):
     return longs(table(spark, d, "divergence"), "idx", "direction", "start_idx", "end_idx").where("kind = 'consolidation'").select("code", "idx", "direction", "ts", "price", "start_idx", "end_idx", r(F.col("area_now"), 2).alias("area_now"), r(F.col("area_prev"), 2).alias("area_prev"), F.col("flag").alias("new_extreme"), "status", "confirmed_at")
