@@ -55,7 +55,7 @@ class Saved:
         before = conf.get(key, "false")
         conf.set(key, "true")  # the shuffle files of this write are of no use once it is done
         try:
-            df.write.parquet(self.path)
+            df.write.option("compression", "zstd").parquet(self.path)
         finally:
             conf.set(key, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
