@@ -298,3 +298,35 @@ def test_market_predicates_take_every_row(spark, tiny, monkeypatch):
     given = spark.createDataFrame([(4, "sh600000"), (5, " 000001.SZ"), (10, "sh.600000.sz"), (11, "x600000"), (0, "600000")], "p_partkey long, text string")
     monkeypatch.setattr(market, "_codes", lambda spark, d: given)
     assert rows(market.QUERIES["market_predicates"](spark, tiny), "p_partkey", "market") == [(0, "sh"), (4, "sh"), (5, "sz")]
+
+
+def test_lookups(spark):
+    from ridgeline.operators import lookups
+
+    saved = spark.createDataFrame([(1, "2026-01-02", "a", 1.0), (2, "2026-01-02", "b", 3.0), (3, "2026-01-03", "c", 2.0)], "id long, scan_date string, code string, strength double")
+    assert [r["id"] for r in lookups.scan_results(saved, "2026-01-02").collect()] == [2, 1]
+    assert [r["id"] for r in lookups.scan_results(saved, limit=2).collect()] == [3, 2]
+    days = spark.createDataFrame([("2026-01-05",), ("2026-01-07",)], "day string").select(F.to_date("day").alias("day"))
+    assert [(str(r["day"]), r["source"]) for r in lookups.trading_calendar(days, "2026-01-01", "2026-01-31").orderBy("day").collect()] == [("2026-01-05", "cache"), ("2026-01-07", "cache")]
+    assert lookups.trading_calendar(days, "2026-02-02", "2026-02-08").count() == 5
+    routes = spark.createDataFrame([("sh.000001", "5"), ("sh.000001", "day"), ("600000", "1"), ("600000", "5"), ("hk.hsi", "day"), ("us.dji", "day"), ("sw.801120", "day")], "code string, period string")
+    assert [r[0] for r in routes.select(lookups.source_route(F.col("code"), F.col("period"))).collect()] == ["pytdx", "baostock", "pytdx", "baostock", "tencent", "sina", "sector"]
+    spans = spark.createDataFrame([("a", 0, 1, 1, 3), ("a", 1, -1, 3, 5)], "code string, idx int, direction int, src_start int, src_end int")
+    lines = spark.createDataFrame([("a", i, v) for i, v in enumerate((9.0, 2.0, 5.0, 5.0, 1.0, 1.0, 0.0))], "code string, i int, dif double")
+    assert rows(lookups.dif_extremes(spans, lines)) == [("a", 0, 5.0, 2, 2.0, 1, 5.0), ("a", 1, 5.0, 3, 1.0, 4, 1.0)]
+    mine = spark.createDataFrame([("a", "A", 3, "x"), ("b", "B", None, "y")], "code string, name string, sort_order int, added_at string")
+    new = spark.createDataFrame([("b", "B", 0, "z"), ("c", "C", 1, "z")], "code string, name string, pos int, added_at string")
+    assert rows(lookups.add_watch(mine, new), "code", "sort_order") == [("a", 3), ("b", None), ("c", 4)]
+    assert rows(lookups.add_watch(mine, new, replace=True), "code", "sort_order") == [("b", 0), ("c", 1)]
+    assert rows(lookups.remove_watch(mine, "a"), "code") == [("b",)]
+
+
+def test_market_scan_outcomes(spark):
+    """One series lacks history, one a sync row, one fails; the rest go on."""
+    import math
+
+    b = [(c, "day", f"{2000 + i // 360:04d}-{i % 360 // 30 + 1:02d}-{i % 30 + 1:02d}", 10 + 2 * math.sin(i / 4), 9 + 2 * math.sin(i / 4), 9.5) for c in ("a", "b", "c") for i in range(400)]
+    bars_ = spark.createDataFrame(b, "code string, period string, ts string, high double, low double, close double")
+    sync = spark.createDataFrame([("a", "day", "2000-01-01", "2001-02-10"), ("b", "day", "x", "2001-02-10")], "code string, period string, sync_start string, sync_end string")
+    got = {r["code"]: (r["outcome"], r["reason"]) for r in scan.market_scan(bars_, sync)[0].collect()}
+    assert got["b"] == ("insufficient", "history too short") and got["c"] == ("insufficient", "never synchronised") and got["a"][0] in ("none", "hit")
