@@ -59,6 +59,15 @@ def plan(rows: int, dims: int, cosine: float, bucket: int, miss: float) -> tuple
     return bits, per, max(1, math.ceil(tables / per))
 
 
+def centred(cosine: float, sample: np.ndarray) -> float:
+    """The cosine that unit vectors at ``cosine`` have left on average once the sample's mean is taken off, which is what codes are of.
+
+    A common direction of over nine tenths of the vectors' length leaves too little to plan with: 0.5 at least.
+    """
+    mean = sample.mean(axis=0)
+    return max(0.5, 1 - (1 - cosine) / max(1e-9, 1 - float(mean @ mean)))
+
+
 def codes_of(x: np.ndarray, fits, bits: int, per: int) -> np.ndarray:
     """The chunk values of unit vectors: one column for each table."""
     weight = 1 << np.arange(bits, dtype=np.int64)
@@ -149,9 +158,9 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.95, bucket: int = 128,
 
 def search(classes: DataFrame, dims: int, n: int, cosine: float, bucket: int, miss: float, block: int, sample: int) -> DataFrame:
     """(cls, n, to): link counts, and links of spanning forests, of one vector length."""
-    bits, per, turns = plan(n, dims, cosine, bucket, miss)
     picked = classes.orderBy(F.xxhash64("cls")).limit(sample).select("v").toPandas()["v"]
     x = unit(picked)
+    bits, per, turns = plan(n, dims, centred(cosine, x), bucket, miss)
     fits = [fit(x, seed) for seed in range(turns)]
 
     def encode(batches):

@@ -36,6 +36,18 @@ def test_embeddings_equal_brute_force(spark, block):
         assert got[i] == (0, i, True)
 
 
+def test_vectors_with_a_common_direction(spark):
+    """Codes are of what is left beside the mean, so more tables are planned."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal((150, 32)) + 1.5
+    x = np.concatenate([base, base + 0.3 * r.standard_normal(base.shape)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert itq.centred(0.95, itq.unit(x)) < 0.9 and itq.centred(0.95, itq.unit(x - x.mean(axis=0))) > 0.94
+    got = {q["vec_id"]: q["n_links"] for q in itq.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bucket=8).collect()}
+    want = {i: v[0] for i, v in itq.brute(rows).items()}
+    assert sum(got.values()) >= 0.97 * sum(want.values()) > 0 and all(got[i] <= want[i] for i in got)
+
+
 def test_embeddings_nulls_and_empty(spark):
     s = "vec_id long, embedding array<float>"
     assert [tuple(r) for r in itq.embedding_dedup(spark.createDataFrame([(None, None)], s)).collect()] == [(None, 0, None, True)]
