@@ -39,6 +39,15 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+SQL["op12_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT * FROM n WHERE rank <= 5
+"""
+
 
 def _url_sql(damping: float = 0.85, rounds: int = 12) -> str:
     """The rules, and the two rankings with each round a common table expression."""

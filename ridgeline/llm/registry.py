@@ -7,6 +7,7 @@ from . import (
     itq,
     langid,
     minhash,
+    negatives,
     oracles,
     packing,
     quality,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
         "op10_toxicity": toxicity.query,
+        "op12_hard_negatives": negatives.query,
     }
 
 

@@ -107,7 +107,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_registry(spark):
     q = registry.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(q)
 
 
