@@ -39,6 +39,20 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
+SQL["op11_collocations"] = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 100),
+i AS (SELECT DISTINCT c.lang, c.g FROM c JOIN (SELECT lang, k, a, g, unnest(range(1, k)) AS at FROM c) AS x ON x.lang = c.lang AND x.k > c.k AND x.at + c.k - 1 <= x.k AND x.g[x.at:x.at + c.k - 1] = c.g AND 100 * x.a >= 100 * c.a),
+s AS (SELECT c.lang, c.g, c.a, cut, l.f AS l, r.f AS r, n.n, CAST((1000 * CAST(c.a AS HUGEINT) * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) AS c JOIN n ON n.lang = c.lang JOIN f AS l ON l.lang = c.lang AND l.g = c.g[1:cut] JOIN f AS r ON r.lang = c.lang AND r.g = c.g[cut + 1:c.k] ANTI JOIN i ON i.lang = c.lang AND i.g = c.g),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+"""
+
 SQL["op12_hard_negatives"] = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

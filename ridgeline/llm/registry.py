@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from . import (
     bpe,
+    collocations,
     itq,
     langid,
     minhash,
     negatives,
     oracles,
     packing,
+    pii,
     quality,
     suffix,
     tokenfile,
@@ -30,7 +32,9 @@ def queries() -> dict:
         "op8_embedding_dedup": itq.query,
         "op9_url_filters": url_filter.query,
         "op10_toxicity": toxicity.query,
+        "op11_collocations": collocations.query,
         "op12_hard_negatives": negatives.query,
+        "op13_pii": pii.query,
     }
 
 
