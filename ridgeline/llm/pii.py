@@ -99,19 +99,27 @@ def written(spans) -> str:
 # --- what the tagger learns from
 
 
+#: What may be personal though the rules keep nothing there: nine digits or more close together, a written-out "at".
+DOUBT = re.compile(r"[0-9](?:[^A-Za-z0-9\n]{0,3}[0-9]){8,}|[\[({<] ?(?:at|AT) ?[\])}>]|\b(?:at|AT) [^\s]{1,40} (?:dot|DOT)\b")
+
+
 def snippets(text: str, around: int = 40):
-    """(kind or none, snippet, its spans): windows around base matches, and around triggers that are part of no match."""
-    good, bad = base(text)
-    doubtful = [(a, z) for k, a, z in bad if k != "card" or z - a > 19] + [(a, z) for k, a, z in bad if k == "card" and z - a >= 14 and not luhn(digits_of(text[a:z][:40]))]
+    """(kind or none, snippet, its spans): windows around base matches, and around triggers that are part of no match.
+
+    A window that shows something doubtful has no sure labels and is left out.
+    """
+    good, _ = base(text)
+    doubtful = [m.span() for m in DOUBT.finditer(text)]
+    doubtful = [(a, z) for a, z in doubtful if not any(s <= a and z <= e for _, s, e in good)]
+    sure = lambda lo, hi: not any(a < hi and lo < z for a, z in doubtful)
     for kind, a, z in good:
         lo, hi = max(0, a - around), min(len(text), z + around)
-        own = [(k, s - lo, e - lo) for k, s, e in good if lo <= s and e <= hi]
-        if z - a <= WINDOW // 2 and not any(s < hi and lo < e and not (a <= s and e <= z) for s, e in doubtful if e - s > 9):
-            yield kind, text[lo:hi], own
+        if z - a <= WINDOW // 2 and sure(lo, hi):
+            yield kind, text[lo:hi], [(k, s - lo, e - lo) for k, s, e in good if lo <= s and e <= hi]
     last = -1
     for m in TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - around), min(len(text), m.start() + around)
-        if lo >= last and not any(s < hi and lo < e for _, s, e in good) and not any(s < hi and lo < e for _, s, e in bad if e - s > 9):
+        if lo >= last and sure(lo, hi) and not any(s < hi and lo < e for _, s, e in good):
             last = hi
             yield "none", text[lo:hi], []
 
