@@ -43,9 +43,11 @@ def reconcile(prev: DataFrame, new: DataFrame, keys: list[str], as_of: str) -> D
 
 def first_visible(seen: DataFrame, bars: DataFrame, keys: list[str], time: str = "checkpoint") -> DataFrame:
     """When each object first shows, without those that the first bar of its series shows already."""
-    start = bars.groupBy(F.col("code").alias("s_code")).agg(F.min("ts").alias("start"))
+    own = [k for k in ("code", "period") if k in keys]
+    start = bars.groupBy(*(F.col(k).alias(f"s_{k}") for k in own)).agg(F.min("ts").alias("start"))
     first = seen.groupBy(*keys).agg(F.min(time).alias("first_visible"))
-    return first.join(start, F.col("code") == F.col("s_code")).where(F.col("first_visible") > F.col("start")).select(*keys, "first_visible")
+    on = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in own]
+    return first.join(start, on).where(F.col("first_visible") > F.col("start")).select(*keys, "first_visible")
 
 
 def snapshot_counts(table: DataFrame) -> DataFrame:

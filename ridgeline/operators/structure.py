@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.operators import kernel
+from ridgeline.operators.fold import Fold
 
 LAYERS = ("merged", "fractal", "stroke", "segment", "pivot", "trend", "divergence", "signal", "error")
 SCHEMA = (
@@ -107,45 +108,51 @@ def clip(table: DataFrame, start: str, end: str) -> DataFrame:
     return table.where((F.col("depth") > 0) | F.when(point, inside).when(F.col("layer") == "merged", merged).otherwise(meets))
 
 
+def signal_key(kind: str, ts: str, price: float) -> tuple[str, str, float]:
+    """Which signal it is, whatever its number in the list of its time; code and period are the series' own."""
+    return kind, ts, round(price, 4)
+
+
+def folded(pdf: pd.DataFrame, level: str, mode: str):
+    """(bars so far, the state, whether the last bar changed a stroke) at each bar of a series, and its times."""
+    pdf = pdf.sort_values("ts", kind="stable")
+    state = Fold(level, mode)
+    for n, bar in enumerate(zip(pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist()), 1):
+        yield n, state, state.push(*bar)
+
+
 def checkpoints(bars: DataFrame, step: int, level: str = "day", mode: str = "strict") -> DataFrame:
     """Signals at every ``step`` bars and at the end: (code, period, checkpoint, kind, src_start, src_end, ts, price, status)."""
     if step < 1:
         raise ValueError("step is 1 at least")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        ts, high, low, close = (pdf[c].tolist() for c in ("ts", "high", "low", "close"))
+        ts = sorted(pdf["ts"])
         out = []
-        for n in sorted({*range(step, len(ts) + 1, step), len(ts)}):
-            s = kernel.analyse(high[:n], low[:n], close[:n], level, mode)
-            out += [(pdf["code"].iloc[0], pdf["period"].iloc[0], ts[n - 1], g.kind, g.src_start, g.src_end, ts[g.src], g.price, g.status) for g in s.signals]
+        for n, state, _ in folded(pdf, level, mode):
+            if n % step == 0 or n == len(ts):
+                out += [(pdf["code"].iloc[0], pdf["period"].iloc[0], ts[n - 1], g.kind, g.src_start, g.src_end, ts[g.src], g.price, g.status) for g in state.signals]
         return pd.DataFrame(out, columns=["code", "period", "checkpoint", "kind", "src_start", "src_end", "ts", "price", "status"])
 
     return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, checkpoint string, kind string, src_start int, src_end int, ts string, price double, status string")
 
 
 def showings(bars: DataFrame, level: str = "day", mode: str = "strict") -> DataFrame:
-    """Signals, whatever their status, at the bar that first shows them: (code, kind, src_start, src_end, checkpoint).
+    """Signals, whatever their status, at the bar that first shows them: (code, period, kind, ts, price, checkpoint).
 
     Each bar sees only the bars up to it. A bar that leaves the strokes as they
     were shows what the one before does, so signals are sought only when they change.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        ts, high, low, close = (pdf[c].tolist() for c in ("ts", "high", "low", "close"))
+        ts = sorted(pdf["ts"])
         seen: dict = {}
-        before = None
-        for n in range(1, len(ts) + 1):
-            strokes = kernel.build_strokes(kernel.find_fractals(kernel.merge_bars(high[:n], low[:n]), high, low))
-            if strokes == before:
-                continue
-            before = strokes
-            for g in kernel.analyse(high[:n], low[:n], close[:n], level, mode).signals:
-                seen.setdefault((g.kind, g.src_start, g.src_end), ts[n - 1])
-        return pd.DataFrame([(pdf["code"].iloc[0], pdf["period"].iloc[0], *k, t) for k, t in seen.items()], columns=["code", "period", "kind", "src_start", "src_end", "checkpoint"])
-
-    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, kind string, src_start int, src_end int, checkpoint string")
+        for n, state, changed in folded(pdf, level, mode):
+            for g in state.signals if changed else ():
+                seen.setdefault(signal_key(g.kind, ts[g.src], g.price), ts[n - 1])
+        return pd.DataFrame([(pdf["code"].iloc[0], pdf["period"].iloc[0], *k, t) for k, t in seen.items()], columns=["code", "period", "kind", "ts", "price", "checkpoint"])
+
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, kind string, ts string, price double, checkpoint string")
 
 
 def trail(seen: DataFrame, marks: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def signal_trail(spark, d):
 def first_visible_signals(spark, d):
     """The bar that first shows each signal, confirmed or not; what a series' first bar shows is old."""
     b = walk(spark, d)
-    return pit.first_visible(structure.showings(b, mode="loose"), b, ["code", "kind", "src_start", "src_end"])
+    return pit.first_visible(structure.showings(b, mode="loose"), b, ["code", "kind", "ts", "price"])
 
 
 @query(STROKES + """ SELECT k.code, k.idx, b.ts AS confirmed_at FROM k JOIN b ON b.code = k.code AND b.i = k.known WHERE price2 IS NOT NULL AND b.ts <= '1995-06-30'""")

@@ -241,6 +241,19 @@ def test_visible_signals_see_no_future(spark, tiny):
     assert rows(got.where(F.col("ts") <= cut)) == rows(backtest.visible_signals(poison, mode="loose").where(F.col("ts") <= cut))
 
 
+def test_visible_signals_of_a_span_know_what_came_before(spark):
+    """Bars before the span are seen, their signals are old; so are those that the span's first bar shows."""
+    from tests.test_fold import walk
+
+    data = [(code, f"{i:05}", h, l, c) for code, seed in (("a", 1), ("b", 2), ("c", 3)) for i, (h, l, c) in enumerate(zip(*walk(1500, seed)))]
+    b = spark.createDataFrame(data, "code string, ts string, high double, low double, close double")
+    whole = rows(backtest.visible_signals(b, mode="loose"), "code", "ts", "kind")
+    times = sorted(r[1] for r in whole)
+    start, end = times[len(times) // 4], times[-2]
+    want = [r for r in whole if start < r[1] <= end]
+    assert 0 < len(want) < len(whole) and rows(backtest.visible_signals(b, mode="loose", start=start, end=end), "code", "ts", "kind") == want
+
+
 def walks(spark, tiny):
     """code, and its bars in order of ts, of the order walk."""
     b = bars.order_walk_bars(spark, tiny).toPandas().sort_values(["code", "ts"])
@@ -272,7 +285,7 @@ def test_first_visible_signals_look_at_every_bar(spark, tiny):
         seen = {}
         for n in range(1, len(ts) + 1):
             for g in kernel.analyse(high[:n], low[:n], close[:n], "day", "loose").signals:
-                seen.setdefault((code, g.kind, g.src_start, g.src_end), ts[n - 1])
+                seen.setdefault((code, g.kind, ts[g.src], round(g.price, 4)), ts[n - 1])
         want |= {(*k, t) for k, t in seen.items() if t > ts[0]}
     got = structural.QUERIES["first_visible_signals"](spark, tiny)
     assert want and rows(got) == sorted(want)
