@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from .quality import GROWTH, HIGHEST, LOWEST, RATIOS
 from .url_filter import LINKS, LOWER, PARTS, RULES, UPPER
 
 SQL: dict[str, str] = {}
@@ -18,6 +21,36 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
 
+def _quality_sql(low: float = 0.1, high: float = 0.9, reach: float = 3.0, least: int = 100) -> str:
+    """The counts, the sketches of each group, language and the corpus, and the fences."""
+    ratio = ", ".join(f"{c} / greatest(n_words, 1) AS r{i}" for i, c in enumerate(("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
+    log = f"CAST(ceil(greatest(least(ln(v), {HIGHEST}), {LOWEST}) / {math.log(GROWTH)!r}) AS INTEGER)"
+    sketch, fence = [], []
+    for tag, keys in (("g", "lang, source"), ("l", "lang"), ("c", "")):
+        by = keys + ", " if keys else ""
+        sketch.append(f"""q{tag} AS (SELECT {by}r, max(n) AS n, min(v) FILTER (s >= {low!r} * n) AS a, min(v) FILTER (s >= {high!r} * n) AS b FROM (SELECT {by}r, sum(n) OVER (PARTITION BY {by}r ORDER BY cell NULLS FIRST ROWS UNBOUNDED PRECEDING) AS s,
+    sum(n) OVER (PARTITION BY {by}r) AS n, CASE WHEN cell IS NULL THEN 0 ELSE pow({GROWTH!r}, cell) * {2 / (1 + GROWTH)!r} END AS v FROM (SELECT {by}r, cell, sum(n) AS n FROM sk GROUP BY {by}r, cell)) GROUP BY {by}r)""")
+    for i, (_, both, spread) in enumerate(RATIOS):
+        lower = f"a - {reach!r} * greatest(b - a, {spread!r})" if both else "CAST('-inf' AS DOUBLE)"
+        upper = f"b + {reach!r} * greatest(b - a, {spread!r})"
+        sides = ["coalesce(" + ", ".join(f"(SELECT {side} FROM q{t} WHERE r = {i} AND n >= {least if t != 'c' else 1}{on})" for t, on in (("g", " AND qg.lang IS NOT DISTINCT FROM z.lang AND qg.source IS NOT DISTINCT FROM z.source"), ("l", " AND ql.lang IS NOT DISTINCT FROM z.lang"), ("c", ""))) + ")" for side in (lower, upper)]
+        fence.append(f"r{i} BETWEEN {sides[0]} AND {sides[1]}")
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS g FROM d WHERE len(ws) > 2),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) FILTER (k > 1) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) GROUP BY doc_id),
+x AS (SELECT d.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(b.n, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id),
+y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {ratio} FROM x),
+sk AS (SELECT lang, source, r, CASE WHEN v > {math.exp(LOWEST)!r} THEN {log} END AS cell, count(*) AS n FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS r, unnest([r0, r1, r2, r3]) AS v FROM y WHERE NOT base_failed) GROUP BY ALL),
+{', '.join(sketch)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(fence)} AS kept FROM y AS z
+"""
+
+
+SQL["op4_quality_rules"] = _quality_sql()
+
 SQL["op6_suffix_dedup"] = """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 win AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM t)),

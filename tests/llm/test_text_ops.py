@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from ridgeline.llm import bpe, bwt, langid, minhash, packing, quality, rangecoder, suffix, tokenfile, toxicity
+from ridgeline.llm import bpe, bwt, langid, minhash, oracles, packing, quality, rangecoder, suffix, tokenfile, toxicity
 from ridgeline.llm import words as W
 from tests.llm.fixtures import documents, empty, frame, nulls, words
+from tests.oracle import connect, same
 
 ROWS = documents()
 TEXT = {r[0]: r[1] for r in ROWS}
@@ -255,6 +256,39 @@ def test_quality_counts(spark, docs):
     assert all(r["base_failed"] for r in quality.quality_rules(nulls(spark)).collect())
 
 
+def graded(n=700, seed=3):
+    """(text, lang, source): a large group, small ones that borrow their language's or the corpus' fences, and outliers in each."""
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang, source = r.choice([("en", "big")] * 6 + [("en", "small"), ("de", "a"), ("de", "b"), ("de", "c"), ("fr", "rare"), (None, None)])
+        w = words(r, r.randint(40, 120), "en" if lang == "fr" else lang or "en")
+        for kind, extra in ((0.06, "### $$$ &&&"), (0.04, "x" * 300), (0.05, "of the of the of the of the of the")):
+            if r.random() < kind:
+                w[3:3] = extra.split()
+        out.append((" ".join(w) + ("\nsame line\nsame line" * 6 if r.random() < 0.04 else ""), lang, source))
+    return out
+
+
+def verdicts(df, **options):
+    return [r["kept"] for r in quality.quality_rules(df, **options).orderBy("doc_id").collect()]
+
+
+def test_quality_verdicts_equal_brute_force_whatever_the_partitions(spark):
+    rows = graded()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want = quality.brute_verdicts(rows)
+    sound = [w >= 50 and 100 * rep <= 50 * w for w, *_, rep in (quality.brute(t) for t, _, _ in rows)]
+    assert 20 < sum(s and not k for s, k in zip(sound, want)) < 200
+    for parts in (1, 7, 32):
+        assert verdicts(df.repartition(parts)) == want
+    assert verdicts(df.repartition(5), least=10) == quality.brute_verdicts(rows, least=10) != want
+
+
+def test_quality_sql(spark, tiny):
+    same(quality.query(spark, tiny), connect(tiny), oracles.SQL["op4_quality_rules"])
+
+
 def test_quality_keeps_clean_documents(spark, tiny):
     d, labels = (spark.read.parquet(f"{tiny}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_rules(d).join(labels, "doc_id")
