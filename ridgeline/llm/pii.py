@@ -192,7 +192,7 @@ def example(r: random.Random, pool: dict[str, list]) -> tuple[str, list[tuple]]:
         s = snippet[a:z]
         put(k, rewritten(r, k, s) if r.random() < 0.7 else s)
         at = z
-        if r.random() < 0.2:
+        if r.random() < 0.35:
             k2 = r.choice([k for k in sorted(pool) if k != "none"])
             text2, spans2 = r.choice(pool[k2])
             k2, a2, z2 = r.choice(spans2)
@@ -219,7 +219,7 @@ def window_of(r: random.Random, text: str, spans: list[tuple]) -> tuple[np.ndarr
     return x, y
 
 
-def learn(pool: dict[str, list], steps: int = 260, batch: int = 48, seed: int = 11) -> Tagger | None:
+def learn(pool: dict[str, list], steps: int = 320, batch: int = 48, seed: int = 11) -> Tagger | None:
     """A tagger from (snippet, spans) by kind; None without a labelled span."""
     if not any(pool.get(k) for k in KINDS):
         return None
