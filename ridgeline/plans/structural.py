@@ -367,21 +367,47 @@ def equity_drawdown(spark, d):
     return worst.withColumn("drawdown", r(F.col("drawdown")))
 
 
-@query(sq.base() + " SELECT sg.code, x.as_of, src_start, src_end, status FROM sg JOIN (SELECT code, max(ts) AS as_of FROM b GROUP BY code) AS x ON x.code = sg.code")
-def stream_step_equiv(spark, d):
-    """Bars fed in three batches through the stateful stream; the last snapshot's segments, which must equal the batch's."""
-    import uuid
-
+def _streamed(spark, d, parts):
+    """Bars of the walk fed to the stream in parts (conditions on ts and code), each a start of the query from its checkpoint."""
+    from ridgeline.sources.shared import shared_folder
     from ridgeline.streaming.steps import stream_structure
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ridgeline-stream") + f"/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     b = walk(spark, d).select("code", "ts", *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close")))
-    for i, (a, z) in enumerate((("", "1994"), ("1994", "1996"), ("1996", "9"))):
-        b.where((F.col("ts") >= a) & (F.col("ts") < z)).coalesce(1).write.parquet(f"{root}/in/{i}")
+    for i, part in enumerate(parts):
+        b.where(part).write.parquet(f"{root}/in/{i}")
         q = stream_structure(spark.readStream.schema("code string, ts string, high double, low double, close double").option("recursiveFileLookup", "true").parquet(f"{root}/in"))
         q.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
-    last = out.groupBy("code").agg(F.max("version").alias("version"))
-    return out.join(last, ["code", "version"]).where("layer = 'segment' AND status <> 'invalidated'").select("code", "as_of", F.col("src_start").cast("long").alias("src_start"), F.col("src_end").cast("long").alias("src_end"), "status")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(sq.base() + " SELECT sg.code, x.as_of, src_start, src_end, status FROM sg JOIN (SELECT code, max(ts) AS as_of FROM b GROUP BY code) AS x ON x.code = sg.code")
+def stream_step_equiv(spark, d):
+    """Bars fed in three batches through the stateful stream; the segments that are there at last, which must equal the batch's."""
+    from ridgeline.streaming import steps
 
+    out = _streamed(spark, d, ["ts < '1994'", "ts >= '1994' AND ts < '1996'", "ts >= '1996'"])
+    now = longs(steps.current(out).where("layer = 'segment'"), "src_start", "src_end")
+    return now.join(steps.heads(out).select("code", "as_of"), "code").select("code", "as_of", "src_start", "src_end", "status")
+
+
+ON_TIME = "(ts < '1994' OR ts >= '1996' OR code[1] > '2')"
+
+
+@query(sq.base().replace("FROM wb)", f"FROM wb WHERE {ON_TIME})") + f""" SELECT code, 'late' AS what, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM wb WHERE NOT {ON_TIME} GROUP BY code
+  UNION ALL SELECT code, 'segment', n, {sq.at('u', 'a')}, {sq.at('u', 'z')} FROM (SELECT code, count(*) AS n, min(src_start) AS a, max(src_end) AS z FROM sg GROUP BY code) AS u""")
+def stream_late_rows(spark, d):
+    """Two series get the years 1994 and 1995 after 1996: those bars are error rows, and every series goes on."""
+    from ridgeline.streaming import steps
+
+    first, middle, last = "ts < '1994'", "ts >= '1994' AND ts < '1996'", "ts >= '1996'"
+    late = "substring(code, 1, 1) <= '2'"
+    out = _streamed(spark, d, [f"{first} OR ({middle} AND NOT {late})", last, f"{middle} AND {late}"])
+    errors = out.where("layer = 'error'").groupBy("code").agg(F.count("*").alias("n"), F.min(F.substring_index("text", " ", 1)).alias("first_ts"), F.max(F.substring_index("text", " ", 1)).alias("last_ts")).withColumn("what", F.lit("late"))
+    seg = steps.current(out).where("layer = 'segment'").groupBy("code").agg(F.count("*").alias("n"), F.min("src_start").alias("a"), F.max("src_end").alias("z"))
+    from pyspark.sql import Window
 
+    kept = walk(spark, d).where(f"({first} OR {last} OR NOT {late})").select("code", "ts", (F.row_number().over(Window.partitionBy("code").orderBy("ts")) - 1).alias("i"))
+    at = lambda c, name: kept.select(F.col("code"), F.col("i").alias(c), F.col("ts").alias(name))
+    spans = seg.join(at("a", "first_ts"), ["code", "a"]).join(at("z", "last_ts"), ["code", "z"]).withColumn("what", F.lit("segment"))
+    return errors.select("code", "what", "n", "first_ts", "last_ts").union(spans.select("code", "what", "n", "first_ts", "last_ts"))

@@ -222,16 +222,6 @@ def test_notifiers(tmp_path, capsys):
         sinks.build_notifier("pigeon")
 
 
-def test_stream_refuses_older_bars():
-    from ridgeline.streaming.steps import step
-
-    new = pd.DataFrame({"ts": ["2"], "high": [2.0], "low": [1.0], "close": [1.5]})
-    held, known = {}, {}
-    assert step(held, known, new, "day", "strict")[0] == "2"
-    with pytest.raises(ValueError):
-        step(held, known, new.assign(ts="1"), "day", "strict")
-
-
 def test_visible_signals_see_no_future(spark, tiny):
     b = structure.as_of(bars.order_walk_bars(spark, tiny), "1996-12-31")
     got = backtest.visible_signals(b, mode="loose")
