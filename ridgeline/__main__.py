@@ -33,8 +33,8 @@ def parser() -> argparse.ArgumentParser:
     add("search", "text", limit=20)
     add("watchlist")
     add("freshness")
-    add("import-files", "folder")
-    add("import-text", "folder")
+    add("import-packages", "folder", periods="day,5,1", markets="sh,sz,bj", kinds="stock,index", **{"allow-unverified": "no"}, errors=100)
+    add("import-text", "folder", errors=100)
     return p
 
 
@@ -58,13 +58,16 @@ def run(spark: SparkSession, argv: list[str]):
         return s.search(a.text, a.limit)
     if a.command in ("watchlist", "freshness"):
         return getattr(s, a.command)()
-    from ridgeline.operators.clean import normalize
-    from ridgeline.sources import bars, files
+    from ridgeline.sources import bars, packages, texts
 
-    rows = (files.read_packages if a.command == "import-files" else files.read_texts)(spark, a.folder).persist()
-    bad = rows.where("error IS NOT NULL").select("path", "error").collect()
-    bars.write_bars(normalize(rows.where("error IS NULL").withColumn("arrival", F.monotonically_increasing_id()), ["code", "period", "ts"]), f"{a.root}/bars")
-    return {"imported": rows.where("error IS NULL").groupBy("period").count().collect(), "errors": [r.asDict() for r in bad]}
+    if a.command == "import-text":
+        got, ledger = texts.import_texts(texts.read_texts(spark, a.folder))
+    else:
+        got, ledger = packages.import_packages(spark, a.folder, tuple(a.periods.split(",")), tuple(a.markets.split(",")), tuple(a.kinds.split(",")), allow_unverified=a.allow_unverified == "yes")
+    bars.write_bars(got, f"{a.root}/bars")
+    counts = {r["status"]: r["n"] for r in ledger.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    worst = ledger.where("status IN ('failed', 'unverified')").orderBy("path").limit(a.errors).collect()
+    return {"files": counts, "rows": ledger.agg(F.sum("rows")).first()[0], "errors": [r.asDict() for r in worst]}
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -70,9 +70,18 @@ def weekday_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def trading_calendar(stored: DataFrame, start: str, end: str) -> DataFrame:
-    """The stored days (day) of a span with source ``cache``; weekdays if nothing is stored."""
+    """The stored days (day) of a span with source ``cache``; weekdays if the span has none. No job runs before the result is asked for."""
     own = stored.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("day").distinct().select("day", F.lit("cache").alias("source"))
-    return weekday_calendar(stored.sparkSession, start, end) if own.isEmpty() else own
+    none = own.agg(F.count("*").alias("n")).where("n = 0")
+    return own.union(weekday_calendar(stored.sparkSession, start, end).join(none, F.col("n") == 0).select("day", "source"))
+
+
+def covered_calendar(stored: DataFrame, start: str, end: str) -> DataFrame:
+    """The stored days of a span, gaps and all, from the first to the last stored day; weekdays outside, where the store says nothing."""
+    days = stored.select("day").distinct()
+    edges = days.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    outside = weekday_calendar(stored.sparkSession, start, end).join(edges, F.col("a").isNull() | (F.col("day") < F.col("a")) | (F.col("day") > F.col("z"))).select("day", "source")
+    return days.where(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("day", F.lit("cache").alias("source")).union(outside)
 
 
 def remove_watch(rows: DataFrame, code: str) -> DataFrame:

@@ -219,6 +219,15 @@ def sync_circuit_breaker(spark, d):
     return sync.too_many_failures(t(spark, d, "events").select(F.col("event_type").alias("period"), F.col("event_id").alias("seq"), (F.col("value") > 60).alias("ok")), 3)
 
 
+def posix(url: str) -> str:
+    """The path of a folder in a shared file system that is mounted everywhere: files of foreign formats are written there."""
+    import re
+
+    if "://" in url and not url.startswith("file:"):
+        raise ValueError(f"{url} is not a mounted folder")
+    return re.sub(r"^file:/*", "/", url)
+
+
 @query(f"""WITH {LB} SELECT '60000' || CAST(ascii(code) % 10 AS VARCHAR) AS code, 'day' AS period, ts, open / 100e0 AS open, high / 100e0 AS high, low / 100e0 AS low, close / 100e0 AS close, CAST(volume AS DOUBLE) AS volume, CAST(NULL AS VARCHAR) AS error FROM lb""")
 def day_binary_import(spark, d):
     """Line-item bars written as 32-byte records, a file a code, and read back through the binary source."""
@@ -228,12 +237,9 @@ def day_binary_import(spark, d):
     import numpy as np
 
     from ridgeline.sources import bars
+    from ridgeline.sources.shared import shared_folder
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    if base.startswith("/"):  # the shared folder, where it is a path that this process can write to
-        os.makedirs(base, exist_ok=True)
-    root = tempfile.mkdtemp(prefix="ridgeline-day-", dir=base if base.startswith("/") else None)
-    os.makedirs(f"{root}/sh/lday")
+    root = posix(shared_folder(spark, "day"))
 
     def write(g):
         g = g.sort_values("ts")
@@ -314,12 +320,112 @@ def source_routes(spark, d):
     return each.select("code", "period", lookups.source_route(F.col("code"), F.col("period")).alias("source"))
 
 
-@query("SELECT strftime(day, '%Y-%m-%d') AS day, 'weekday' AS source FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS day) WHERE isodow(day) < 6")
+#: Whole-dollar bars of each customer's days, twelve years later: a minute file knows no year before 2004.
+OB = """ob AS (SELECT o_custkey AS k, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS ts, arg_min(p, (o_orderkey, p)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (o_orderkey, p)) AS close FROM (SELECT *, CAST(floor(o_totalprice) + 1 AS BIGINT) AS p FROM orders) GROUP BY 1, 2)"""
+
+
+def _customer_bars(spark, d):
+    from ridgeline.sources import bars
+
+    price = (F.floor("o_totalprice") + 1).cast("long").alias("price")
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("code"), bars.day(F.expr("o_orderdate + INTERVAL 12 YEAR")).alias("bucket"), price, F.lit(1).alias("quantity"), "o_orderkey")
+    return bars.to_bars(rows, ["o_orderkey"]).withColumnRenamed("code", "k")
+
+
+@query(f"""WITH {OB}, s AS (SELECT k, count(*) AS n, min(ts) AS a, max(ts) AS z FROM ob GROUP BY k), m AS (SELECT *, unnest(['day', '5']) AS period FROM s)
+  SELECT CAST(600000 + k AS VARCHAR) AS code, period, CASE WHEN period = 'day' AND k % 10 = 5 OR period = '5' AND k % 10 = 6 THEN 'failed' WHEN period = '5' AND k % 10 IN (3, 5) THEN 'unverified' ELSE 'imported' END AS status,
+    CASE WHEN period = 'day' AND k % 10 = 5 OR period = '5' AND k % 10 = 6 THEN 0 WHEN period = '5' THEN 2 * n ELSE n END AS rows,
+    CASE WHEN NOT (period = 'day' AND k % 10 = 5 OR period = '5' AND k % 10 = 6) THEN CASE WHEN period = '5' THEN a || ' 09:35' ELSE a END END AS start_ts,
+    CASE WHEN NOT (period = 'day' AND k % 10 = 5 OR period = '5' AND k % 10 = 6) THEN CASE WHEN period = '5' THEN z || ' 09:40' ELSE z END END AS end_ts FROM m""")
+def package_import(spark, d):
+    """Zip packages with a day and a minute file for each customer, by the tail of its number: some day files are torn, some minutes do not make their days, some have no prices."""
+    import os
+    import tempfile
+    import zipfile
+
+    import numpy as np
+
+    from ridgeline.sources import packages
+    from ridgeline.sources.shared import shared_folder
+
+    root = posix(shared_folder(spark, "packages"))
+
+    def write(pdf):
+        os.makedirs(root, exist_ok=True)
+        with tempfile.NamedTemporaryFile(dir=root, delete=False) as f:
+            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                for k, g in pdf.sort_values("ts").groupby("k"):
+                    days = g["ts"].str.replace("-", "").astype(int).to_numpy()
+                    r = np.zeros(len(g), files.DAY)
+                    r["date"] = days
+                    for c in ("open", "high", "low", "close"):
+                        r[c] = g[c] * 100
+                    z.writestr(f"sh\\lday\\sh{600000 + k}.day", r.tobytes()[: -7 if k % 10 == 5 else None])
+                    m = np.zeros((len(g), 2), files.MINUTE)
+                    m["date"] = ((days // 10000 - 2004) * 2048 + days % 10000)[:, None]
+                    m["minute"] = [575, 580]
+                    for c, first, second in (("open", "open", "close"), ("high", "high", "close"), ("low", "low", "close"), ("close", "open", "close")):
+                        m[c] = np.stack([g[first], g[second]], axis=1)
+                    if k % 10 == 3:
+                        m["close"][:, 1] -= 0.5
+                        m["low"][:, 1] -= 0.5
+                    if k % 10 == 6:
+                        m["low"] = 0
+                    z.writestr(f"sh/fzline/sh{600000 + k}.lc5", m.tobytes())
+        os.replace(f.name, f"{root}/{pdf['part'].iloc[0]}.zip")
+        return pdf[["part"]].head(1)
+
+    b = _customer_bars(spark, d).withColumn("part", F.col("k") % 8)
+    b.groupBy("part").applyInPandas(write, "part long").collect()  # a row a package
+    _, ledger = packages.import_packages(spark, f"file://{root}", kinds=tuple(packages.KINDS) + ("other",))
+    return ledger.select("code", "period", "status", "rows", "start_ts", "end_ts")
+
+
+@query(f"""WITH {OB}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts) AS i, count(*) OVER (PARTITION BY k) AS n FROM ob)
+  SELECT 'c' || CAST(k AS VARCHAR) AS code, CASE WHEN k % 7 = 3 AND n > 2 OR k % 7 = 5 THEN 'failed' ELSE 'imported' END AS status, CAST(CASE WHEN k % 7 = 5 THEN 0 WHEN k % 7 = 3 AND n > 2 THEN n - 1 ELSE n END AS BIGINT) AS rows,
+    CAST(CASE WHEN k % 7 = 5 THEN 1 WHEN k % 7 = 3 AND n > 2 OR k % 7 = 2 THEN 1 ELSE 0 END AS BIGINT) AS dropped, CASE WHEN NOT (k % 7 = 3 AND n > 2 OR k % 7 = 5) THEN CAST(sum(close) AS DOUBLE) END AS total FROM o GROUP BY k, n""")
+def text_import(spark, d):
+    """A text file for each customer, in seven dialects: titles, other names, separators and encodings, a line of totals, a bad number, no header at all."""
+    import os
+    import tempfile
+
+    from ridgeline.sources import texts
+    from ridgeline.sources.shared import shared_folder
+
+    root = posix(shared_folder(spark, "texts"))
+    heads = {0: ("date,open,high,low,close", "utf-8"), 1: ("客户端导出\n\n日期\t开盘价(元)\t最高价(元)\t最低价(元)\t收盘价(元)", "gb18030"), 2: ("trade_date;Open;High;Low;Close", "utf-8-sig"), 3: ("日期|开盘|最高|最低|收盘", "utf-8"), 4: (",开盘,最高,最低,收盘", "gb18030"), 5: ("a,b,c,d,e", "utf-8"), 6: ("note\nDate: , Open, High, Low, Close", "utf-8")}
+    seps = {1: "\t", 2: ";", 3: "|"}
+
+    def write(pdf):
+        k = int(pdf["k"].iloc[0])
+        head, encoding = heads[k % 7]
+        sep = seps.get(k % 7, ",")
+        lines = [sep.join(map(str, r)) for r in pdf.sort_values("ts")[["ts", "open", "high", "low", "close"]].itertuples(index=False)]
+        if k % 7 == 3 and len(lines) > 2:
+            lines[1] = sep.join([*lines[1].split(sep)[:4], "n/a"])
+        if k % 7 == 2:
+            lines.append(sep.join(["total", "", "", "", "1"]))
+        os.makedirs(root, exist_ok=True)
+        with tempfile.NamedTemporaryFile(dir=root, delete=False) as f:
+            f.write("\n".join([head, *lines, ""]).encode(encoding))
+        os.replace(f.name, f"{root}/c{k}.csv")
+        return pdf[["k"]].head(1)
+
+    _customer_bars(spark, d).groupBy("k").applyInPandas(write, "k long").agg(F.count("*")).collect()
+    bars_, ledger = texts.import_texts(texts.read_texts(spark, f"file://{root}", "*.csv"))
+    total = bars_.groupBy("code").agg(F.sum("close").alias("total"))
+    return ledger.select("code", "status", "rows", "dropped").join(total, "code", "left").select("code", "status", "rows", "dropped", "total")
+
+
+@query("""WITH o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < DATE '1996-01-01' AND isodow(o_orderdate) < 6), z AS (SELECT min(day) AS first, max(day) AS last FROM o)
+  SELECT strftime(day, '%Y-%m-%d') AS day, 'cache' AS source FROM o WHERE day >= DATE '1993-01-01' UNION ALL
+  SELECT strftime(day, '%Y-%m-%d'), 'weekday' FROM (SELECT unnest(generate_series(DATE '1993-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS day), z WHERE isodow(day) < 6 AND (day < first OR day > last)""")
 def calendar_weekdays(spark, d):
+    """The days of a stored calendar, with its gaps, as far as it goes; weekdays behind its last day."""
     from ridgeline.operators import lookups
 
-    nothing = t(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).where("day > DATE '2100-01-01'")
-    return lookups.trading_calendar(nothing, "1992-01-01", "1998-12-31").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source")
+    stored = t(spark, d, "orders").where("o_orderdate < DATE '1996-01-01' AND weekday(o_orderdate) < 5").select(F.to_date("o_orderdate").alias("day"))
+    return lookups.covered_calendar(stored, "1993-01-01", "1998-12-31").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "source")
 
 
 @query("""WITH o AS (SELECT n_name AS code, n_regionkey AS r, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey END AS sort_order FROM nation WHERE n_nationkey < 12 AND n_nationkey <> 4),

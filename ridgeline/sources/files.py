@@ -1,4 +1,4 @@
-"""Bars from files: 32-byte day and minute records, and delimited text in many shapes.
+"""Bars from files of 32-byte day and minute records.
 
 Files are read whole by Spark's binaryFile source, one task a file or more, so
 a directory of thousands spreads over the cluster. A bad file becomes a row
@@ -8,7 +8,6 @@ with an error.
 from __future__ import annotations
 
 import re
-from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,8 @@ from ridgeline.sources.bars import VALUES
 
 DAY = np.dtype([("date", "<u4"), ("open", "<u4"), ("high", "<u4"), ("low", "<u4"), ("close", "<u4"), ("amount", "<f4"), ("volume", "<u4"), ("rest", "<u4")])
 MINUTE = np.dtype([("date", "<u2"), ("minute", "<u2"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("amount", "<f4"), ("volume", "<u4"), ("rest", "<u4")])
+#: Days and years that a record may name.
+DAYS, YEARS = (19900101, 29991231), (1990, 2100)
 #: The period of a file's suffix.
 SUFFIX = {".day": "day", ".lc5": "5", ".lc1": "1"}
 NAME = r"(?i)(sh|sz|bj)(\d{6})\.(day|lc5|lc1)$"
@@ -36,10 +37,10 @@ def records(data: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def parse_day(data: bytes) -> pd.DataFrame:
-    """Bars of day records; prices are cents, dates yyyymmdd between 1980 and 2100."""
+    """Bars of day records; prices are cents, dates yyyymmdd within ``DAYS``."""
     r = records(data, DAY)
     d = r["date"].astype(np.int64)
-    if ((d < 19800101) | (d > 21001231)).any():
+    if ((d < DAYS[0]) | (d > DAYS[1])).any():
         raise FormatError("a date out of range")
     ts = [f"{x // 10000:04d}-{x // 100 % 100:02d}-{x % 100:02d}" for x in d.tolist()]
     return pd.DataFrame({"ts": ts, **{c: r[c] / 100.0 for c in ("open", "high", "low", "close")}, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)})
@@ -49,18 +50,20 @@ def minute_ts(date: np.ndarray, minute: np.ndarray) -> list[str]:
     """A date is (year - 2004) * 2048 + month * 100 + day; a minute counts from midnight."""
     d, m = date.astype(np.int64), minute.astype(np.int64)
     year, rest = d // 2048 + 2004, d % 2048
-    if ((m >= 1440) | (rest // 100 < 1) | (rest // 100 > 12) | (rest % 100 < 1) | (rest % 100 > 31)).any():
+    if ((year > YEARS[1]) | (m >= 1440) | (rest // 100 < 1) | (rest // 100 > 12) | (rest % 100 < 1) | (rest % 100 > 31)).any():
         raise FormatError("a time out of range")
     return [f"{y:04d}-{x // 100:02d}-{x % 100:02d} {t // 60:02d}:{t % 60:02d}" for y, x, t in zip(year.tolist(), rest.tolist(), m.tolist())]
 
 
 def parse_minute(data: bytes) -> pd.DataFrame:
-    """Bars of minute records, which must ascend and hold their prices in order."""
+    """Bars of minute records, which must ascend and hold positive prices in order."""
     r = records(data, MINUTE)
     ts = minute_ts(r["date"], r["minute"])
     if any(b <= a for a, b in zip(ts, ts[1:])):
         raise FormatError("records do not ascend")
     p = {c: r[c].astype(float) for c in ("open", "high", "low", "close")}
+    if not (np.stack(list(p.values())) > 0).all():
+        raise FormatError("a price that is not above zero")
     if ((p["high"] < np.maximum(p["open"], p["close"])) | (p["low"] > np.minimum(p["open"], p["close"]))).any():
         raise FormatError("a price outside its bar")
     return pd.DataFrame({"ts": ts, **p, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)})
@@ -86,95 +89,3 @@ def read_packages(spark: SparkSession, root: str, markets: list[str] | None = No
                 yield df[["path", "code", "period", "ts", *VALUES, "error"]].astype({c: "float64" for c in VALUES})
 
     return files.mapInPandas(run, SCHEMA)
-
-
-# --- delimited text -----------------------------------------------------------------------------------------------
-
-# Headers by column, in lower case without blanks.
-HEADERS = {
-    "date": ("date", "日期", "交易日期", "trade_date", "datetime", "时间", "日期时间"),
-    "time": ("time", "时刻", "minute"),
-    "open": ("open", "开盘", "开盘价"),
-    "high": ("high", "最高", "最高价"),
-    "low": ("low", "最低", "最低价"),
-    "close": ("close", "收盘", "收盘价"),
-    "volume": ("volume", "vol", "成交量"),
-    "amount": ("amount", "成交额", "turnover"),
-}
-DELIMITERS = (",", "\t", ";", "|")
-ENCODINGS = ("utf-8-sig", "utf-8", "gb18030")
-FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%Y%m%d", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y%m%d %H%M", "%Y%m%d %H:%M")
-
-
-def decode(data: bytes) -> str:
-    for e in ENCODINGS:
-        try:
-            return data.decode(e)
-        except UnicodeDecodeError:
-            pass
-    raise FormatError("the text is in no known encoding")
-
-
-def to_ts(text: str) -> str | None:
-    for f in FORMATS:
-        try:
-            t = datetime.strptime(text.strip(), f)
-        except ValueError:
-            continue
-        return t.strftime("%Y-%m-%d %H:%M" if "%H" in f else "%Y-%m-%d")
-    return None
-
-
-def number(text: str) -> float:
-    try:
-        return float(text.strip().replace(",", ""))
-    except ValueError:
-        return 0.0
-
-
-def parse_text(text: str) -> pd.DataFrame:
-    """Bars of delimited text: any of four delimiters, known headers in any order, a date column found by its values if no header names it."""
-    lines = [x for x in text.splitlines() if x.strip()]
-    if len(lines) < 2:
-        raise FormatError("a header and a row at least")
-    sep = max(DELIMITERS, key=lines[0].count)
-    head = [re.sub(r"\s", "", h).strip("﻿\"'").lower() for h in lines[0].split(sep)]
-    rows = [x.split(sep) for x in lines[1:]]
-    extra = min(map(len, rows)) - len(head)  # rows with a column that the header lacks in front
-    if extra == 1:
-        head = ["", *head]
-    at = {c: next((i for i, h in enumerate(head) if h in names), None) for c, names in HEADERS.items()}
-    if at["date"] is None:
-        at["date"] = next((i for i in range(len(head)) if all(i < len(r) and to_ts(r[i]) for r in rows[:20])), None)
-    missing = [c for c in ("date", "open", "high", "low", "close") if at[c] is None]
-    if missing:
-        raise FormatError(f"no column for {', '.join(missing)}")
-    out = []
-    for r in rows:
-        if len(r) < len(head):
-            continue
-        ts = to_ts(r[at["date"]] + (" " + r[at["time"]] if at["time"] is not None else ""))
-        v = {c: number(r[at[c]]) if at[c] is not None else 0.0 for c in VALUES}
-        if ts and v["high"] >= max(v["open"], v["close"], v["low"]) and v["low"] <= min(v["open"], v["close"]):
-            out.append({"ts": ts, **v})
-    if not out:
-        raise FormatError("no row is a bar")
-    return pd.DataFrame(out).drop_duplicates("ts", keep="last").sort_values("ts").reset_index(drop=True)
-
-
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Bars of every text file of a folder; the code is the file's name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-
-    def run(batches):
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                base = {"path": path, "code": re.sub(r"\.\w+$", "", path.rsplit("/", 1)[-1])}
-                try:
-                    df = parse_text(decode(bytes(data)))
-                    df = df.assign(**base, period=np.where(df["ts"].str.len() > 10, "minute", "day"), error=None)
-                except FormatError as e:
-                    df = pd.DataFrame([base | {"period": None, "ts": None, **dict.fromkeys(VALUES), "error": str(e)}])
-                yield df[["path", "code", "period", "ts", *VALUES, "error"]].astype({c: "float64" for c in VALUES})
-
-    return files.mapInPandas(run, SCHEMA)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
@@ -17,3 +19,25 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/ridgeline/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is used twice is made once, and survives a lost executor."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def open_input(path: str):
+    """A file for random reads, on any file system that Arrow knows (a local path, file:, hdfs:, s3:, gs:)."""
+    plain = re.sub(r"^file:/*", "/", path)
+    if "://" not in plain:
+        return fs.LocalFileSystem().open_input_file(plain)
+    system, inside = fs.FileSystem.from_uri(plain)
+    return system.open_input_file(inside)
+
+
+def paths_below(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """path, length of every file below ``root``, listed by Spark (which passes over files without a byte); no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root).select("path", "length")

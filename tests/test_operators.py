@@ -98,28 +98,6 @@ def test_day_and_minute_records(spark, tmp_path):
     assert rows(got.where("error IS NULL"), "code", "period", "ts") == [("600000", "1", "2026-09-30 09:31"), ("600000", "1", "2026-09-30 09:32"), ("600000", "day", "2026-09-30")]
 
 
-@pytest.mark.parametrize("sep", [",", "\t", ";", "|"])
-def test_text_import(sep):
-    text = "\n".join(sep.join(x) for x in (("收盘", "日期", "开盘", "最高", "最低", "成交量"), ("1.5", "2026/09/30", "1", "2", "0.5", "10"), ("9", "2026/10/01", "1", "2", "0.5", "10")))
-    df = files.parse_text(text)
-    assert df["ts"].tolist() == ["2026-09-30"] and df["close"][0] == 1.5  # the second row's close is outside its range
-    two = "\n".join(sep.join(x) for x in (("date", "time", "open", "high", "low", "close"), ("20260930", "0931", "1", "2", "0.5", "1.5")))
-    assert files.parse_text(two)["ts"].tolist() == ["2026-09-30 09:31"]
-    bare = "\n".join(sep.join(x) for x in (("when", "open", "high", "low", "close"), ("2026-09-30", "1", "2", "0.5", "1.5")))
-    assert files.parse_text(bare)["ts"].tolist() == ["2026-09-30"]
-    with pytest.raises(files.FormatError):
-        files.parse_text("a,b\n1,2")
-    assert files.decode("日期".encode("gb18030")) == "日期"
-
-
-def test_text_files(spark, tmp_path):
-    (tmp_path / "600000.csv").write_bytes("日期,开盘,最高,最低,收盘\n2026-09-30,1,2,0.5,1.5\n".encode("gb18030"))
-    (tmp_path / "bad.csv").write_text("nothing")
-    got = files.read_texts(spark, f"file://{tmp_path}")
-    assert rows(got.where("error IS NULL"), "code", "ts", "close") == [("600000", "2026-09-30", 1.5)]
-    assert got.where("error IS NOT NULL").count() == 1
-
-
 def test_ledger_t_plus_one():
     lg = backtest.Ledger(100_000)
     lg.order("600000", "buy", qty=100)
