@@ -259,6 +259,35 @@ def day_binary_import(spark, d):
     return files.read_packages(spark, f"file://{root}").select("code", "period", "ts", "open", "high", "low", "close", "volume", "error")
 
 
+@query(f"""WITH {LB} SELECT code, ts, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, CAST(volume AS DOUBLE) AS volume FROM lb WHERE ts BETWEEN '1996-03-01' AND '9999'""")
+def vendor_pages(spark, d):
+    """Line-item bars recorded as a vendor's pages of 640 rows that overlap (the older page has other closes there), read back through the data source."""
+    import json
+    import os
+    import tempfile
+
+    from ridgeline.sources import bars, pages
+    from ridgeline.sources.shared import shared_folder
+
+    root = posix(shared_folder(spark, "pages"))
+
+    def write(g):
+        g = g.sort_values("ts")
+        rows = [[ts, str(o), str(c), str(h), str(low), str(v)] for ts, o, c, h, low, v in g[["ts", "open", "close", "high", "low", "volume"]].itertuples(index=False)]
+        folder = f"{root}/{g['code'].iloc[0]}"
+        os.makedirs(folder, exist_ok=True)
+        for stop in range(len(rows), 0, -600):
+            page = [r if i < stop - 40 or stop == len(rows) else [*r[:2], str(int(r[2]) + 1), *r[3:]] for i, r in enumerate(rows[:stop])][max(0, stop - 640) :]
+            with tempfile.NamedTemporaryFile("w", dir=root, delete=False) as f:
+                json.dump({"rows": page}, f)
+            os.replace(f.name, f"{folder}/{rows[stop - 1][0]}.json")
+        return g[["code"]].head(1)
+
+    bars.lineitem_bars(spark, d).select("code", "ts", "open", "high", "low", "close", "volume").groupBy("code").applyInPandas(write, "code string").agg(F.count("*")).collect()
+    got = pages.register(spark).read.format("vendor_pages").option("start", "1996-03-01").load(f"file://{root}")
+    return got.where("error IS NULL").select("code", "ts", "open", "high", "low", "close", "volume")
+
+
 MARKET = """CASE WHEN code LIKE '%.%' THEN split_part(code, '.', 1) ELSE coalesce(CASE substr(code, 1, 2) WHEN '92' THEN 'bj' WHEN '88' THEN 'sh' WHEN '81' THEN 'bj' WHEN '82' THEN 'bj' ELSE
   CASE substr(code, 1, 1) WHEN '6' THEN 'sh' WHEN '5' THEN 'sh' WHEN '9' THEN 'sh' WHEN '4' THEN 'bj' WHEN '8' THEN 'bj' WHEN '2' THEN 'sz' WHEN '3' THEN 'sz' END END, 'sz') END"""
 STORED = "SELECT CASE o_custkey % 4 WHEN 0 THEN 'sh.' WHEN 1 THEN 'sz.' WHEN 2 THEN 'hk.' ELSE '' END || lpad(CAST((o_custkey * 7919) % 1000000 AS VARCHAR), 6, '0') AS code, strftime(max(o_orderdate), '%Y-%m-%d') AS last_ts FROM orders GROUP BY o_custkey"
