@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import round_half_up
-from ridgeline.sources.bars import PRICES
+from ridgeline.sources.bars import PRICES, only_days, series_keys
 
 
 def with_factor(bars: DataFrame, ladder: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def adjust(bars: DataFrame, ladder: DataFrame, mode: str, stored: str = "raw", d
 
 
 def infer_factors(raw: DataFrame, qfq: DataFrame) -> DataFrame:
-    """code, ts, k where the ratio of adjusted to raw close changes; the first bar always counts."""
+    """code, ts, k where the ratio of adjusted to raw close changes; the first bar always counts. Days only."""
+    raw, qfq = only_days(raw), only_days(qfq)
     k = round_half_up(F.col("q") / F.col("close"), 8)
     both = raw.where("close > 0").select("code", "ts", "close").join(qfq.select("code", "ts", F.col("close").alias("q")), ["code", "ts"]).select("code", "ts", k.alias("k"))
     prev = F.lag("k").over(Window.partitionBy("code").orderBy("ts"))
@@ -50,7 +51,8 @@ def infer_factors(raw: DataFrame, qfq: DataFrame) -> DataFrame:
 
 
 def factor_status(raw: DataFrame, qfq: DataFrame, codes: DataFrame, least: int = 20) -> DataFrame:
-    """code, status, steps of a factor build: no_raw, no_qfq, thin_overlap, no_change or written."""
+    """code, status, steps of a factor build: no_raw, no_qfq, thin_overlap, no_change or written. Days only."""
+    raw, qfq = only_days(raw), only_days(qfq)
     n = lambda df, name: df.groupBy("code").agg(F.count("*").alias(name))
     both = n(raw.select("code", "ts").join(qfq.select("code", "ts"), ["code", "ts"]), "n_both")
     steps = n(infer_factors(raw, qfq), "steps")
@@ -64,14 +66,14 @@ def resample(bars: DataFrame, to: str) -> DataFrame:
     if to not in ("week", "month"):
         raise ValueError("to is week or month")
     bucket = F.date_trunc(to, F.to_date(F.substring("ts", 1, 10)))
-    return bars.groupBy("code", bucket.alias("_bucket")).agg(
+    return only_days(bars).groupBy("code", bucket.alias("_bucket")).agg(
         F.max("ts").alias("ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount")
     ).drop("_bucket")
 
 
 def minute_to_day(bars: DataFrame) -> DataFrame:
-    """Intraday bars as days."""
-    return bars.groupBy("code", F.substring("ts", 1, 10).alias("day")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
+    """Intraday bars as days, those of each period for themselves."""
+    return bars.groupBy(*series_keys(bars), F.substring("ts", 1, 10).alias("day")).agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
 
 
 def period_end(ts, to: str) -> F.Column:

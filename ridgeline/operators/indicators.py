@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import round_half_up
 from ridgeline.operators import kernel
+from ridgeline.sources.bars import series_keys
 
 DEFAULT_MA = (5, 10, 20, 60, 120, 250)
 
@@ -21,30 +22,32 @@ def parse_ma(text: str) -> tuple[int, ...]:
 
 
 def moving_averages(bars: DataFrame, lines=DEFAULT_MA, digits: int = 4) -> DataFrame:
-    """code, ts, close and ma{n} for each n; null until n bars are there. One sort serves all lines."""
-    cols = []
+    """code, [period,] ts, close and ma{n} for each n; null until n bars are there. One sort serves all lines."""
+    keys, cols = series_keys(bars), []
     for n in lines:
-        w = Window.partitionBy("code").orderBy("ts").rowsBetween(-(n - 1), 0)
+        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(n - 1), 0)
         cols.append(F.when(F.count("close").over(w) == n, round_half_up(F.sum("close").over(w) / n, digits)).alias(f"ma{n}"))
-    return bars.select("code", "ts", "close", *cols)
+    return bars.select(*keys, "ts", "close", *cols)
 
 
 def ema_macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """code, ts, close, dif, dea, hist of every series."""
+    """code, [period,] ts, close, dif, dea, hist of every series."""
+    keys = series_keys(bars)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         dif, dea, hist = kernel.macd(pdf["close"].to_numpy(float), fast, slow, signal)
         return pdf.assign(dif=dif, dea=dea, hist=hist)
 
-    return bars.select("code", "ts", F.col("close").cast("double").alias("close")).groupBy("code").applyInPandas(run, "code string, ts string, close double, dif double, dea double, hist double")
+    return bars.select(*keys, "ts", F.col("close").cast("double").alias("close")).groupBy(*keys).applyInPandas(run, ", ".join(f"{k} string" for k in keys) + ", ts string, close double, dif double, dea double, hist double")
 
 
 def price_change(bars: DataFrame) -> DataFrame:
     """code, ts, close, prev_close, change_pct of the last bar of each series."""
-    w = Window.partitionBy("code").orderBy("ts")
-    df = bars.withColumn("prev_close", F.lag("close").over(w)).withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("ts")))).where("n = 1")
-    return df.select("code", "ts", "close", "prev_close", round_half_up((F.col("close") - F.col("prev_close")) / F.col("prev_close") * 100, 4).alias("change_pct"))
+    keys = series_keys(bars)
+    w = Window.partitionBy(*keys).orderBy("ts")
+    df = bars.withColumn("prev_close", F.lag("close").over(w)).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))).where("n = 1")
+    return df.select(*keys, "ts", "close", "prev_close", round_half_up((F.col("close") - F.col("prev_close")) / F.col("prev_close") * 100, 4).alias("change_pct"))
 
 
 def max_drawdown(equity: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.sources.bars import series_keys
+
 TENTATIVE, CONFIRMED, INVALIDATED = "tentative", "confirmed", "invalidated"
 
 
@@ -53,10 +55,10 @@ def first_visible(seen: DataFrame, bars: DataFrame, keys: list[str], time: str =
 def snapshot_counts(table: DataFrame) -> DataFrame:
     """Objects of each layer by status."""
     s = F.coalesce("status", F.lit(CONFIRMED))
-    return table.groupBy("code", "layer").agg(F.count("*").alias("n"), F.count_if(s == CONFIRMED).alias("n_confirmed"), F.count_if(s == TENTATIVE).alias("n_tentative"))
+    return table.groupBy(*series_keys(table), "layer").agg(F.count("*").alias("n"), F.count_if(s == CONFIRMED).alias("n_confirmed"), F.count_if(s == TENTATIVE).alias("n_tentative"))
 
 
 def snapshot_json(table: DataFrame) -> DataFrame:
-    """code, payload: a series' objects as one JSON text, by layer, depth and index."""
-    item = F.struct("layer", "depth", "idx", "kind", "direction", "ts", "end_ts", "price", "high", "low", "zg", "zd", "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at")
-    return table.groupBy("code").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("payload"))
+    """code, [period,] payload: a series' objects as one JSON text, by layer, depth and index."""
+    item = F.struct("layer", "depth", "idx", "kind", "direction", "ts", "end_ts", "price", "high", "low", "zg", "zd", "start_idx", "end_idx", "src_start", "src_end", "status", "confirmed_at", "area_now", "area_prev", "flag", "level")
+    return table.groupBy(*series_keys(table)).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("payload"))

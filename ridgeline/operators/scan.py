@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import round_half_up
+from ridgeline.sources.bars import same_series, series_keys
 
 # Least bars and least days of history of a period; weights of kinds, levels, states and nesting; the
 # rank of a level where strengths are equal.
@@ -40,14 +41,14 @@ def segment_strength(segments: DataFrame) -> DataFrame:
 
     segments: (code, idx, direction, high, low, src_start, src_end, status, area).
     """
-    alive = segments.where("status <> 'invalidated'")
-    w = Window.partitionBy("code", "direction").orderBy("src_end", "idx")
+    alive, keys = segments.where("status <> 'invalidated'"), series_keys(segments)
+    w = Window.partitionBy(*keys, "direction").orderBy("src_end", "idx")
     prev = lambda c: F.lag(c).over(w)
     df = alive.select("*", prev("area").alias("prev_area"), prev("high").alias("prev_high"), prev("low").alias("prev_low"))
     further = F.when(F.col("direction") == 1, F.col("high") > F.col("prev_high")).otherwise(F.col("low") < F.col("prev_low"))
     share = F.try_divide(F.col("prev_area") - F.col("area"), F.col("prev_area"))
     strength = F.when(F.coalesce(further & (F.col("area") < F.col("prev_area")), F.lit(False)), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return df.select("code", "idx", "direction", "src_start", "src_end", "prev_area", strength.alias("divergence"))
+    return df.select(*keys, "idx", "direction", "src_start", "src_end", "prev_area", strength.alias("divergence"))
 
 
 def hit_strength(kind, level, status, nested, divergence) -> F.Column:
@@ -57,10 +58,11 @@ def hit_strength(kind, level, status, nested, divergence) -> F.Column:
 
 def rank_hits(signals: DataFrame, strengths: DataFrame, limit: int | None = None) -> DataFrame:
     """Signals with their strength, strongest first: -strength, level, ts, code, kind."""
-    s = strengths.select(F.col("code").alias("s_code"), F.col("src_start").alias("s_start"), F.col("src_end").alias("s_end"), "divergence")
-    hits = signals.join(s, (F.col("code") == F.col("s_code")) & (F.col("src_start") == F.col("s_start")) & (F.col("src_end") == F.col("s_end")), "left")
+    keys = series_keys(signals, strengths)
+    s = strengths.select(*(F.col(k).alias(f"s_{k}") for k in keys), F.col("src_start").alias("s_start"), F.col("src_end").alias("s_end"), "divergence")
+    hits = signals.join(s, same_series(signals, s, "s_") & (F.col("src_start") == F.col("s_start")) & (F.col("src_end") == F.col("s_end")), "left")
     hits = hits.withColumn("strength", round_half_up(hit_strength(F.col("kind"), F.col("level"), F.col("status"), F.col("flag"), F.col("divergence")), 6))
-    out = hits.select("code", "kind", "level", "ts", "price", "status", "strength").orderBy(F.desc("strength"), weight(F.col("level"), LEVEL_RANK, 9), "ts", "code", "kind")
+    out = hits.select(*series_keys(signals), "kind", "level", "ts", "price", "status", "strength").orderBy(F.desc("strength"), weight(F.col("level"), LEVEL_RANK, 9), "ts", "code", "kind")
     return out.limit(limit) if limit is not None else out
 
 
@@ -100,29 +102,34 @@ def level_context(signals: DataFrame, trends: DataFrame, pivots: DataFrame) -> D
 
     Bars are bucketed, so the range join is an equi-join: a span goes to each bucket that it meets.
     """
-    size = 64
+    size, keys = 64, series_keys(signals, trends, pivots)
 
     def held(spans: DataFrame, name: str) -> DataFrame:
-        spans = spans.select(F.col("code").alias("h_code"), F.col("idx").alias("h_idx"), F.col("src_start").alias("h_start"), F.col("src_end").alias("h_end"))
+        spans = spans.select(*(F.col(k).alias(f"h_{k}") for k in keys), F.col("idx").alias("h_idx"), F.col("src_start").alias("h_start"), F.col("src_end").alias("h_end"))
         spans = spans.withColumn("h_bucket", F.explode(F.sequence(F.floor(F.col("h_start") / size), F.floor(F.col("h_end") / size))))
-        s = signals.select("code", "kind", "src_end").distinct().withColumn("bucket", F.floor(F.col("src_end") / size))
-        return s.join(spans, (F.col("code") == F.col("h_code")) & (F.col("bucket") == F.col("h_bucket")) & F.col("src_end").between(F.col("h_start"), F.col("h_end"))).groupBy("code", "kind", "src_end").agg(F.min("h_idx").alias(name))
+        s = signals.select(*keys, "kind", "src_end").distinct().withColumn("bucket", F.floor(F.col("src_end") / size))
+        found = s.join(spans, same_series(s, spans, "h_") & (F.col("bucket") == F.col("h_bucket")) & F.col("src_end").between(F.col("h_start"), F.col("h_end"))).groupBy(*keys, "kind", "src_end").agg(F.min("h_idx").alias(name))
+        return found.select(*(F.col(k).alias(f"f_{k}") for k in keys), F.col("kind").alias("f_kind"), F.col("src_end").alias("f_end"), name)
 
-    keys = ["code", "kind", "src_end"]
-    out = signals.join(held(trends, "trend_idx"), keys, "left").join(held(pivots, "pivot_ctx"), keys, "left")
-    return out.select("code", "kind", "src_end", "trend_idx", F.when(F.col("trend_idx").isNull(), F.col("pivot_ctx")).alias("zone_idx"))
+    out = signals
+    for spans, name in ((trends, "trend_idx"), (pivots, "pivot_ctx")):
+        f = held(spans, name)
+        out = out.join(f, same_series(signals, f, "f_") & (F.col("kind") == F.col("f_kind")) & (F.col("src_end") == F.col("f_end")), "left").drop(*(c for c in f.columns if c != name))
+    return out.select(*keys, "kind", "src_end", "trend_idx", F.when(F.col("trend_idx").isNull(), F.col("pivot_ctx")).alias("zone_idx"))
 
 
 def breakout_state(pivots: DataFrame, closes: DataFrame) -> DataFrame:
     """code, state of the last close against the latest zone: up, down, inside or none."""
-    last = pivots.where("status <> 'invalidated'").groupBy("code").agg(F.max_by(F.struct("zg", "zd"), F.struct("src_end", "src_start")).alias("p"))
+    keys = series_keys(pivots, closes)
+    last = pivots.where("status <> 'invalidated'").groupBy(*keys).agg(F.max_by(F.struct("zg", "zd"), F.struct("src_end", "src_start")).alias("p"))
     state = F.when(F.col("p").isNull(), "none").when(F.col("close") > F.col("p.zg"), "up").when(F.col("close") < F.col("p.zd"), "down").otherwise("inside")
-    return closes.join(last, "code", "left").select("code", state.alias("state"))
+    return closes.join(last, keys, "left").select(*keys, state.alias("state"))
 
 
 def diff_fingerprints(prev: DataFrame, new: DataFrame) -> DataFrame:
     """``fingerprint_changes`` of two tables (code, part, item)."""
-    return fingerprint_changes(prev.select("code", F.lit(False).alias("is_new"), "part", "item").union(new.select("code", F.lit(True), "part", "item")))
+    keys = series_keys(prev, new)
+    return fingerprint_changes(prev.select(*keys, F.lit(False).alias("is_new"), "part", "item").union(new.select(*keys, F.lit(True), "part", "item")))
 
 
 def fingerprint_changes(items: DataFrame) -> DataFrame:
@@ -133,12 +140,13 @@ def fingerprint_changes(items: DataFrame) -> DataFrame:
     of state. One aggregation by item, one by series; nothing is read twice.
     """
     name = F.when(F.col("part") == "pivot", "NEW_PIVOT").when(F.col("part") == "breakout", "PIVOT_BREAKOUT").when(F.col("part") == "signal", "SIGNAL").otherwise("DIVERGENCE")
-    each = items.groupBy("code", "part", "item").agg(F.bool_or("is_new").alias("now"), F.bool_or(~F.col("is_new")).alias("before"))
+    keys = series_keys(items)
+    each = items.groupBy(*keys, "part", "item").agg(F.bool_or("is_new").alias("now"), F.bool_or(~F.col("is_new")).alias("before"))
     fresh = F.when(F.col("now") & ~F.col("before"), F.struct(name.alias("change"), "item"))
-    by_code = each.groupBy("code").agg(F.collect_list(fresh).alias("fresh"), F.bool_or("before").alias("known"), F.bool_or("now").alias("now")).where("now")
+    by_code = each.groupBy(*keys).agg(F.collect_list(fresh).alias("fresh"), F.bool_or("before").alias("known"), F.bool_or("now").alias("now")).where("now")
     only = lambda what: F.array(F.struct(F.lit(what).alias("change"), F.lit("").alias("item")))
     changes = F.when(~F.col("known"), only("FIRST_SNAPSHOT")).when(F.size("fresh") == 0, only("NO_CHANGE")).otherwise(F.col("fresh"))
-    return by_code.select("code", F.explode(changes).alias("c")).select("code", "c.change", "c.item")
+    return by_code.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.change", "c.item")
 
 
 def usable_periods(sync: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.operators import kernel
 from ridgeline.operators.fold import Fold
+from ridgeline.sources.bars import same_series, series_keys
 
 LAYERS = ("merged", "fractal", "stroke", "segment", "pivot", "trend", "divergence", "signal", "error")
 SCHEMA = (
@@ -22,11 +23,6 @@ SCHEMA = (
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def keys_of(bars: DataFrame) -> list[str]:
-    """What tells series apart: code, and period where there is one."""
-    return ["code", *(["period"] if "period" in bars.columns else [])]
-
-
 def series(bars: DataFrame, *columns: str) -> DataFrame:
     """code, period (null without one), ts and ``columns`` as doubles: what is shuffled."""
     period = F.col("period").cast("string") if "period" in bars.columns else F.lit(None).cast("string")
@@ -158,11 +154,12 @@ def showings(bars: DataFrame, level: str = "day", mode: str = "strict") -> DataF
 def trail(seen: DataFrame, marks: DataFrame) -> DataFrame:
     """The life of each signal: first and last checkpoint that shows it, and the one that no longer does.
 
-    seen: ``checkpoints``; marks: (code, checkpoint) of all checkpoints.
+    seen: ``checkpoints``; marks: (code, [period,] checkpoint) of all checkpoints.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("code").orderBy("checkpoint")
-    order = marks.select("code", "checkpoint", F.lead("checkpoint").over(w).alias("after"))
-    life = seen.groupBy("code", "kind", "src_start", "src_end").agg(F.min("checkpoint").alias("first_seen"), F.max("checkpoint").alias("last_seen"), F.count("*").alias("times"))
-    return life.join(order, (life["code"] == order["code"]) & (F.col("last_seen") == F.col("checkpoint"))).select(life["code"], "kind", "src_start", "src_end", "first_seen", "last_seen", "times", F.col("after").isNull().alias("alive"), F.col("after").alias("falsified_at"))
+    keys = series_keys(seen, marks)
+    w = Window.partitionBy(*keys).orderBy("checkpoint")
+    order = marks.select(*(F.col(k).alias(f"m_{k}") for k in keys), F.col("checkpoint").alias("m_at"), F.lead("checkpoint").over(w).alias("after"))
+    life = seen.groupBy(*keys, "kind", "src_start", "src_end").agg(F.min("checkpoint").alias("first_seen"), F.max("checkpoint").alias("last_seen"), F.count("*").alias("times"))
+    return life.join(order, same_series(life, order, "m_") & (F.col("last_seen") == F.col("m_at"))).select(*keys, "kind", "src_start", "src_end", "first_seen", "last_seen", "times", F.col("after").isNull().alias("alive"), F.col("after").alias("falsified_at"))

@@ -36,7 +36,7 @@ def fingerprint(ts: list[str], close: list[float], s: kernel.Structure) -> list[
 
 
 def fingerprints(bars: DataFrame, cuts: list[str], level: str = "day", mode: str = "strict") -> DataFrame:
-    """code, is_new, part, item: the fingerprints of each series at two times, by one pass over its bars.
+    """code, period, is_new, part, item: the fingerprints of each series at two times, by one pass over its bars.
 
     A series without bars at a time has no fingerprint there.
     """
@@ -49,7 +49,7 @@ def fingerprints(bars: DataFrame, cuts: list[str], level: str = "day", mode: str
             seen = pdf[pdf["ts"] <= cut]
             if len(seen):
                 high, low, close = (seen[c].tolist() for c in ("high", "low", "close"))
-                out += [(pdf["code"].iloc[0], is_new, *x) for x in fingerprint(seen["ts"].tolist(), close, kernel.analyse(high, low, close, level, mode))]
-        return pd.DataFrame(out, columns=["code", "is_new", "part", "item"])
+                out += [(pdf["code"].iloc[0], pdf["period"].iloc[0], is_new, *x) for x in fingerprint(seen["ts"].tolist(), close, kernel.analyse(high, low, close, level, mode))]
+        return pd.DataFrame(out, columns=["code", "period", "is_new", "part", "item"])
 
-    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, is_new boolean, part string, item string")
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, is_new boolean, part string, item string")

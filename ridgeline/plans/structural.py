@@ -218,12 +218,12 @@ def window_clip(spark, d):
 @query(STROKES + """, o AS (SELECT code, 'fractal' AS layer, 'confirmed' AS status FROM f UNION ALL SELECT code, 'stroke', if(known IS NULL, 'tentative', 'confirmed') FROM k WHERE price2 IS NOT NULL)
   SELECT code, layer, count(*) AS n, count(*) FILTER (status = 'confirmed') AS n_confirmed, count(*) FILTER (status = 'tentative') AS n_tentative FROM o GROUP BY code, layer""")
 def snapshot_counts(spark, d):
-    return pit.snapshot_counts(table(spark, d, "fractal", "stroke"))
+    return pit.snapshot_counts(table(spark, d, "fractal", "stroke")).drop("period")
 
 
 @query()
 def snapshot_json(spark, d):
-    return pit.snapshot_json(table(spark, d))
+    return pit.snapshot_json(table(spark, d)).drop("period")
 
 
 STRENGTH = f""", gs AS (SELECT code, src_start, src_end, CASE WHEN if(d = 1, h > ph, l < pl) AND area < pa THEN least(greatest((pa - area) / pa, 0), 1) ELSE 0 END AS div FROM (
@@ -237,7 +237,7 @@ def scan_strength_topk(spark, d):
     """One kernel pass: segments carry their areas, so signals and strengths come from one table."""
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "segment"))
     seg = layer(t, "segment").select("code", "idx", "direction", "high", "low", "src_start", "src_end", "status", F.col("area_now").alias("area"))
-    return scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), 50)
+    return scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), 50).drop("period")
 
 
 @query(SIGNALS[True] + STRENGTH + f""", sn AS (SELECT code, count(*) AS n, min(ts) AS a, max(ts) AS z FROM b GROUP BY code)
@@ -257,7 +257,7 @@ def market_scan(spark, d):
   LEFT JOIN (SELECT s.code, s.src_end, min(p0.idx) AS p FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN p0 ON p0.code = s.code AND s.src_end BETWEEN p0.src_start AND p0.src_end GROUP BY 1, 2) AS y ON y.code = se.code AND y.src_end = se.src_end""")
 def level_context(spark, d):
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "trend", "pivot"))
-    return scan.level_context(longs(layer(t, "signal"), "src_end"), longs(layer(t, "trend"), "idx").where("depth = 1"), longs(layer(t, "pivot"), "idx").where("depth = 0"))
+    return scan.level_context(longs(layer(t, "signal"), "src_end"), longs(layer(t, "trend"), "idx").where("depth = 1"), longs(layer(t, "pivot"), "idx").where("depth = 0")).drop("period")
 
 
 def _items(when: str) -> str:
@@ -277,7 +277,7 @@ def _items(when: str) -> str:
   UNION ALL SELECT DISTINCT code, CASE WHEN code IN (SELECT code FROM prev) THEN 'NO_CHANGE' ELSE 'FIRST_SNAPSHOT' END, '' FROM cur WHERE code NOT IN (SELECT code FROM fresh)""")
 def fingerprint_diff(spark, d):
     """What is new in each series between two points in time: one kernel pass, one aggregation."""
-    return scan.fingerprint_changes(watch.fingerprints(walk(spark, d), ["1997-01-01", "9999"]))
+    return scan.fingerprint_changes(watch.fingerprints(walk(spark, d), ["1997-01-01", "9999"])).drop("period")
 
 
 @query(sq.base(sq.pivots("p0", "sg")) + """ SELECT x.code, CASE WHEN y.zg IS NULL THEN 'none' WHEN x.c > y.zg THEN 'up' WHEN x.c < y.zd THEN 'down' ELSE 'inside' END AS state FROM (SELECT code, arg_max(c, i) AS c FROM b GROUP BY code) AS x

@@ -20,6 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def series_keys(*tables: DataFrame) -> list[str]:
+    """What tells series apart: code, and period where all tables have it."""
+    return ["code", *(["period"] if all("period" in t.columns for t in tables) else [])]
+
+
+def same_series(a: DataFrame, b: DataFrame, prefix: str) -> F.Column:
+    """The join of two tables by series; the second one's keys are called by a prefix. Series without a period meet."""
+    on = F.lit(True)
+    for k in series_keys(a):
+        if f"{prefix}{k}" in b.columns:
+            on &= F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) if k == "period" else F.col(k) == F.col(f"{prefix}{k}")
+    return on
+
+
+def only_days(bars: DataFrame) -> DataFrame:
+    """Day bars of a table that may hold other periods."""
+    return bars.where("period = 'day' OR period IS NULL") if "period" in bars.columns else bars
+
+
 def empty_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
