@@ -53,3 +53,20 @@ def fingerprints(bars: DataFrame, cuts: list[str], level: str = "day", mode: str
         return pd.DataFrame(out, columns=["code", "period", "is_new", "part", "item"])
 
     return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, is_new boolean, part string, item string")
+
+
+def looked(bars: DataFrame, mode: str = "strict") -> DataFrame:
+    """code, period, as_of, items, error: the fingerprint of each series as it is; a series that fails is a row with its error."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        code, period, ts = pdf["code"].iloc[0], pdf["period"].iloc[0], pdf["ts"].tolist()
+        items, error = None, None
+        try:
+            high, low, close = (pdf[c].tolist() for c in ("high", "low", "close"))
+            items = [{"part": p, "item": i} for p, i in fingerprint(ts, close, kernel.analyse(high, low, close, period or "day", mode))]
+        except Exception as e:  # one bad series must not stop a market
+            error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"code": [code], "period": [period], "as_of": [ts[-1]], "items": [items], "error": [error]})
+
+    return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(run, "code string, period string, as_of string, items array<struct<part: string, item: string>>, error string")

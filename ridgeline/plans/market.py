@@ -349,6 +349,22 @@ def source_routes(spark, d):
     return each.select("code", "period", lookups.source_route(F.col("code"), F.col("period")).alias("source"))
 
 
+@query("""WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o FROM orders GROUP BY 1, 2), l AS (SELECT k, max(y) AS y, arg_max(o, y) AS o, count(*) AS n FROM y GROUP BY k)
+  SELECT CAST(k AS VARCHAR) AS code, CAST(y AS BIGINT) AS year, o AS orderkey FROM l WHERE k % 5 > 0""")
+def keyed_latest(spark, d):
+    """Each customer's latest order, merged year by year into a table of latest rows that rewrites touched buckets; every fifth customer is taken out again."""
+    from ridgeline.sources.keyed import KeyedTable
+    from ridgeline.sources.shared import shared_folder
+
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.year("o_orderdate").cast("long").alias("year")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("orderkey"))
+    table = KeyedTable(spark, shared_folder(spark, "latest"), "code string, year bigint, orderkey bigint", ["code"], 8)
+    years = sorted(r[0] for r in o.select("year").distinct().collect())  # a row a year
+    for y in years:
+        table.upsert(o.where(F.col("year") == y).select(F.col("k").cast("string").alias("code"), "year", "orderkey"))
+    table.delete(o.where("k % 5 = 0").select(F.col("k").cast("string").alias("code")))
+    return table.read()
+
+
 #: Whole-dollar bars of each customer's days, twelve years later: a minute file knows no year before 2004.
 OB = """ob AS (SELECT o_custkey AS k, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS ts, arg_min(p, (o_orderkey, p)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (o_orderkey, p)) AS close FROM (SELECT *, CAST(floor(o_totalprice) + 1 AS BIGINT) AS p FROM orders) GROUP BY 1, 2)"""
 

@@ -300,6 +300,29 @@ def segment_problems(spark, d):
     return s.withColumn("bad", bad).where("bad").select("code", *(F.col(c).cast("long").alias(c) for c in ("idx", "start_idx", "end_idx")))
 
 
+def _enough(when: str) -> str:
+    """Series with a year and 250 bars up to a time, as SQL."""
+    return f"(SELECT code, count(*) >= 250 AND datediff('day', min(ts)::DATE, max(ts)::DATE) >= 365 AS ok, count(*) >= 250 AS long FROM wb WHERE ts <= '{when}' GROUP BY code)"
+
+
+@query(f"""WITH pv AS {_items('1999-01-01')}, cr AS {_items('9999')}, wb AS (SELECT code, ts FROM ({sq.base()} SELECT code, ts FROM b)), pe AS {_enough('1999-01-01')}, ce AS {_enough('9999')},
+  prev AS (SELECT * FROM pv WHERE code IN (SELECT code FROM pe WHERE ok)), cur AS (SELECT * FROM cr WHERE code IN (SELECT code FROM ce WHERE ok)),
+  fresh AS (SELECT DISTINCT c.code, c.part, c.item FROM cur AS c WHERE c.code IN (SELECT code FROM prev) AND NOT EXISTS (SELECT 1 FROM prev AS p WHERE p.code = c.code AND p.part = c.part AND p.item = c.item))
+  SELECT code, 'ok' AS status, CASE part WHEN 'pivot' THEN 'NEW_PIVOT' WHEN 'signal' THEN 'SIGNAL' WHEN 'breakout' THEN 'PIVOT_BREAKOUT' ELSE 'DIVERGENCE' END AS change, item, CAST(NULL AS VARCHAR) AS reason FROM fresh
+  UNION ALL SELECT DISTINCT code, 'ok', CASE WHEN code IN (SELECT code FROM prev) THEN 'NO_CHANGE' ELSE 'FIRST_SNAPSHOT' END, '', NULL FROM cur WHERE code NOT IN (SELECT code FROM fresh)
+  UNION ALL SELECT code, 'insufficient', NULL, NULL, if(long, 'history too short', 'too few bars') FROM ce WHERE NOT ok""")
+def track_runs(spark, d):
+    """Two runs of the tracker over a kept table: the bars up to 1999, then all; what the second run tells."""
+    from ridgeline.operators import persist
+    from ridgeline.sources.shared import shared_folder
+
+    root = shared_folder(spark, "track")
+    b = walk(spark, d).withColumn("period", F.lit("day"))
+    for bars in (b.where("ts <= '1999-01-01'"), b):
+        told = persist.run_track(spark, root, bars, bars.groupBy("code", "period").agg(F.min("ts").alias("sync_start"), F.max("ts").alias("sync_end")))
+    return told.select("code", "status", "change", "item", "reason")
+
+
 # --- ledgers and streams
 
 
