@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.numbers import round_half_up
@@ -52,3 +52,44 @@ def kind_breakdown(flags: DataFrame) -> DataFrame:
 def adjust_mix(sync: DataFrame) -> DataFrame:
     """Periods whose series are stored in more than one basis."""
     return sync.where("adjust IS NOT NULL").groupBy("period").agg(F.countDistinct("adjust").alias("bases"), F.count("*").alias("n")).where("bases > 1")
+
+
+LATEST_DAYS, CROSS_MOST = 45, 0.005  # fixed values: the days in which the last close must be the actual one; how far sources may differ
+
+
+def bottom_k(codes: DataFrame, n: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
+    """``n`` codes (of each stratum) with the smallest seeded hashes: the same under any partitioning, and those of two tables merge to those of their union. A sampling operator, so it has a limit."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("code")))
+    by = [stratum] if stratum else []
+    w = Window.partitionBy(*by or [F.lit(0)]).orderBy("_hash", "code")
+    return codes.select("code", *by).distinct().withColumn("_hash", h).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n", "_hash")
+
+
+def quality_run(codes: DataFrame, qfq: DataFrame, raw: DataFrame, other: DataFrame, n: int = 20, seed: int = 42, stratum: str | None = None) -> DataFrame:
+    """code, kind, ok, detail, max_rel_err: two checks of a sample of ``codes``; a code without rows to compare fails the check.
+
+    latest_equals_actual: on the last common day of the last weeks the adjusted
+    close is the actual one. cross_source: another source's adjusted closes stay near. Only
+    the sample's bars go into the checks.
+    """
+    picked = bottom_k(codes, n, seed, stratum).select("code")
+    a, b, c = (df.join(picked, "code", "left_semi") for df in (qfq, raw, other))
+    last = a.groupBy("code").agg(F.max("ts").alias("_last"))
+    recent = lambda df: df.join(last, "code").where(F.to_date(F.substring("ts", 1, 10)) >= F.date_sub(F.to_date(F.substring("_last", 1, 10)), LATEST_DAYS)).drop("_last")
+    latest = latest_equals_actual(recent(a), recent(b)).select("code", "ok", F.col("error").alias("max_rel_err"), F.concat(F.lit("last common day "), "ts").alias("detail"))
+    cross = cross_source(a, c).select("code", (F.col("worst") < CROSS_MOST).alias("ok"), F.col("worst").alias("max_rel_err"), F.concat(F.col("n").cast("string"), F.lit(" common days, worst "), "worst_day").alias("detail"))
+    out = None
+    for kind, got in (("latest_equals_actual", latest), ("cross_source", cross)):
+        one = picked.join(got, "code", "left").select("code", F.lit(kind).alias("kind"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("detail", F.lit("nothing to compare")).alias("detail"), "max_rel_err")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def save_quality(spark, root: str, results: DataFrame, ts: str, period: str = "day") -> DataFrame:
+    """Enters the results in the ledger of flags, and returns the report: kind, total, failing."""
+    from ridgeline.operators.persist import opened
+    from ridgeline.sources.shared import saved
+
+    rows = saved(results, "quality")
+    opened(spark, root, "quality_flag").upsert(rows.select("code", F.lit(period).alias("period"), "kind", "ok", "detail", F.lit(ts).alias("ts")))
+    return kind_breakdown(rows.withColumn("ok", F.col("ok").cast("int")))
