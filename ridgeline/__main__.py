@@ -28,8 +28,12 @@ def parser() -> argparse.ArgumentParser:
     add("structure", "code", period="day", basis="qfq", mode="strict", limit=250)
     add("levels", "code", period="day", basis="qfq")
     add("signal-trail", "code", period="day", step=20, mode="strict")
-    add("scan", period="day", mode="strict", limit=100)
-    add("backtest", "codes", period="day", strategy="signals", mode="strict")
+    add("scan", periods="day", codes="", mode="strict", limit=100, **{"run-date": None})
+    add("scan-results", **{"run-date": None})
+    add("track", periods="day", codes="", mode="strict")
+    add("freeze", period="day", mode="strict")
+    add("snapshot", "code", period="day")
+    add("backtest", "codes", period="day", strategy="signals", mode="strict", start=None, end=None)
     add("search", "text", limit=20)
     add("watchlist")
     add("freshness")
@@ -50,10 +54,19 @@ def run(spark: SparkSession, argv: list[str]):
         return {k: [{x: r.get(x) for x in ("level", "depth", "kind", "ts", "end_ts")} for r in t.get(k, [])] for k in ("pivot", "trend")}
     if a.command == "signal-trail":
         return s.trail(a.code, a.period, a.step, a.mode)
+    several = lambda text: [x for x in text.split(",") if x]
     if a.command == "scan":
-        return s.scan(a.period, a.mode, a.limit)
+        return s.scan(several(a.periods), a.mode, a.limit, several(a.codes), a.run_date)
+    if a.command == "scan-results":
+        return s.scan_results(a.run_date)
+    if a.command == "track":
+        return s.track(several(a.codes), several(a.periods), a.mode)
+    if a.command == "freeze":
+        return {"kept": s.freeze(a.period, a.mode)}
+    if a.command == "snapshot":
+        return s.snapshot(a.code, a.period)
     if a.command == "backtest":
-        return s.backtest(a.codes, a.period, a.strategy, a.mode)
+        return s.backtest(a.codes, a.period, a.strategy, a.mode, start=a.start, end=a.end)
     if a.command == "search":
         return s.search(a.text, a.limit)
     if a.command in ("watchlist", "freshness"):

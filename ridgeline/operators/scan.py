@@ -62,39 +62,62 @@ def rank_hits(signals: DataFrame, strengths: DataFrame, limit: int | None = None
     s = strengths.select(*(F.col(k).alias(f"s_{k}") for k in keys), F.col("src_start").alias("s_start"), F.col("src_end").alias("s_end"), "divergence")
     hits = signals.join(s, same_series(signals, s, "s_") & (F.col("src_start") == F.col("s_start")) & (F.col("src_end") == F.col("s_end")), "left")
     hits = hits.withColumn("strength", round_half_up(hit_strength(F.col("kind"), F.col("level"), F.col("status"), F.col("flag"), F.col("divergence")), 6))
-    out = hits.select(*series_keys(signals), "kind", "level", "ts", "price", "status", "strength").orderBy(F.desc("strength"), weight(F.col("level"), LEVEL_RANK, 9), "ts", "code", "kind")
+    out = in_order(hits.select(*series_keys(signals), "kind", "level", "ts", "price", "status", "strength"))
     return out.limit(limit) if limit is not None else out
 
 
-def market_scan(bars: DataFrame, sync: DataFrame, mode: str = "loose", level: str = "day") -> tuple[DataFrame, DataFrame]:
-    """(outcomes, hits) of every series of ``bars`` (code, period, ts, high, low, close).
+def with_strength(table: DataFrame) -> DataFrame:
+    """The signals of a long table with their strength: each meets its segment's divergence inside its series, so the table is read once."""
+    keys = series_keys(table)
+    own = Window.partitionBy(*keys, "layer", "direction").orderBy("src_end", "idx")
+    prev = lambda c: F.lag(c).over(own)
+    further = F.when(F.col("direction") == 1, F.col("high") > prev("high")).otherwise(F.col("low") < prev("low"))
+    share = F.least(F.greatest(F.try_divide(prev("area_now") - F.col("area_now"), prev("area_now")), F.lit(0.0)), F.lit(1.0))
+    weaker = F.when(F.coalesce(further & (F.col("area_now") < prev("area_now")), F.lit(False)), share).otherwise(0.0)
+    marked = table.where("layer <> 'segment' OR status <> 'invalidated'").withColumn("divergence", F.when(F.col("layer") == "segment", weaker))
+    both = marked.withColumn("divergence", F.max("divergence").over(Window.partitionBy(*keys, "src_start", "src_end"))).where("layer = 'signal'")
+    strength = round_half_up(hit_strength(F.col("kind"), F.col("level"), F.col("status"), F.col("flag"), F.col("divergence")), 6)
+    return both.select(*keys, "kind", "level", "ts", "price", "status", strength.alias("strength"))
+
+
+def in_order(hits: DataFrame) -> DataFrame:
+    """Strongest first: -strength, level, ts, code, period, kind."""
+    return hits.orderBy(F.desc("strength"), weight(F.col("level"), LEVEL_RANK, 9), "ts", *series_keys(hits), "kind")
+
+
+def tasks_of(codes: DataFrame, periods: list[str], by_period: dict[str, list[str]] | None = None) -> DataFrame:
+    """code, name, period: every code (code, name) on every period; a period may have codes of its own."""
+    by_period = by_period or {}
+    every = codes.select("code", F.coalesce("name", F.lit("")).alias("name"), F.explode(F.array(*map(F.lit, periods))).alias("period")).where(~F.col("period").isin(*(by_period or [""])))
+    own = codes.sparkSession.createDataFrame([(c.strip(), p) for p, cs in by_period.items() if p in periods for c in cs if c.strip()], "code string, period string").distinct()
+    return every.union(own.join(codes.select("code", "name"), "code", "left").select("code", F.coalesce("name", F.lit("")), "period"))
+
+
+def market_scan(bars: DataFrame, sync: DataFrame, mode: str = "loose", level: str | None = None, tasks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, hits) of every series of ``bars`` (code, period, ts, high, low, close), or of every task (code, name, period).
 
     sync: (code, period, sync_start, sync_end). Only series with enough history
-    are analysed. outcomes: code, period, outcome (hit, none, insufficient or
-    error), reason, n_hits, best strength; hits: code, period, kind, ts, price,
-    status, strength. The structure is computed once for both.
+    are analysed, each on the level of its period. outcomes: code, period, name, outcome (hit, none, insufficient or
+    error), reason, n_hits, best strength; hits: code, period, kind, level, ts, price,
+    status, strength. The kernel runs once: what it finds is written to the shared folder and read for both.
     """
     from ridgeline.operators.structure import structure
+    from ridgeline.sources.shared import saved
 
     keys = ["code", "period"]
-    series = bars.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.min("ts").alias("file_start")).join(sync.select(*keys, "sync_start", "sync_end"), keys, "left")
-    judged = sufficiency(series)
+    if tasks is not None:
+        bars = bars.join(tasks.select(*keys), keys, "left_semi")
+    series = bars.groupBy(*keys).agg(F.count("*").alias("n_bars"), F.min("ts").alias("file_start"))
+    wanted = series.withColumn("name", F.lit("")) if tasks is None else tasks.join(series, keys, "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+    judged = saved(sufficiency(wanted.join(sync.select(*keys, "sync_start", "sync_end"), keys, "left")), "judged")
     table = structure(bars.join(judged.where("ok").select(*keys), keys, "left_semi"), level=level, mode=mode, layers=("signal", "segment"))
-    # strengths meet their signals inside a series: one aggregation of the table instead of two readings
-    own = Window.partitionBy(*keys, "layer", "direction").orderBy("src_end", "idx")
-    prev = lambda c: F.lag(c).over(own)
-    further = F.when(F.col("direction") == 1, F.col("high") > prev("high")).otherwise(F.col("low") < prev("low"))
-    share = F.least(F.greatest(F.try_divide(prev("area_now") - F.col("area_now"), prev("area_now")), F.lit(0.0)), F.lit(1.0))
-    weaker = F.when(F.coalesce(further & (F.col("area_now") < prev("area_now")), F.lit(False)), share).otherwise(0.0)
-    marked = table.withColumn("divergence", F.when(F.col("layer") == "segment", weaker))
-    both = marked.withColumn("divergence", F.max("divergence").over(Window.partitionBy(*keys, "src_start", "src_end")))
-    strength = round_half_up(hit_strength(F.col("kind"), F.col("level"), F.col("status"), F.col("flag"), F.col("divergence")), 6)
-    hits = both.where("layer = 'signal'").select(*keys, "kind", "ts", "price", "status", strength.alias("strength"))
+    table = saved(table, "scan")
+    hits = with_strength(table)
     failed = table.where("layer = 'error'").select(*keys, F.col("text").alias("error"))
     found = hits.groupBy(*keys).agg(F.count("*").alias("n_hits"), F.max("strength").alias("best"))
     out = judged.join(found, keys, "left").join(failed, keys, "left")
     outcome = F.when(~F.col("ok"), "insufficient").when(F.col("error").isNotNull(), "error").when(F.col("n_hits") > 0, "hit").otherwise("none")
-    return out.select(*keys, outcome.alias("outcome"), F.coalesce("reason", "error").alias("reason"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best"), hits
+    return out.select(*keys, "name", outcome.alias("outcome"), F.coalesce("reason", "error").alias("reason"), F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "best"), hits
 
 
 def level_context(signals: DataFrame, trends: DataFrame, pivots: DataFrame) -> DataFrame:

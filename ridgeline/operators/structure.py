@@ -64,12 +64,13 @@ def frame(rows: list[dict]) -> pd.DataFrame:
     return df
 
 
-def runner(level: str, mode: str, policy, layers, **functions):
+def runner(level: str | None, mode: str, policy, layers, **functions):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         code, ts = pdf["code"].iloc[0], pdf["ts"].tolist()
+        own = level or pdf["period"].iloc[0] or "day"
         try:
-            rows = rows_of(code, ts, kernel.analyse(pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist(), level, mode, policy, **functions), level)
+            rows = rows_of(code, ts, kernel.analyse(pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist(), own, mode, policy, **functions), own)
         except Exception as e:  # one bad series must not stop a market
             rows = [{"code": code, "layer": "error", "depth": 0, "idx": 0, "text": f"{type(e).__name__}: {e}"}]
         out = frame([r for r in rows if layers is None or r["layer"] in layers or r["layer"] == "error"])
@@ -79,8 +80,8 @@ def runner(level: str, mode: str, policy, layers, **functions):
     return run
 
 
-def structure(bars: DataFrame, level: str = "day", mode: str = "strict", policy=kernel.choose_breaks, layers: tuple[str, ...] | None = None, signal_fn=None, divergence_fn=None) -> DataFrame:
-    """The long table of every series of ``bars``. Only the columns that the kernel needs are shuffled. Own functions of a ``kernel.View`` may give the signals and divergences."""
+def structure(bars: DataFrame, level: str | None = "day", mode: str = "strict", policy=kernel.choose_breaks, layers: tuple[str, ...] | None = None, signal_fn=None, divergence_fn=None) -> DataFrame:
+    """The long table of every series of ``bars``. Only the columns that the kernel needs are shuffled. Own functions of a ``kernel.View`` may give the signals and divergences. Without a level, a series is on that of its period."""
     if mode not in ("strict", "loose"):
         raise ValueError(f"mode is strict or loose, not {mode!r}")
     return series(bars, "high", "low", "close").groupBy("code", "period").applyInPandas(runner(level, mode, policy, layers, signal_fn=signal_fn, divergence_fn=divergence_fn), SCHEMA)

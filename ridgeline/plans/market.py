@@ -365,6 +365,23 @@ def keyed_latest(spark, d):
     return table.read()
 
 
+@query("""WITH c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS code, CAST(o_custkey % 3 AS VARCHAR) AS stratum FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || code), code) AS n FROM c), p AS (SELECT code FROM s WHERE n <= 20),
+  b AS (SELECT CAST(o_custkey AS VARCHAR) AS code, strftime(o_orderdate, '%Y-%m-%d') AS ts, max(o_totalprice) AS raw FROM orders GROUP BY 1, 2), z AS (SELECT b.*, max(ts) OVER (PARTITION BY b.code) AS last, CASE WHEN CAST(b.code AS BIGINT) % 7 = 2 THEN raw * 1.02e0 ELSE raw END AS q, CASE WHEN CAST(b.code AS BIGINT) % 5 = 1 THEN raw * 1.01e0 ELSE raw END AS o FROM b JOIN p ON p.code = b.code),
+  x AS (SELECT code, max(abs(q - o) / o) AS worst FROM z GROUP BY code)
+  SELECT code, 'latest_equals_actual' AS kind, CAST(code AS BIGINT) % 7 <> 2 AS ok FROM p UNION ALL SELECT p.code, 'cross_source', worst < 0.005 FROM p JOIN x ON x.code = p.code""")
+def quality_sample(spark, d):
+    """A seeded sample of customers by stratum, and two checks of its bars."""
+    from ridgeline.sources import bars
+
+    o = t(spark, d, "orders")
+    raw = o.groupBy(F.col("o_custkey").cast("string").alias("code"), bars.day("o_orderdate").alias("ts")).agg(F.max("o_totalprice").cast("double").alias("close"))
+    k = F.col("code").cast("long")
+    qfq = raw.withColumn("close", F.when(k % 7 == 2, F.col("close") * 1.02).otherwise(F.col("close")))
+    other = raw.withColumn("close", F.when(k % 5 == 1, F.col("close") * 1.01).otherwise(F.col("close")))
+    codes = raw.select("code", (k % 3).cast("string").alias("stratum"))
+    return quality.quality_run(codes, qfq, raw, other, 20, 42, "stratum").select("code", "kind", "ok")
+
+
 #: Whole-dollar bars of each customer's days, twelve years later: a minute file knows no year before 2004.
 OB = """ob AS (SELECT o_custkey AS k, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS ts, arg_min(p, (o_orderkey, p)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (o_orderkey, p)) AS close FROM (SELECT *, CAST(floor(o_totalprice) + 1 AS BIGINT) AS p FROM orders) GROUP BY 1, 2)"""
 

@@ -236,8 +236,7 @@ STRENGTH = f""", gs AS (SELECT code, src_start, src_end, CASE WHEN if(d = 1, h >
 def scan_strength_topk(spark, d):
     """One kernel pass: segments carry their areas, so signals and strengths come from one table."""
     t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "segment"))
-    seg = layer(t, "segment").select("code", "idx", "direction", "high", "low", "src_start", "src_end", "status", F.col("area_now").alias("area"))
-    return scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), 50).drop("period")
+    return scan.in_order(scan.with_strength(t)).limit(50).drop("period")
 
 
 @query(SIGNALS[True] + STRENGTH + f""", sn AS (SELECT code, count(*) AS n, min(ts) AS a, max(ts) AS z FROM b GROUP BY code)
@@ -249,14 +248,36 @@ def market_scan(spark, d):
     b = walk(spark, d).withColumn("period", F.lit("day"))
     first = F.substring("code", 1, 1)
     sync = b.groupBy("code", "period").agg(F.min("ts").alias("a"), F.max("ts").alias("z")).where(first != "1").select("code", "period", F.when(first == "2", F.lit("19x")).when(first == "3", F.date_sub(F.to_date("z"), 100).cast("string")).otherwise(F.col("a")).alias("sync_start"), F.col("z").alias("sync_end"))
-    return scan.market_scan(b, sync)[0]
+    return scan.market_scan(b, sync)[0].drop("name")
+
+
+@query(SIGNALS[True] + STRENGTH + f""", sn AS (SELECT code, count(*) AS n FROM b GROUP BY code), tk AS (SELECT code, unnest(['day', '30']) AS period FROM (SELECT code FROM sn UNION ALL SELECT 'none'))
+  SELECT tk.code, tk.period, CASE WHEN NOT coalesce(enough, false) THEN 'insufficient' WHEN count(gh.code) > 0 THEN 'hit' ELSE 'none' END AS outcome, CASE WHEN enough THEN count(gh.code) ELSE 0 END AS n_hits
+  FROM (SELECT tk.*, if(tk.period = '30', tk.code[1] = '1' AND n >= 480, tk.code[1] > '1' AND n >= 250) AS enough FROM tk LEFT JOIN sn ON sn.code = tk.code) AS tk LEFT JOIN gh ON gh.code = tk.code GROUP BY tk.code, tk.period, enough""")
+def scan_tasks(spark, d):
+    """The scan by periods and codes: each code of a list on two periods, one of which has the bars; a code without bars is a row too. Hits are kept and read back."""
+    from ridgeline.operators import persist
+    from ridgeline.sources.shared import shared_folder
+
+    root = shared_folder(spark, "hits")
+    own = F.substring("code", 1, 1) == "1"
+    b = walk(spark, d).withColumn("period", F.when(own, "30").otherwise("day"))
+    codes = b.select("code").distinct().union(spark.createDataFrame([("none",)], "code string")).withColumn("name", F.lit(""))
+    sync = b.groupBy("code", "period").agg(F.min("ts").alias("sync_start"), F.max("ts").alias("sync_end"))
+    outcomes, hits = scan.market_scan(b, sync, tasks=scan.tasks_of(codes, ["day", "30"]))
+    persist.save_hits(spark, root, hits, "2026-01-01")
+    kept = persist.saved_hits(spark, root, "2026-01-01").groupBy("code", "period").agg(F.count("*").alias("kept"))
+    told = outcomes.join(kept, ["code", "period"], "left")
+    return told.select("code", "period", F.when((F.col("outcome") == "hit") & F.col("kept").isNull(), "lost").otherwise(F.col("outcome")).alias("outcome"), "n_hits")
 
 
 @query(SIGNALS[True] + """, se AS (SELECT code, kind, src_end FROM sig) SELECT se.code, se.kind, se.src_end, x.t AS trend_idx, CASE WHEN x.t IS NULL THEN y.p END AS zone_idx FROM se
   LEFT JOIN (SELECT s.code, s.src_end, min(t1.idx) AS t FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN t1 ON t1.code = s.code AND s.src_end BETWEEN t1.src_start AND t1.src_end GROUP BY 1, 2) AS x ON x.code = se.code AND x.src_end = se.src_end
   LEFT JOIN (SELECT s.code, s.src_end, min(p0.idx) AS p FROM (SELECT DISTINCT code, src_end FROM se) AS s JOIN p0 ON p0.code = s.code AND s.src_end BETWEEN p0.src_start AND p0.src_end GROUP BY 1, 2) AS y ON y.code = se.code AND y.src_end = se.src_end""")
 def level_context(spark, d):
-    t = structure.structure(walk(spark, d), mode="loose", layers=("signal", "trend", "pivot"))
+    from ridgeline.sources.shared import saved
+
+    t = saved(structure.structure(walk(spark, d), mode="loose", layers=("signal", "trend", "pivot")), "layers")  # one kernel pass for three readers
     return scan.level_context(longs(layer(t, "signal"), "src_end"), longs(layer(t, "trend"), "idx").where("depth = 1"), longs(layer(t, "pivot"), "idx").where("depth = 0")).drop("period")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import codes
-from ridgeline.operators import adjust, backtest, indicators, meta, scan, structure
+from ridgeline.operators import adjust, backtest, indicators, meta, persist, scan, structure
 from ridgeline.operators.structure import layer
 from ridgeline.sources import bars as store
 
@@ -85,30 +85,73 @@ class Service:
     def search(self, text: str, limit: int = 20) -> list[dict]:
         return [r.asDict() for r in meta.search(self.table("universe", "code string, name string"), text, limit).collect()]
 
-    def scan(self, period: str = "day", mode: str = "strict", limit: int = 100) -> list[dict]:
-        """The strongest signals of every stored series of a period."""
-        b = store.read_bars(self.spark, f"{self.root}/bars", period=period).drop("market")
-        t = structure.structure(b, level=period, mode=mode, layers=("signal", "segment")).persist()
-        seg = layer(t, "segment").withColumn("area", F.col("area_now"))
-        out = [r.asDict() for r in scan.rank_hits(layer(t, "signal"), scan.segment_strength(seg), limit).collect()]
-        t.unpersist()
-        return out
+    def synced(self) -> DataFrame:
+        """How far each series is: what a sync noted, else what the store holds."""
+        noted = persist.opened(self.spark, self.root, "sync_state").read().select("code", "period", F.col("start_ts").alias("n_start"), F.col("end_ts").alias("n_end"))
+        held = self.spark.read.parquet(f"{self.root}/bars").groupBy("code", "period").agg(F.min("ts").alias("h_start"), F.max("ts").alias("h_end"))
+        return held.join(noted, ["code", "period"], "full_outer").select("code", "period", F.coalesce("n_start", "h_start").alias("sync_start"), F.coalesce("n_end", "h_end").alias("sync_end"))
+
+    def listed(self, wanted: list[str] | None) -> DataFrame:
+        """code, name: the codes that are asked for, or the universe, or what the store holds if there is none."""
+        names = self.table("universe", "code string, name string").select("code", "name")
+        if wanted:
+            return self.spark.createDataFrame([(self.code(c),) for c in wanted], "code string").join(names, "code", "left")
+        held = self.spark.read.parquet(f"{self.root}/bars").select("code").distinct()
+        return names.union(held.join(names, "code", "left_anti").select("code", F.lit("")))
+
+    def scan(self, periods=("day",), mode: str = "strict", limit: int = 100, wanted: list[str] | None = None, run_date: str | None = None) -> dict:
+        """Every listed code on every period: outcomes, and the strongest hits; ``run_date`` keeps the hits."""
+        periods = [periods] if isinstance(periods, str) else list(periods)
+        if any(p not in PERIODS for p in periods):
+            raise ValueError(f"no such periods: {periods!r}")
+        b = self.spark.read.parquet(f"{self.root}/bars").where(F.col("period").isin(*periods)).select("code", "period", "ts", "high", "low", "close")
+        outcomes, hits = scan.market_scan(b, self.synced(), mode, tasks=scan.tasks_of(self.listed(wanted), periods))
+        if run_date:
+            persist.save_hits(self.spark, self.root, hits, run_date)
+        counts = {f"{r['period']} {r['outcome']}": r["n"] for r in outcomes.groupBy("period", "outcome").agg(F.count("*").alias("n")).collect()}
+        reasons = {r["reason"]: r["n"] for r in outcomes.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).collect()}
+        return {"outcomes": counts, "reasons": reasons, "hits": [r.asDict() for r in scan.in_order(hits).limit(limit).collect()]}
+
+    def scan_results(self, run_date: str | None = None) -> list[dict]:
+        return [r.asDict() for r in persist.saved_hits(self.spark, self.root, run_date).collect()]
+
+    def track(self, wanted: list[str] | None = None, periods=("day",), mode: str = "strict", keep: bool = True) -> list[dict]:
+        """What changed since the last run in each series of the watchlist (or of the codes that are asked for)."""
+        names = self.table("watchlist", "code string, name string, sort_order int, added_at string").select("code", "name") if not wanted else self.listed(wanted)
+        tasks = scan.tasks_of(names, list(periods))
+        b = self.spark.read.parquet(f"{self.root}/bars").select("code", "period", "ts", "high", "low", "close").join(tasks.select("code", "period"), ["code", "period"], "left_semi")
+        rows = persist.run_track(self.spark, self.root, b, self.synced(), mode, keep)
+        missing = tasks.join(rows.select("code", "period").distinct(), ["code", "period"], "left_anti").select("code", "period", F.lit("insufficient").alias("status"), *(F.lit(None).cast("string").alias(c) for c in ("as_of", "prev_as_of", "change", "item")), F.lit("no bars").alias("reason"))
+        return [r.asDict() for r in rows.union(missing).join(tasks, ["code", "period"], "left").orderBy("code", "period", "change", "item").collect()]
+
+    def freeze(self, period: str = "day", mode: str = "strict") -> int:
+        """Keeps the snapshot of every stored series of a period; returns how many are kept."""
+        b = store.read_bars(self.spark, f"{self.root}/bars", period=period)
+        persist.save_snapshots(self.spark, self.root, structure.structure(b, level=period, mode=mode), b.groupBy("code", "period").agg(F.max("ts").alias("as_of")))
+        return persist.opened(self.spark, self.root, "structure_snapshot").read().where(F.col("period") == period).count()
+
+    def snapshot(self, code: str, period: str = "day") -> dict:
+        got = persist.opened(self.spark, self.root, "structure_snapshot").get(code=self.code(code), period=period).first()
+        if got is None:
+            raise NotFound(code)
+        return got.asDict() | {"payload": json.loads(got["payload"])}
 
     def watchlist(self) -> list[dict]:
         w = self.table("watchlist", "code string, name string, sort_order int, added_at string")
         return [r.asDict() for r in meta.ordered_watchlist(w).orderBy("place").collect()]
 
-    def backtest(self, wanted: list[str], period: str = "day", strategy: str = "signals", mode: str = "strict", cash: float = 100_000.0) -> dict:
+    def backtest(self, wanted: list[str], period: str = "day", strategy: str = "signals", mode: str = "strict", cash: float = 100_000.0, start: str | None = None, end: str | None = None) -> dict:
+        """A replay of a span over codes in the order in which they are given."""
         b = None
-        for c in wanted:
-            one = self.frame(c, period)
+        for place, c in enumerate(wanted):
+            one = self.frame(c, period).withColumn("place", F.lit(place))
             b = one if b is None else b.union(one)
         if strategy == "signals":
-            causes = backtest.visible_signals(b, period, mode).select(F.lit("run").alias("run"), "code", "ts", "kind", "seq")
+            causes = backtest.visible_signals(b, period, mode, start, end).select(F.lit("run").alias("run"), "code", "ts", "kind", "seq")
         else:
             f = structure.structure(b, level=period, layers=("fractal",)).where("layer = 'fractal'")
             causes = f.select(F.lit("run").alias("run"), "code", F.col("confirmed_at").alias("ts"), "kind", F.col("idx").alias("seq"))
-        led = backtest.backtest(b.select(F.lit("run").alias("run"), "code", "ts", "open", "close"), causes, strategy, cash).persist()
+        led = backtest.backtest(b.select(F.lit("run").alias("run"), "code", "ts", "open", "close", "place"), causes, strategy, cash, start, end).persist()
         trips = layer(led, "trip")
         out = {"metrics": [r.asDict() for r in backtest.trip_metrics(trips, ["run"]).collect()], "by_signal": [r.asDict() for r in backtest.trip_metrics(trips, ["signal_kind"]).collect()]}
         eq = layer(led, "equity").select(F.col("run").alias("key"), "ts", "equity")

@@ -34,7 +34,16 @@ def test_service(spark, root):
     assert {(r["idx"], r["src_start"]) for r in part.get("stroke", [])} < known
     assert s.search("600")[0]["name"] == "first bank"
     assert isinstance(s.trail("600000", step=100, mode="loose"), list)
-    assert all(h["strength"] >= 0 for h in s.scan(mode="loose"))
+    got = s.scan(["day", "30"], mode="loose", run_date="2026-01-01")
+    assert all(h["strength"] >= 0 and h["period"] == "day" for h in got["hits"]) and sum(got["outcomes"].values()) == 6  # three codes, two periods
+    assert got["outcomes"]["30 insufficient"] == 3 and got["reasons"]["never synchronised"] == 4
+    assert len(s.scan_results("2026-01-01")) == len({(h["code"], h["kind"], h["ts"]) for h in got["hits"]})
+    told = s.track(["600000", "600001"])
+    assert {(r["code"], r["change"] or r["reason"]) for r in told} == {("600000", "FIRST_SNAPSHOT"), ("600001", "no bars")}
+    assert {r["change"] for r in s.track(["600000"])} == {"NO_CHANGE"}
+    assert s.freeze() == 2 and s.snapshot("600000")["version"] == 1
+    span = s.backtest(["sh.000001", "600000"], strategy="fractal", start="1996-01-01", end="1997-12-31")
+    assert span["final_equity"] > 0
     assert s.backtest(["600000", "sh.000001"], strategy="fractal")["metrics"][0]["n"] > 0
     assert len(s.freshness()) == 2 and s.watchlist() == []
     for bad in (lambda: s.bars("zz"), lambda: s.bars("600000", "3")):
