@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.service import PERIODS, NotFound, Service, to_json
+from ridgeline.service import PERIODS, NotFound, Service, backtest_report, to_json
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     add("track", periods="day", codes="", mode="strict")
     add("freeze", period="day", mode="strict")
     add("snapshot", "code", period="day")
-    add("backtest", "codes", period="day", strategy="signals", mode="strict", start=None, end=None)
+    add("backtest", "codes", period="day", strategy="signals", mode="strict", start=None, end=None, form="json")
     add("search", "text", limit=20)
     add("watchlist")
     add("freshness")
@@ -66,7 +66,8 @@ def run(spark: SparkSession, argv: list[str]):
     if a.command == "snapshot":
         return s.snapshot(a.code, a.period)
     if a.command == "backtest":
-        return s.backtest(a.codes, a.period, a.strategy, a.mode, start=a.start, end=a.end)
+        got = s.backtest(a.codes, a.period, a.strategy, a.mode, start=a.start, end=a.end)
+        return backtest_report(got, a.codes, a.strategy, a.start, a.end) if a.form == "text" else got
     if a.command == "search":
         return s.search(a.text, a.limit)
     if a.command in ("watchlist", "freshness"):
@@ -86,7 +87,8 @@ def run(spark: SparkSession, argv: list[str]):
 def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("ridgeline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        print(to_json(run(spark, sys.argv[1:] if argv is None else argv)))
+        got = run(spark, sys.argv[1:] if argv is None else argv)
+        print(got if isinstance(got, str) else to_json(got))
     except (NotFound, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import codes
 
 # Where a market's bars come from; the markets and periods that one vendor alone has minutes for.
-SOURCES = {"sh": "baostock", "sz": "baostock", "bj": "baostock", "hk": "tencent", "us": "sina", "sw": "sector"}
+SOURCES = {"sh": "baostock", "sz": "baostock", "bj": "baostock", "hk": "tencent", "us": "sina", "sw": "sw"}
 MINUTE_VENDOR, MINUTES = "pytdx", ("1", "5", "15", "30", "60")
 
 
@@ -63,6 +63,40 @@ def source_route(code, period) -> F.Column:
     return F.when(alone, F.lit(MINUTE_VENDOR)).otherwise(codes.lookup(market, SOURCES))
 
 
+# What stands before a vendor's symbol; which periods each source has; how many bars a source gives at most.
+BOARD_PREFIX = "pt01"
+DAYS_AND_MORE, SHORT = ("day", "week", "month"), ("60", "30", "15", "5")
+NASDAQ_CAP = 1023
+
+
+def vendor_symbol(code) -> F.Column:
+    """A key as its source writes it: sh.600000, hkHSI, .DJI, AAPL, pt01801120."""
+    market, digits = codes.market_of(code), codes.bare(code)
+    us = F.when(codes.is_index(code), F.concat(F.lit("."), F.upper(digits))).otherwise(F.upper(digits))
+    return F.when(market == "hk", F.concat(F.lit("hk"), F.upper(digits))).when(market == "us", us).when(market == "sw", F.concat(F.lit(BOARD_PREFIX), digits)).otherwise(F.concat(market, F.lit("."), digits))
+
+
+def fallback_source(code, period) -> F.Column:
+    """Where to ask when the first source has no row: only minutes of mainland indexes have a second one, and not those of one minute."""
+    return F.when(codes.market_of(code).isin("sh", "sz") & codes.is_index(code) & period.isin(*SHORT), F.lit("eastmoney"))
+
+
+def capability(code, period) -> F.Column:
+    """(source, supported, reason, depth_cap): can this period of this key be had, why not, and how many bars at most."""
+    market, source = codes.market_of(code), source_route(code, period)
+    minutes = period.isin(*SHORT)
+    why = (
+        F.when(period.isin(*DAYS_AND_MORE) | (source == MINUTE_VENDOR), None)
+        .when(market == "sw", "industry boards have no source of minutes: weeks and months come from days")
+        .when(market == "hk", "no source has minutes of this market with a history")
+        .when((market == "us") & ~minutes, F.concat(F.lit("this market has no period "), period))
+        .when((market == "us") | minutes, None)
+        .when(period == "1", "the source has 60, 30, 15 and 5 minutes, not one")
+        .otherwise(F.concat(F.lit("no source has the period "), period))
+    )
+    return F.struct(source.alias("source"), why.isNull().alias("supported"), why.alias("reason"), F.when((market == "us") & minutes, NASDAQ_CAP).alias("depth_cap"))
+
+
 def weekday_calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     """day, source: every Monday to Friday, for markets without a calendar of their own."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))

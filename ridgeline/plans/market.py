@@ -382,6 +382,25 @@ def quality_sample(spark, d):
     return quality.quality_run(codes, qfq, raw, other, 20, 42, "stratum").select("code", "kind", "ok")
 
 
+@query(f"""WITH s AS ({STORED}), x AS (SELECT DISTINCT code FROM s UNION SELECT 'us.' || lower(substr(n_name, 1, 3)) FROM nation UNION SELECT 'us.dji' UNION SELECT 'sw.801' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') FROM nation),
+  p AS (SELECT *, {MARKET} AS market, split_part(code, '.', -1) AS bare, unnest(['1', '5', 'day', '7']) AS period FROM x),
+  i AS (SELECT *, market IN ('sh', 'sz') AND substr(bare, 1, 3) = if(market = 'sh', '000', '399') OR code = 'us.dji' AS ix FROM p),
+  r AS (SELECT *, CASE WHEN market IN ('sh', 'sz') AND (period = '1' OR (period = '5' AND ix)) THEN 'pytdx' ELSE CASE market WHEN 'hk' THEN 'tencent' WHEN 'us' THEN 'sina' WHEN 'sw' THEN 'sw' ELSE 'baostock' END END AS source FROM i)
+  SELECT code, period, source, CASE market WHEN 'hk' THEN 'hk' || upper(bare) WHEN 'us' THEN if(ix, '.', '') || upper(bare) WHEN 'sw' THEN 'pt01' || bare ELSE market || '.' || bare END AS symbol,
+    CASE WHEN market IN ('sh', 'sz') AND ix AND period = '5' THEN 'eastmoney' END AS fallback, period = 'day' OR source = 'pytdx' OR (period = '5' AND market NOT IN ('hk', 'sw')) AS supported, CASE WHEN market = 'us' AND period = '5' THEN 1023 END AS depth_cap FROM r""")
+def source_capabilities(spark, d):
+    """What each key's source has of each period: symbol, second source, whether it can be had, how deep."""
+    from ridgeline.operators import lookups
+
+    n = t(spark, d, "nation")
+    more = n.select(F.concat(F.lit("us."), F.lower(F.substring("n_name", 1, 3)))).union(n.select(F.concat(F.lit("sw.801"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0")))).union(n.limit(1).select(F.lit("us.dji")))
+    keys = _stored(spark, d).select("code").union(more).distinct()
+    each = keys.select("code", F.explode(F.array(*map(F.lit, ("1", "5", "day", "7")))).alias("period"))
+    c, p = F.col("code"), F.col("period")
+    got = each.select("code", "period", lookups.vendor_symbol(c).alias("symbol"), lookups.fallback_source(c, p).alias("fallback"), lookups.capability(c, p).alias("x"))
+    return got.select("code", "period", "x.source", "symbol", "fallback", "x.supported", "x.depth_cap")
+
+
 #: Whole-dollar bars of each customer's days, twelve years later: a minute file knows no year before 2004.
 OB = """ob AS (SELECT o_custkey AS k, strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') AS ts, arg_min(p, (o_orderkey, p)) AS open, max(p) AS high, min(p) AS low, arg_max(p, (o_orderkey, p)) AS close FROM (SELECT *, CAST(floor(o_totalprice) + 1 AS BIGINT) AS p FROM orders) GROUP BY 1, 2)"""
 

@@ -165,5 +165,23 @@ class Service:
         return [r.asDict() for r in store.last_ts(self.spark.read.parquet(f"{self.root}/bars")).orderBy("code", "period").collect()]
 
 
+def backtest_report(got: dict, wanted: list[str], strategy: str, start: str | None = None, end: str | None = None, cash: float = 100_000.0) -> str:
+    """A backtest's result as text: span, money, risk, round trips by signal, benchmark."""
+    show = lambda v, form="{:,.2f}": "-" if v is None else form.format(v)
+    m = (got["metrics"] or [{}])[0]
+    fall = (got["drawdown"] or [{}])[0]
+    final = got["final_equity"]
+    lines = [
+        f"strategy {strategy}, codes {', '.join(wanted)}, span {start or 'open'} to {end or 'open'}",
+        f"cash {show(cash)}, at the end {show(final)}, return {show(None if final is None else final / cash - 1, '{:+.2%}')}",
+        f"largest fall {show(fall.get('drawdown'))} ({show(fall.get('drawdown_pct'), '{:.2%}')})",
+        f"round trips {m.get('n', 0)}: won {show(m.get('win_rate'), '{:.2%}')} ({m.get('wins', 0)} of {m.get('n', 0)}), payoff {show(m.get('payoff_ratio'))}, expectancy {show(m.get('expectancy'), '{:+,.2f}')}, profit factor {show(m.get('profit_factor'))}, {show(m.get('avg_holding_bars'))} bars held",
+    ]
+    by = sorted(got["by_signal"], key=lambda r: (-r["n"], r["signal_kind"]))
+    lines += [f"  {r['signal_kind']}: {r['n']}, won {show(r['win_rate'], '{:.2%}')}, payoff {show(r['payoff_ratio'])}, expectancy {show(r['expectancy'], '{:+,.2f}')}" for r in by] or ["  no round trip was closed"]
+    lines += [f"held {r['code']} from {r['first_ts']} to {r['last_ts']}: {show(r['ret'], '{:+.2%}')}" for r in got["benchmark"]]
+    return "\n".join(lines)
+
+
 def to_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, default=str, indent=2)

@@ -291,7 +291,7 @@ def test_lookups(spark):
     assert [(str(r["day"]), r["source"]) for r in lookups.trading_calendar(days, "2026-01-01", "2026-01-31").orderBy("day").collect()] == [("2026-01-05", "cache"), ("2026-01-07", "cache")]
     assert lookups.trading_calendar(days, "2026-02-02", "2026-02-08").count() == 5
     routes = spark.createDataFrame([("sh.000001", "5"), ("sh.000001", "day"), ("600000", "1"), ("600000", "5"), ("hk.hsi", "day"), ("us.dji", "day"), ("sw.801120", "day")], "code string, period string")
-    assert [r[0] for r in routes.select(lookups.source_route(F.col("code"), F.col("period"))).collect()] == ["pytdx", "baostock", "pytdx", "baostock", "tencent", "sina", "sector"]
+    assert [r[0] for r in routes.select(lookups.source_route(F.col("code"), F.col("period"))).collect()] == ["pytdx", "baostock", "pytdx", "baostock", "tencent", "sina", "sw"]
     spans = spark.createDataFrame([("a", 0, 1, 1, 3), ("a", 1, -1, 3, 5)], "code string, idx int, direction int, src_start int, src_end int")
     lines = spark.createDataFrame([("a", i, v) for i, v in enumerate((9.0, 2.0, 5.0, 5.0, 1.0, 1.0, 0.0))], "code string, i int, dif double")
     assert rows(lookups.dif_extremes(spans, lines)) == [("a", 0, 5.0, 2, 2.0, 1, 5.0), ("a", 1, 5.0, 3, 1.0, 4, 1.0)]

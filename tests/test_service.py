@@ -56,6 +56,8 @@ def test_service(spark, root):
 def test_commands(spark, root, tmp_path):
     assert run(spark, [root, "bars", "600000", "--limit", "3"])["bars"]
     assert "pivot" in run(spark, [root, "levels", "600000"])
+    text = run(spark, [root, "backtest", "600000", "--strategy", "fractal", "--form", "text", "--start", "1996-01-01"])
+    assert "strategy fractal, codes 600000, span 1996-01-01 to open" in text and "fractal_bottom:" in text and "largest fall" in text
     (tmp_path / "600010.csv").write_text("date,open,high,low,close\n2026-01-05,1,2,0.5,1.5\n")
     (tmp_path / "x.csv").write_text("nothing")
     got = run(spark, [f"file://{tmp_path}/new", "import-text", f"file://{tmp_path}"])
