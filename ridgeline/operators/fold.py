@@ -175,7 +175,10 @@ class Breaks:
         m = self.moves.get(s)
         if m is None or m.n < stop:
             m = self.move(s, stop)
-        if all(known is not None for _, _, known in m.ends):
+        for e in m.ends:
+            if e[2] is None:
+                break
+        else:
             return m.ends
         out = []
         for k, place, known in m.ends:
