@@ -36,14 +36,19 @@ def records(data: bytes, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(data, kind)
 
 
-def parse_day(data: bytes) -> pd.DataFrame:
-    """Bars of day records; prices are cents, dates yyyymmdd within ``DAYS``."""
+def day_columns(data: bytes) -> dict:
+    """ts and values of day records; prices are cents, dates yyyymmdd within ``DAYS``."""
     r = records(data, DAY)
     d = r["date"].astype(np.int64)
     if ((d < DAYS[0]) | (d > DAYS[1])).any():
         raise FormatError("a date out of range")
     ts = [f"{x // 10000:04d}-{x // 100 % 100:02d}-{x % 100:02d}" for x in d.tolist()]
-    return pd.DataFrame({"ts": ts, **{c: r[c] / 100.0 for c in ("open", "high", "low", "close")}, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)})
+    return {"ts": ts, **{c: r[c] / 100.0 for c in ("open", "high", "low", "close")}, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)}
+
+
+def parse_day(data: bytes) -> pd.DataFrame:
+    """Bars of day records."""
+    return pd.DataFrame(day_columns(data))
 
 
 def minute_ts(date: np.ndarray, minute: np.ndarray) -> list[str]:
@@ -55,8 +60,8 @@ def minute_ts(date: np.ndarray, minute: np.ndarray) -> list[str]:
     return [f"{y:04d}-{x // 100:02d}-{x % 100:02d} {t // 60:02d}:{t % 60:02d}" for y, x, t in zip(year.tolist(), rest.tolist(), m.tolist())]
 
 
-def parse_minute(data: bytes) -> pd.DataFrame:
-    """Bars of minute records, which must ascend and hold positive prices in order."""
+def minute_columns(data: bytes) -> dict:
+    """ts and values of minute records, which must ascend and hold positive prices in order."""
     r = records(data, MINUTE)
     ts = minute_ts(r["date"], r["minute"])
     if any(b <= a for a, b in zip(ts, ts[1:])):
@@ -66,7 +71,12 @@ def parse_minute(data: bytes) -> pd.DataFrame:
         raise FormatError("a price that is not above zero")
     if ((p["high"] < np.maximum(p["open"], p["close"])) | (p["low"] > np.minimum(p["open"], p["close"]))).any():
         raise FormatError("a price outside its bar")
-    return pd.DataFrame({"ts": ts, **p, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)})
+    return {"ts": ts, **p, "volume": r["volume"].astype(float), "amount": r["amount"].astype(float)}
+
+
+def parse_minute(data: bytes) -> pd.DataFrame:
+    """Bars of minute records."""
+    return pd.DataFrame(minute_columns(data))
 
 
 def read_packages(spark: SparkSession, root: str, markets: list[str] | None = None, aliases: dict[str, str] | None = None) -> DataFrame:

@@ -13,14 +13,15 @@ import re
 import zipfile
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.codes import store_key
 from ridgeline.sources.bars import PRICES, VALUES
-from ridgeline.sources.files import SUFFIX, FormatError, parse_day, parse_minute
-from ridgeline.sources.shared import open_input, paths_below, saved
+from ridgeline.sources.files import SUFFIX, FormatError, day_columns, minute_columns
+from ridgeline.sources.shared import open_input, paths_below, saved, tasks_of
 
 MEMBERS = "path string, member string, market string, digits string, period string, size long, method int, crc long, at long, packed long, reason string"
 PARSED = "path string, member string, code string, period string, ts string, " + ", ".join(f"{c} double" for c in VALUES) + ", error string"
@@ -31,6 +32,8 @@ KINDS = {
     "fund": {"sh": ["11", "50", "51", "56", "58"], "sz": ["12", "15", "16", "18", "20"]},
 }
 TOLERANCE = 1e-6  # fixed value: how near minutes must come to their day
+DIGITS = "[0-9]{6}"  # fixed value: what the exchanges' numbers look like
+ROWS = 20_000  # about so many bars leave a task at a time
 
 
 def kind_of(market, digits) -> F.Column:
@@ -44,8 +47,8 @@ def kind_of(market, digits) -> F.Column:
     return out
 
 
-def place_of(name: str) -> tuple[str | None, str | None, str | None, str | None]:
-    r"""market, digits, period of a member such as sh\lday\sh600000.day, and why it is none."""
+def place_of(name: str, form: str = DIGITS) -> tuple[str | None, str | None, str | None, str | None]:
+    r"""market, digits (of a form), period of a member such as sh\lday\sh600000.day, and why it is none."""
     parts = [p for p in re.split(r"[\\/]", name) if p]
     if len(parts) != 3:
         return None, None, None, "not market/folder/file"
@@ -54,12 +57,12 @@ def place_of(name: str) -> tuple[str | None, str | None, str | None, str | None]
     if period is None:
         return None, None, None, f"unknown suffix .{suffix}"
     digits = stem.removeprefix(parts[0])
-    if digits == stem or not re.fullmatch("[0-9]{6}", digits):
-        return None, None, None, "the name is not its market and six digits"
+    if digits == stem or not re.fullmatch(form, digits):
+        return None, None, None, "the name is not its market and " + ("six digits" if form == DIGITS else form)
     return parts[0], digits, period, None
 
 
-def list_members(spark: SparkSession, root: str) -> DataFrame:
+def list_members(spark: SparkSession, root: str, form: str = DIGITS) -> DataFrame:
     """A row for each member of each package below ``root`` (``MEMBERS`` and kind); a package that cannot be read is a row with a reason."""
 
     def run(batches):
@@ -67,12 +70,13 @@ def list_members(spark: SparkSession, root: str) -> DataFrame:
             for path in pdf["path"]:
                 try:
                     with open_input(path) as f, zipfile.ZipFile(f) as z:
-                        rows = [(path, i.filename, *place_of(i.orig_filename)[:3], i.file_size, i.compress_type, i.CRC, i.header_offset, i.compress_size, place_of(i.orig_filename)[3]) for i in z.infolist() if not i.is_dir() and not i.orig_filename.endswith("\\")]
+                        placed = ((i, place_of(i.orig_filename, form)) for i in z.infolist() if not i.is_dir() and not i.orig_filename.endswith("\\"))
+                        rows = [(path, i.filename, *p[:3], i.file_size, i.compress_type, i.CRC, i.header_offset, i.compress_size, p[3]) for i, p in placed]
                 except (zipfile.BadZipFile, OSError, ValueError) as e:  # Arrow tells of a bad seek by ValueError
                     rows = [(path, None, None, None, None, None, None, None, None, None, f"no package: {e}")]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")]).astype({"size": "Int64", "method": "Int32", "crc": "Int64", "at": "Int64", "packed": "Int64"})
 
-    found = paths_below(spark, root, "*.zip").select("path").mapInPandas(run, MEMBERS)
+    found = paths_below(spark, root, "*.zip").select("path").repartition(tasks_of(spark), "path").mapInPandas(run, MEMBERS)
     return found.withColumn("kind", F.when(F.col("reason").isNull(), kind_of(F.col("market"), F.col("digits"))))
 
 
@@ -98,21 +102,35 @@ def content(f, at: int, packed: int, method: int, crc: int, size: int) -> bytes:
 def read_members(members: DataFrame, tasks: int | None = None) -> DataFrame:
     """Bars of the listed members, dealt to tasks one by one; a member that cannot be read is a row with an error."""
 
+    def frame(held):
+        """One table of many members' bars: a table for each would cost more than its bars."""
+        sizes = [len(got["ts"]) for *_, got in held]
+        names = {c: np.repeat(np.array([h[i] for h in held], object), sizes) for i, c in enumerate(("path", "member", "code", "period", "error"))}
+        values = {c: np.concatenate([got[c] for *_, got in held]) for c in VALUES}
+        df = pd.DataFrame(names | {"ts": [t for *_, got in held for t in got["ts"]]} | values)
+        return df[["path", "member", "code", "period", "ts", *VALUES, "error"]]
+
     def run(batches):
+        nothing = {"ts": [None], **{c: np.full(1, np.nan) for c in VALUES}}
         for pdf in batches:
+            held, n = [], 0
             for path, own in pdf.groupby("path"):
                 with open_input(path) as f:
                     for r in own.itertuples(index=False):
-                        base = {"path": path, "member": r.member, "code": r.code, "period": r.period}
                         try:
                             data = content(f, int(r.at), int(r.packed), int(r.method), int(r.crc), int(r.size))
-                            df = (parse_day if r.period == "day" else parse_minute)(data).assign(**base, error=None)
+                            got, error = (day_columns if r.period == "day" else minute_columns)(data), None
                         except FormatError as e:
-                            df = pd.DataFrame([base | {"ts": None, **dict.fromkeys(VALUES), "error": str(e)}])
-                        if len(df):
-                            yield df[["path", "member", "code", "period", "ts", *VALUES, "error"]].astype({c: "float64" for c in VALUES})
-
-    tasks = tasks or 4 * members.sparkSession.sparkContext.defaultParallelism
+                            got, error = nothing, str(e)
+                        held.append((path, r.member, r.code, r.period, error, got))
+                        n += len(got["ts"])
+                        if n >= ROWS:
+                            yield frame(held)
+                            held, n = [], 0
+            if n:
+                yield frame(held)
+
+    tasks = tasks or tasks_of(members.sparkSession)
     code = store_key(F.concat("market", F.lit("."), "digits"))
     return members.where("reason IS NULL").select("path", "member", code.alias("code"), "period", "at", "packed", "method", "crc", "size").repartition(tasks, "path", "member").mapInPandas(run, PARSED)
 
@@ -130,16 +148,17 @@ def minute_gate(minutes: DataFrame, days: DataFrame) -> DataFrame:
     return judged.join(known, "code", "left").select("code", "period", why.alias("problem"))
 
 
-def import_packages(spark: SparkSession, root: str, periods=("day", "5", "1"), markets=("sh", "sz", "bj"), kinds=("stock", "index"), codes=None, days: DataFrame | None = None, allow_unverified: bool = False) -> tuple[DataFrame, DataFrame]:
+def import_packages(spark: SparkSession, root: str, periods=("day", "5", "1"), markets=("sh", "sz", "bj"), kinds=("stock", "index"), codes=None, days: DataFrame | None = None, allow_unverified: bool = False, form: str = DIGITS) -> tuple[DataFrame, DataFrame]:
     """(bars to store, a ledger row for each member): every member of the packages below ``root``.
 
     ``days``: stored day bars (code, ts, prices) of unadjusted prices, for minutes
     whose package holds no day file. Status: imported, unverified (kept out, or let in by ``allow_unverified``),
     alias (an old code of the Beijing exchange that goes on under another), empty, failed, skipped.
+    ``form``: what a member's digits look like, where packages number more than an exchange does.
     """
     from ridgeline.operators.quality import alias_pairs
 
-    members = saved(list_members(spark, root), "members")
+    members = saved(list_members(spark, root, form), "members")
     key = store_key(F.concat("market", F.lit("."), "digits"))
     asked = F.col("reason").isNull() & F.col("market").isin(*markets) & F.col("kind").isin(*kinds)
     if codes:

@@ -3,11 +3,14 @@
 import struct
 import zipfile
 
+import duckdb
 import pytest
 
 from ridgeline.sources import packages, texts
 from ridgeline.sources.files import FormatError, parse_minute
+from ridgeline.sources.shared import paths_below
 from ridgeline.sources.texts import parse_text
+from tests.oracle import same
 
 DAILY = "日期,开盘价(元),最高价,最低价,收盘价,成交量(手)\n2026-09-30,10,11,9,10.5,100\n2026-10-08,10.5,12,10,11,200\n"
 
@@ -139,3 +142,25 @@ def test_packages_by_choice(spark, package):
 def test_minutes_need_prices():
     with pytest.raises(FormatError, match="above zero"):
         parse_minute(struct.pack("<HHfffffII", 22 * 2048 + 901, 575, 0, 0, 0, 0, 0, 0, 0))
+
+
+def test_more_customers_than_an_exchange_has_numbers(spark, tiny, tmp_path):
+    """Customers whose numbers belong to another market's digits, or have seven of them, are imported all the same."""
+    from ridgeline.plans import market
+
+    shifts = "[0, 100000, 200000, 320000, 400000, 5400000]"
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"COPY (SELECT o.* REPLACE (o_orderkey + 10 * s AS o_orderkey, o_custkey + s AS o_custkey) FROM '{tiny}/orders.parquet' o, (SELECT unnest({shifts}) AS s)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    same(market.QUERIES["package_import"](spark, str(tmp_path)), con, market.SQL["package_import"])
+
+
+def test_files_are_listed_by_level(spark, tmp_path):
+    for name in ("a.zip", "x/b.zip", "x/y/c.zip", "x/y/d.csv", "x/_skipped/e.zip", "x/.f.zip", "k=1/_g=2/h.zip"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12")
+    (tmp_path / "empty.zip").touch()
+    got = {(r["path"].removeprefix(f"file://{tmp_path}/"), r["length"]) for r in paths_below(spark, f"file://{tmp_path}", "*.zip").collect()}
+    assert got == {(n, 2) for n in ("a.zip", "x/b.zip", "x/y/c.zip", "k=1/_g=2/h.zip")}
+    assert [r["length"] for r in paths_below(spark, f"{tmp_path}/x/b.zip").collect()] == [2]
