@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.sources.bars import PRICES, VALUES
 from ridgeline.sources.files import FormatError
-from ridgeline.sources.shared import open_input, paths_below
+from ridgeline.sources.shared import open_input, paths_below, saved, tasks_of
 
 # Names of columns (a heading may go on after one), separators (blanks come last), encodings, what stands for no number.
 HEADINGS = {
@@ -188,7 +188,7 @@ def dialects(spark: SparkSession, root: str, glob: str | None = None) -> DataFra
                     rows.append((path, length, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "length", "encoding", "separator", "columns", "body", "error"]).astype({"body": "Int64"})
 
-    return paths_below(spark, root, glob).mapInPandas(run, "path string, length long, encoding string, separator string, columns map<string,int>, body long, error string")
+    return paths_below(spark, root, glob).repartition(tasks_of(spark), "path").mapInPandas(run, "path string, length long, encoding string, separator string, columns map<string,int>, body long, error string")
 
 
 def lines_of(f, start: int, stop: int, body: int):
@@ -224,7 +224,7 @@ def until_newline(f) -> bytes:
 
 def read_texts(spark: SparkSession, root: str, glob: str | None = None, split: int = SPLIT) -> DataFrame:
     """A row for every line of the bodies of all files below ``root`` (``SCHEMA``), and for each file that cannot be read; the code is the file's name."""
-    known = dialects(spark, root, glob)
+    known = saved(dialects(spark, root, glob), "dialects")
     code = F.regexp_replace(F.regexp_extract("path", "[^/]+$", 0), r"\.\w+$", "")
     known = known.withColumn("code", code)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil((F.col("length") - F.col("body")) / split) - 1, F.lit(0))))
@@ -232,9 +232,10 @@ def read_texts(spark: SparkSession, root: str, glob: str | None = None, split: i
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
+        rows: list[tuple] = []  # of many splits: a table for each small file would cost more than its lines
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                d, rows = Dialect(r.encoding, r.separator, 0, {k: int(v) for k, v in dict(r.columns).items()}), []
+                d = Dialect(r.encoding, r.separator, 0, {k: int(v) for k, v in dict(r.columns).items()})
                 start = int(r.body) + int(r.n) * split
                 with open_input(r.path) as f:
                     for at, raw in lines_of(f, start, min(start + split, int(r.length)), int(r.body)):
@@ -247,24 +248,26 @@ def read_texts(spark: SparkSession, root: str, glob: str | None = None, split: i
                         except BadLine as e:
                             bad = e
                         if v or bad:
-                            rows.append({"path": r.path, "code": r.code, "period": ("minute" if len(v["ts"]) > 10 else "day") if v else None, "at": at, **v, "error": str(bad) if bad else None, "fatal": bool(bad and bad.fatal), "line": line[:200] if bad else None})
+                            period = ("minute" if len(v["ts"]) > 10 else "day") if v else None
+                            rows.append((r.path, r.code, period, at, v.get("ts"), *map(v.get, VALUES), str(bad) if bad else None, bool(bad and bad.fatal), line[:200] if bad else None))
                         if len(rows) == 10_000:
                             yield pd.DataFrame(rows, columns=names)
                             rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
-    body = splits.repartition("path", "n").mapInPandas(run, SCHEMA)
+    body = splits.repartition(tasks_of(spark), "path", "n").mapInPandas(run, SCHEMA)
     failed = known.where("error IS NOT NULL").select(*(F.col(n) if n in ("path", "code", "error") else (F.lit(True) if n == "fatal" else F.lit(0 if n == "at" else None).cast("long" if n == "at" else "double" if n in VALUES else "string")).alias(n) for n in names))
     return body.union(failed)
 
 
 def import_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bars of files without a fatal line, a ledger row for each file) of ``read_texts``; of one time the last line counts."""
+    """(bars of files without a fatal line, a ledger row for each file) of ``read_texts``, which are made once; of one time the last line counts."""
+    rows = saved(rows.drop("line"), "lines")
     first = F.min_by(F.concat(F.lit("at byte "), F.col("at").cast("string"), F.lit(": "), F.col("error")), F.when(F.col("fatal"), F.col("at")))
     files = rows.groupBy("path", "code").agg(F.max("period").alias("period"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.countDistinct("ts").alias("rows"), F.count_if(F.col("error").isNotNull()).alias("dropped"), F.coalesce(F.max("fatal"), F.lit(False)).alias("fatal"), first.alias("why"))
     error = F.when(F.col("fatal"), F.col("why")).when(F.col("rows") == 0, "no line is a bar")
-    ledger = files.select("path", "code", "period", "start_ts", "end_ts", "rows", "dropped", F.when(error.isNull(), "imported").otherwise("failed").alias("status"), error.alias("error"))
+    ledger = saved(files.select("path", "code", "period", "start_ts", "end_ts", "rows", "dropped", F.when(error.isNull(), "imported").otherwise("failed").alias("status"), error.alias("error")), "ledger")
     last = rows.where("error IS NULL").groupBy("path", "code", "period", "ts").agg(F.max_by(F.struct(*VALUES), "at").alias("v"))
     bars = last.join(ledger.where("status = 'imported'").select("path"), "path", "left_semi").select("code", "period", "ts", *(F.col(f"v.{c}").alias(c) for c in VALUES))
     return bars, ledger

@@ -79,6 +79,25 @@ def test_files_in_splits(spark, tmp_path, split):
     assert {(r["error"], r["fatal"], r["line"]) for r in rows.where("code = '600001' AND error IS NOT NULL").collect()} == {("a price that is not above zero", False, "2026-10-09,0,0,0,0,0"), ("1 cells of 6", False, "end")}
 
 
+def test_lines_are_read_once(spark, tmp_path):
+    """Many small files: their lines are made once, for the bars and the ledger, by tasks whose number does not grow with the files."""
+    for i in range(300):
+        (tmp_path / f"{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 7}" / f"{600000 + i}.csv").write_text(DAILY if i % 3 else DAILY + "2026-10-09,x,1,1,1,1\n")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = texts.read_texts(spark, f"file://{tmp_path}", "*.csv")
+    assert rows.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    bars, ledger = texts.import_texts(rows.mapInPandas(count, texts.SCHEMA))
+    assert (bars.count(), ledger.where("status = 'failed'").count(), ledger.count()) == (400, 100, 300)
+    assert made.value == 700
+
+
 # --- packages
 
 
