@@ -30,6 +30,7 @@ BLOCK, LANES = 4096, 1024
 #: Bits of a mixed probability, of a trust, and the bits of order 0's slots.
 TOTAL, TRUST, SLOTS_LEAST, SLOTS_MOST = 16, 12, 10, 14
 REFRESH = 1024
+FLAGS = 1 << 17  # ids below it are ranked by a table instead of a sort
 SLOTS2 = 1 << 12
 TOP = np.uint64(1 << 32)
 LOW32 = np.uint64((1 << 32) - 1)
@@ -45,13 +46,16 @@ class Models:
         k, self.m = len(sizes), int(sizes.max())
         self.sizes, self.decoding = sizes.astype(np.int64), decoding
         lane = np.arange(k, dtype=np.int64)
-        bits = np.clip(np.ceil(np.log2(4.0 * sizes)), SLOTS_LEAST, SLOTS_MOST).astype(np.uint32)
-        self.bits, self.slots = bits, 1 << int(bits.max())
-        self.named = (np.uint32(1 << TOTAL) - (np.uint32(1) << bits)).astype(np.uint32)  # order 0 keeps a part for every slot
+        # what is computed with is 64 bits wide, since numpy converts mixed widths slowly; what is only looked up is narrow
+        bits = np.clip(np.ceil(np.log2(4.0 * sizes)), SLOTS_LEAST, SLOTS_MOST).astype(np.int64)
+        self.bits, self.slots, self.width = bits, 1 << int(bits.max()), (1 << bits).astype(np.float64)
+        self.named = (1 << TOTAL) - (1 << bits)  # order 0 keeps a part for every slot
         self.counts = (np.arange(self.m) < sizes[:, None]).astype(np.int64)
-        self.t1 = np.zeros(k * (self.m + 1), np.int32)
-        self.t2 = np.zeros(k * SLOTS2, np.int32)
-        self.at1, self.at2, self.at_q, self.at_s, self.at_m = lane * (self.m + 1), lane * SLOTS2, lane * 8, lane * self.slots, lane * self.m
+        # order 1's and order 2's named symbols, as symbol << 3 | confidence; a pair of rows is order 1 and order 2
+        self.table = np.zeros(k * (self.m + 1) + k * SLOTS2, np.uint16)
+        self.at1, self.at2, self.at_s, self.at_m = lane * (self.m + 1), k * (self.m + 1) + lane * SLOTS2, lane * self.slots, lane * self.m
+        self.at_q = np.stack([lane * 8, (k + lane) * 8])
+        self.where = np.zeros((2, k), np.int64)
         # hits and tries of a confidence, for each block and order
         self.tries = np.zeros((2, k, 8))
         self.hits = np.zeros((2, k, 8))
@@ -65,20 +69,17 @@ class Models:
         """Order-0 intervals and trusts from what was counted so far."""
         k = len(self.sizes)
         if self.seen:
-            for order in (0, 1):
-                key = np.concatenate([s[order] for s in self.seen])
-                tried = np.bincount(key, minlength=16 * k).reshape(k, 8, 2)
-                self.hits[order] += tried[:, :, 1]
-                self.tries[order] += tried.sum(axis=2)
-            sym = np.concatenate([s[2] for s in self.seen])
+            tried, hit, sym = (np.concatenate(x, axis=-1) for x in zip(*self.seen))
+            self.tries += np.bincount(tried.reshape(-1), minlength=16 * k).reshape(2, k, 8)
+            self.hits += np.bincount(tried[hit], minlength=16 * k).reshape(2, k, 8)
             self.counts += 24 * np.bincount(sym, minlength=k * self.m).reshape(k, self.m)
             self.seen.clear()
         guess = np.linspace(0.1, 0.9, 8)
         # from 1/256 to 63/64, so that no interval is empty
-        self.trust = np.maximum((self.hits + 2 * guess) / (self.tries + 2) * ((1 << TRUST) - 64), 16).astype(np.uint32).reshape(2, -1)
+        self.trust = np.maximum((self.hits + 2 * guess) / (self.tries + 2) * ((1 << TRUST) - 64), 16).astype(np.int64).reshape(-1)
         # the parts of each symbol, one slot at least, as start << 16 | size
         sums = np.cumsum(self.counts, axis=1)
-        room = (1 << self.bits.astype(np.int64)) - self.sizes
+        room = (1 << self.bits) - self.sizes
         rank = np.minimum(np.arange(1, self.m + 1), self.sizes[:, None])
         cum = np.zeros((k, self.m + 1), np.int64)
         cum[:, 1:] = np.floor(sums * (room / sums[:, -1])[:, None] + 1e-6).astype(np.int64) + rank
@@ -86,48 +87,49 @@ class Models:
         self.parts = (cum[:, :-1] << 16 | size).astype(np.uint32).reshape(-1)
         if self.decoding:
             fill = np.zeros((k, self.slots), np.uint16)
-            own = np.arange(self.slots) < (1 << self.bits.astype(np.int64))[:, None]
+            own = np.arange(self.slots) < (1 << self.bits)[:, None]
             fill[own] = np.repeat(np.tile(np.arange(self.m, dtype=np.uint16), k), size.reshape(-1))
             self.slot = fill.reshape(-1)
 
     def predict(self, k: int) -> None:
         """The symbols that order 2 and 1 name, and the weights: ``a`` of order 2's, ``b`` of order 1's, ``rest`` of order 0."""
-        p1, p2 = self.prev1[:k], self.prev2[:k]
-        self.i1 = self.at1[:k] + p1
-        self.i2 = self.at2[:k] + ((p1 * 40503 + p2 * 10007) & (SLOTS2 - 1))
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.s1, self.s2 = self.e1 >> 3, self.e2 >> 3
-        self.q1, self.q2 = self.at_q[:k] + (self.e1 & 7), self.at_q[:k] + (self.e2 & 7)
+        p1, p2, self.at = self.prev1[:k], self.prev2[:k], self.where[:, :k]
+        np.add(self.at1[:k], p1, out=self.at[0])
+        np.add(self.at2[:k], (p1 * 40503 + p2 * 10007) & (SLOTS2 - 1), out=self.at[1])
+        self.e = self.table.take(self.at).astype(np.int64)
+        self.s = self.e >> 3
+        self.q = self.at_q[:, :k] + (self.e & 7)
+        trust = self.trust.take(self.q)
         named = self.named[:k]
-        a = (named * self.trust[1].take(self.q2)) >> np.uint32(TRUST)
-        b = ((named - a) * self.trust[0].take(self.q1)) >> np.uint32(TRUST)
-        same = self.s1 == self.s2
+        a = (named * trust[1]) >> TRUST
+        b = ((named - a) * trust[0]) >> TRUST
         self.ab = a + b
-        self.a = np.where(same, self.ab, a)
-        self.rest = np.uint32(1 << TOTAL) - self.ab
+        self.a = np.where(self.s[0] == self.s[1], self.ab, a)
+        self.rest = (1 << TOTAL) - self.ab
 
     def interval(self, k: int, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = self.parts.take(self.at_m[:k] + sym)
-        first = part >> np.uint32(16)
-        low = (first * self.rest) >> self.bits[:k]
-        high = ((first + (part & np.uint32(0xFFFF))) * self.rest) >> self.bits[:k]
-        self.hit1, self.hit2 = self.s1 == sym, self.s2 == sym
-        start = np.where(self.hit2, np.uint32(0), np.where(self.hit1, self.a, self.ab + low))
-        size = np.where(self.hit2, self.a, np.where(self.hit1, self.ab - self.a, high - low))
-        return start, size
+        self.at_sym = self.at_m[:k] + sym
+        part = self.parts.take(self.at_sym).astype(np.int64)
+        first, bits = part >> 16, self.bits[:k]
+        low = (first * self.rest) >> bits
+        high = ((first + (part & 0xFFFF)) * self.rest) >> bits
+        self.hit = self.s == sym
+        hit1, hit2 = self.hit
+        start = np.where(hit2, 0, np.where(hit1, self.a, self.ab + low))
+        size = np.where(hit2, self.a, np.where(hit1, self.ab - self.a, high - low))
+        return start.view(np.uint64), size.view(np.uint64)
 
     def find(self, k: int, target: np.ndarray) -> np.ndarray:
         """The symbol of each block whose interval holds the target."""
         past = np.maximum(target, self.ab) - self.ab
-        slot = (((past + np.uint32(1)).astype(np.float64) * (1 << self.bits[:k].astype(np.int64)) - 1) / self.rest).astype(np.int64)
-        other = self.slot.take(self.at_s[:k] + slot)
-        return np.where(target < self.a, self.s2, np.where(target < self.ab, self.s1, other)).astype(np.int64)
+        slot = (((past + 1).astype(np.float64) * self.width[:k] - 1) / self.rest).astype(np.int64)
+        other = self.slot.take(self.at_s[:k] + slot).astype(np.int64)
+        return np.where(target < self.a, self.s[1], np.where(target < self.ab, self.s[0], other))
 
     def update(self, k: int, sym: np.ndarray) -> None:
-        fresh = (sym << 3).astype(np.int32)
-        for table, i, e, hit in ((self.t1, self.i1, self.e1, self.hit1), (self.t2, self.i2, self.e2, self.hit2)):
-            table[i] = np.where(hit, e + ((e & 7) < 7), fresh)
-        self.seen.append((self.q1 * 2 + self.hit1, self.q2 * 2 + self.hit2, self.at_m[:k] + sym))
+        e = np.where(self.hit, np.minimum(self.e + 1, self.e | 7), sym << 3)
+        self.table.put(self.at, e.astype(np.uint16))
+        self.seen.append((self.q, self.hit, self.at_sym))
         self.prev2[:k] = self.prev1[:k]
         self.prev1[:k] = sym
         self.step += 1
@@ -201,7 +203,7 @@ def decode_lanes(data: list[bytes], lens: np.ndarray, sizes: np.ndarray) -> list
         n = int(active[t])
         model.predict(n)
         r = span[:n] >> np.uint64(TOTAL)
-        target = np.minimum((code[:n] - low[:n]) // r, last).astype(np.uint32)
+        target = np.minimum((code[:n] - low[:n]) // r, last).view(np.int64)
         sym = model.find(n, target)
         start, size = model.interval(n, sym)
         low[:n] += r * start
@@ -229,6 +231,17 @@ def unpack_alphabet(data: bytes) -> np.ndarray:
     return np.cumsum(gaps + 1) - 1
 
 
+def ranked(block: np.ndarray, seen: np.ndarray | None, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a block, ascending, and the rank of each of its ids; ``seen``, all false, and ``ranks`` have a place for every id unless ids are large."""
+    if seen is None:
+        return np.unique(block, return_inverse=True)
+    seen[block] = True
+    alphabet = np.flatnonzero(seen)
+    seen[alphabet] = False
+    ranks[alphabet] = np.arange(len(alphabet))
+    return alphabet, ranks.take(block)
+
+
 def encode(ids: np.ndarray, note: bytes = b"", block: int = BLOCK, lanes: int = LANES) -> bytes:
     """Ids (below 2**31) as bytes: a head, a checked note, a directory of blocks, and the blocks.
 
@@ -240,9 +253,11 @@ def encode(ids: np.ndarray, note: bytes = b"", block: int = BLOCK, lanes: int =
     block = max(min(block, 1024), min(block, -(-len(ids) // lanes)))
     blocks = [ids[a : a + block] for a in range(0, len(ids), block)]
     made = []
+    most = int(ids.max()) + 1 if len(ids) else 0
+    seen, ranks = (np.zeros(most, bool), np.zeros(most, np.uint16)) if most <= FLAGS else (None, None)
     for at in range(0, len(blocks), lanes):
         group = sorted(enumerate(blocks[at : at + lanes]), key=lambda x: -len(x[1]))
-        alphabets, symbols = zip(*(np.unique(b, return_inverse=True) for _, b in group))
+        alphabets, symbols = zip(*(ranked(b, seen, ranks) for _, b in group))
         coded = encode_lanes(list(symbols), np.array([len(a) for a in alphabets]))
         done = {i: (len(b), zlib.crc32(b), pack_alphabet(a.astype(np.int64)), c) for (i, b), a, c in zip(group, alphabets, coded)}
         made += [done[i] for i in range(len(group))]

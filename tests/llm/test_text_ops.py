@@ -313,6 +313,19 @@ def test_range_coder_on_long_runs():
     assert (rangecoder.decode(rangecoder.encode(x))[0] == x).all()
 
 
+@pytest.mark.parametrize("most", [3, 49_408, rangecoder.FLAGS + 1, 1 << 31])
+def test_range_coder_ranks_as_by_sorting(most):
+    """Small ids are ranked by a table, which is left as it was for the next block; large ones by a sort."""
+    x = np.random.default_rng(most).integers(0, most, (2, 900)).astype("<u4")
+    n = int(x.max()) + 1
+    seen, ranks = (np.zeros(n, bool), np.zeros(n, np.uint16)) if n <= rangecoder.FLAGS else (None, None)
+    for block in x:
+        for got, want in zip(rangecoder.ranked(block, seen, ranks), np.unique(block, return_inverse=True)):
+            assert (got == want).all()
+    assert seen is None or not seen.any()
+    assert (rangecoder.decode(rangecoder.encode(x.reshape(-1)))[0] == x.reshape(-1)).all()
+
+
 def test_range_coder_learns_and_detects():
     x = np.tile(np.arange(50), 400)
     data = rangecoder.encode(x, b"note")
