@@ -199,61 +199,158 @@ class Encoder:
         return sum(g[0] for g in got), b"".join([g[1] for g in got]), b" ".join([g[2] for g in got if g[0]])
 
 
+# The same words found by array operations over many texts at once, in text whose bytes are ASCII without control
+# characters, or letters and signs from C3 80 to C3 BF: nothing there composes, and lower case has as many bytes.
+FLAT_BYTES = bytes([*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3])
+SPACE, LETTER, DIGIT, SIGN = range(4)
+CLASSES = bytes(SPACE if b in range(9, 14) or b == 32 else LETTER if b >= 128 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else SIGN for b in range(256))
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def flat(text: bytes) -> bool:
+    if b"<|" in text or text.translate(None, FLAT_BYTES):
+        return False
+    if not text.isascii():
+        try:
+            text.decode()
+        except UnicodeDecodeError:
+            return False
+    return True
+
+
+def word_spans(joined: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Flat text in lower case, and where each of its words begins and ends."""
+    low = joined.lower()
+    kinds = np.frombuffer(low.translate(CLASSES), np.uint8)
+    if not low.isascii():
+        buf, kinds = np.frombuffer(low, np.uint8).copy(), kinds.copy()
+        second = np.flatnonzero(buf == 0xC3) + 1
+        v = buf[second]
+        signs = second[(v == 0x97) | (v == 0xB7)]
+        kinds[signs] = kinds[signs - 1] = SIGN
+        buf[second[(v <= 0x9E) & (v != 0x97)]] += 0x20
+        low = buf.tobytes()
+    edge = np.ones(len(kinds) + 1, bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=edge[1:-1])
+    edge[:-1] |= kinds == DIGIT
+    if b"'" in low:
+        buf = np.frombuffer(low + b"  ", np.uint8)
+        at = np.flatnonzero(buf == 39)
+        at = at[edge[at]]  # a sign before it takes it along
+        x, y = buf[at + 1], buf[at + 2]
+        one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+        two = (np.isin(x, np.frombuffer(b"rv", np.uint8)) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+        for found, n in ((at[one], 2), (at[two], 3)):
+            edge[found + 1] = False
+            edge[found + n] = True
+    at = np.flatnonzero(edge)
+    there = kinds[at[:-1]] != SPACE
+    return low, at[:-1][there], at[1:][there]
+
+
+def distinct_words(low: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """One place of each distinct word, and which of them each word is; words beyond 16 bytes stand for themselves. None if hashes collide."""
+    padded = np.frombuffer(low + bytes(16), np.uint8)
+    words = np.ndarray((len(low) + 8,), "<u8", padded, strides=(1,))
+    size = end - begin
+    w0 = words[begin] & MASKS.take(np.minimum(size, 8))
+    w1 = words[begin + 8 * (size > 8)] & MASKS.take(np.clip(size - 8, 0, 8))
+    h = (w0 ^ (w1 * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(size > 16)
+    h[long] = np.arange(len(long), dtype=np.uint64)
+    order = np.argsort(h)
+    ranked = h[order]
+    first = np.ones(len(h), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(first) - 1
+    place = order[first]
+    same = place.take(which)
+    if (w0 != w0.take(same)).any() or (w1 != w1.take(same)).any() or (size != size.take(same)).any():
+        return None
+    return place, which
+
+
+class Recent(dict):
+    """A cache of at most ``most`` entries: when half of them are new the others go, but for those used since."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.half, self.old = max(1, most // 2), {}
+
+    def turn(self) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        got = self.old.pop(key, None)
+        if got is not None:
+            self[key] = got
+        return got
+
+
 class LibraryEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each piece between white space once."""
+    """Ids of whole texts by the tokenizers library, which sees each word of a batch, or each piece between white space, once."""
 
     def __init__(self, path: str, most: int = 700_000):
         with open(path, encoding="utf-8") as f:
             self.lib = Tokenizer.from_str(f.read())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.most = most
-        self.cache: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.pieces = Recent(most), Recent(most // 4)
         self.chars = {b: c for b, c in byte_chars().items() if b > 126}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Caches the ids of new pieces; pieces that differ in case or punctuation share their words.
-
-        Words of plain text need no normaliser any more: the library's model takes them as they are.
-        """
-        model, words, whole = self.lib.model, self.words, []
-        for c in chunks:
-            text = c.decode("utf-8", "replace")
-            if "<|" in text or not PLAIN.match(text):
-                whole.append(c)
-                continue
-            ids = []
-            for w in LATIN_WORDS.findall(text.lower()):
-                got = words.get(w)
-                if got is None:
-                    raw = w if w.isascii() else w.encode().decode("latin-1").translate(self.chars)
-                    got = array("I", [t.id for t in model.tokenize(raw)]).tobytes()
-                    if len(w) <= LONG:
-                        words[w] = got
-                ids.append(got)
-            self.cache[c] = ids[0] if len(ids) == 1 else b"".join(ids)
-        for at in range(0, len(whole), 4096):
-            part = whole[at : at + 4096]
+    def flat_documents(self, texts: list[bytes]) -> list[bytes]:
+        """Words of flat text need no normaliser any more: the library's model takes them as they are."""
+        low, begin, end = word_spans(b"\n".join(texts))
+        found = distinct_words(low, begin, end)
+        if found is None:
+            return self.other_documents(texts)
+        place, which = found
+        self.words.turn()
+        words, model, ids = self.words, self.lib.model, []
+        for a, b in zip(begin[place].tolist(), end[place].tolist()):
+            w = low[a:b]
+            got = words[w]
+            if got is None:
+                got = array("I", [t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(self.chars))]).tobytes()
+                if b - a <= LONG:
+                    words[w] = got
+            ids.append(got)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes.take(which)
+        ends = np.cumsum(n)
+        all_ids = np.frombuffer(b"".join(ids), "<u4")
+        out = all_ids.take(np.repeat(first.take(which) - (ends - n), n) + np.arange(n.sum())).tobytes()
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        at = np.append(0, ends)[np.searchsorted(begin, bounds)].tolist()
+        return [out[4 * a : 4 * b] for a, b in zip([0, *at], at)]
+
+    def other_documents(self, texts: list[bytes]) -> list[bytes]:
+        """Any text: the library's normaliser and pre-tokeniser see each piece between white space once."""
+        split = [t.split() for t in texts]
+        self.pieces.turn()
+        known = {c: self.pieces[c] for c in set().union(*split)}
+        new = [c for c, got in known.items() if got is None]
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
             for c, e in zip(part, self.lib.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                self.cache[c] = array("I", e.ids).tobytes()
+                known[c] = array("I", e.ids).tobytes()
+                if len(c) <= LONG:
+                    self.pieces[c] = known[c]
+        return [b"".join([known[c] for c in s]) for s in split]
 
     def documents(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        if len(self.words) >= self.most:
-            self.words.clear()
-        new: set[bytes] = set()
-        for s in split:
-            new.update(s)
-        self.learn([c for c in new if c not in self.cache])
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for c in new:
-            if len(c) > LONG:
-                del self.cache[c]
+        out = list(texts)
+        plain = [flat(t) for t in texts]
+        for kind, run in ((True, self.flat_documents), (False, self.other_documents)):
+            at = [i for i, p in enumerate(plain) if p is kind]
+            for i, got in zip(at, run([texts[i] for i in at]) if at else []):
+                out[i] = got
         return out
 
 

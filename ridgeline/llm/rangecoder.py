@@ -14,9 +14,12 @@ intervals, then every ``REFRESH`` symbols. A symbol's interval is that of the
 first prediction that names it, so a decoder looks at the two named symbols
 first and finds all others by one look into a table of order 0's slots.
 
-The mix drives a carryless range coder of 64-bit state and 32-bit output
-words. Blocks are independent, so numpy codes one symbol of every block at a
-time; encoder and decoder run the same ``Models`` and stay in step.
+The mix drives a range coder of 64-bit state and 32-bit output words, whose
+carries are added to the words when a block is done. Blocks are independent, so numpy codes one symbol of every block at a
+time. A decoder runs ``Models`` symbol by symbol. An encoder has all symbols
+before it, so it finds what a context named at every step by sorting the steps
+by context, and computes all intervals between two refreshes at once with the
+same ``Models``; only the coder's two numbers a block go from symbol to symbol.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 4096, 1024
+JOINT = 2048  # lanes of several files that are decoded in step
+TOGETHER = 64  # blocks whose intervals an encoder computes at once: what a processor's cache holds
 #: Bits of a mixed probability, of a trust, and the bits of order 0's slots.
 TOTAL, TRUST, SLOTS_LEAST, SLOTS_MOST = 16, 12, 10, 14
 REFRESH = 1024
@@ -35,7 +40,7 @@ SLOTS2 = 1 << 12
 TOP = np.uint64(1 << 32)
 LOW32 = np.uint64((1 << 32) - 1)
 WORD = np.uint64(32)
-MAGIC = b"RLTK\x02"
+MAGIC = b"RLTK\x03"
 HEAD = "<QIIII"
 
 
@@ -47,144 +52,179 @@ class Models:
         self.sizes, self.decoding = sizes.astype(np.int64), decoding
         lane = np.arange(k, dtype=np.int64)
         # what is computed with is 64 bits wide, since numpy converts mixed widths slowly; what is only looked up is narrow
-        bits = np.clip(np.ceil(np.log2(4.0 * sizes)), SLOTS_LEAST, SLOTS_MOST).astype(np.int64)
-        self.bits, self.slots, self.width = bits, 1 << int(bits.max()), (1 << bits).astype(np.float64)
-        self.named = (1 << TOTAL) - (1 << bits)  # order 0 keeps a part for every slot
-        self.counts = (np.arange(self.m) < sizes[:, None]).astype(np.int64)
-        # order 1's and order 2's named symbols, as symbol << 3 | confidence; a pair of rows is order 1 and order 2
-        self.table = np.zeros(k * (self.m + 1) + k * SLOTS2, np.uint16)
-        self.at1, self.at2, self.at_s, self.at_m = lane * (self.m + 1), k * (self.m + 1) + lane * SLOTS2, lane * self.slots, lane * self.m
-        self.at_q = np.stack([lane * 8, (k + lane) * 8])
-        self.where = np.zeros((2, k), np.int64)
-        # hits and tries of a confidence, for each block and order
+        self.bits = np.clip(np.ceil(np.log2(4.0 * sizes)), SLOTS_LEAST, SLOTS_MOST).astype(np.int64)
+        self.slots = 1 << int(self.bits.max())
+        self.counts = (np.arange(self.m) < sizes[:, None]).astype(np.int32)
+        self.at1, self.at2, self.at_s, self.at_m, self.at_c = lane * (self.m + 1), k * (self.m + 1) + lane * SLOTS2, lane * self.slots, lane * self.m, lane * 8
+        # hits and tries of a confidence, for each order and block
         self.tries = np.zeros((2, k, 8))
         self.hits = np.zeros((2, k, 8))
-        self.prev1 = np.full(k, self.m, np.int64)
-        self.prev2 = np.full(k, self.m, np.int64)
+        self.parts = np.zeros((k, self.m), np.uint32)
+        self.slot = np.zeros((k, self.slots), np.uint16) if decoding else None
         self.step, self.next = 0, 64
-        self.seen: list[tuple] = []
+        self.seen: list[tuple] = []  # what was named with which confidence, and what came; rows are steps
         self.renew()
 
     def renew(self) -> None:
-        """Order-0 intervals and trusts from what was counted so far."""
+        """Order-0 intervals and weights from what was counted so far."""
         k = len(self.sizes)
         if self.seen:
-            tried, hit, sym = (np.concatenate(x, axis=-1) for x in zip(*self.seen))
-            self.tries += np.bincount(tried.reshape(-1), minlength=16 * k).reshape(2, k, 8)
-            self.hits += np.bincount(tried[hit], minlength=16 * k).reshape(2, k, 8)
-            self.counts += 24 * np.bincount(sym, minlength=k * self.m).reshape(k, self.m)
+            named, came = (np.concatenate(x, axis=-2) for x in zip(*self.seen))
             self.seen.clear()
+            for at in range(0, k, TOGETHER):
+                near = slice(at, at + TOGETHER)
+                e, sym = named[..., near], came[:, near].astype(np.int64)
+                w = sym.shape[1]
+                rows = np.arange(w) * 8
+                for order in (0, 1):
+                    q, hit = (e[order] & 7) + rows, e[order] >> 3 == sym
+                    self.tries[order, near] += np.bincount(q.reshape(-1), minlength=8 * w).reshape(w, 8)
+                    self.hits[order, near] += np.bincount(q[hit], minlength=8 * w).reshape(w, 8)
+                self.counts[near] += 24 * np.bincount((sym + np.arange(w) * self.m).reshape(-1), minlength=w * self.m).reshape(w, self.m).astype(np.int32)
         guess = np.linspace(0.1, 0.9, 8)
         # from 1/256 to 63/64, so that no interval is empty
-        self.trust = np.maximum((self.hits + 2 * guess) / (self.tries + 2) * ((1 << TRUST) - 64), 16).astype(np.int64).reshape(-1)
+        trust = np.maximum((self.hits + 2 * guess) / (self.tries + 2) * ((1 << TRUST) - 64), 16).astype(np.int64)
+        named = ((1 << TOTAL) - (1 << self.bits))[:, None]  # order 0 keeps a part for every slot
+        weight2 = (named * trust[1]) >> TRUST
+        # the weights of order 2 and of both orders, by confidences
+        self.weight2 = weight2.reshape(-1)
+        self.weights = (weight2[:, :, None] + (((named - weight2)[:, :, None] * trust[0][:, None, :]) >> TRUST)).reshape(-1)
         # the parts of each symbol, one slot at least, as start << 16 | size
-        sums = np.cumsum(self.counts, axis=1)
-        room = (1 << self.bits) - self.sizes
-        rank = np.minimum(np.arange(1, self.m + 1), self.sizes[:, None])
-        cum = np.zeros((k, self.m + 1), np.int64)
-        cum[:, 1:] = np.floor(sums * (room / sums[:, -1])[:, None] + 1e-6).astype(np.int64) + rank
-        size = np.diff(cum, axis=1)
-        self.parts = (cum[:, :-1] << 16 | size).astype(np.uint32).reshape(-1)
-        if self.decoding:
-            fill = np.zeros((k, self.slots), np.uint16)
-            own = np.arange(self.slots) < (1 << self.bits)[:, None]
-            fill[own] = np.repeat(np.tile(np.arange(self.m, dtype=np.uint16), k), size.reshape(-1))
-            self.slot = fill.reshape(-1)
-
-    def predict(self, k: int) -> None:
-        """The symbols that order 2 and 1 name, and the weights: ``a`` of order 2's, ``b`` of order 1's, ``rest`` of order 0."""
-        p1, p2, self.at = self.prev1[:k], self.prev2[:k], self.where[:, :k]
-        np.add(self.at1[:k], p1, out=self.at[0])
-        np.add(self.at2[:k], (p1 * 40503 + p2 * 10007) & (SLOTS2 - 1), out=self.at[1])
-        self.e = self.table.take(self.at).astype(np.int64)
-        self.s = self.e >> 3
-        self.q = self.at_q[:, :k] + (self.e & 7)
-        trust = self.trust.take(self.q)
-        named = self.named[:k]
-        a = (named * trust[1]) >> TRUST
-        b = ((named - a) * trust[0]) >> TRUST
-        self.ab = a + b
-        self.a = np.where(self.s[0] == self.s[1], self.ab, a)
+        for at in range(0, k, TOGETHER):
+            near = slice(at, at + TOGETHER)
+            sizes, bits = self.sizes[near], self.bits[near]
+            sums = np.cumsum(self.counts[near], axis=1, dtype=np.int64)
+            room = (1 << bits) - sizes
+            cum = np.zeros((len(sizes), self.m + 1), np.int64)
+            cum[:, 1:] = (sums * (room / sums[:, -1])[:, None] + 1e-6).astype(np.int64)
+            cum[:, 1:] += np.minimum(np.arange(1, self.m + 1), sizes[:, None])
+            size = cum[:, 1:] - cum[:, :-1]
+            self.parts[near] = cum[:, :-1] << 16 | size
+            if self.decoding:
+                own = np.arange(self.slots) < (1 << bits)[:, None]
+                self.slot[near][own] = np.repeat(np.tile(np.arange(self.m, dtype=np.uint16), len(sizes)), size.reshape(-1))
+
+    def weigh(self, e: np.ndarray, k: int) -> None:
+        """What order 1 and 2 name, and the weights: up to ``a`` for order 2's, to ``ab`` for order 1's, ``rest`` for order 0; the last axis is the blocks."""
+        self.s, c = e >> 3, e & 7
+        at = self.at_c[:k] + c[1]
+        self.ab = self.weights.take((at << 3) + c[0])
+        self.a = np.where(self.s[0] == self.s[1], self.ab, self.weight2.take(at))
         self.rest = (1 << TOTAL) - self.ab
 
-    def interval(self, k: int, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.at_sym = self.at_m[:k] + sym
-        part = self.parts.take(self.at_sym).astype(np.int64)
+    def interval(self, k: int, sym: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = self.parts.reshape(-1).take(self.at_m[:k] + sym).astype(np.int64)
         first, bits = part >> 16, self.bits[:k]
         low = (first * self.rest) >> bits
         high = ((first + (part & 0xFFFF)) * self.rest) >> bits
-        self.hit = self.s == sym
-        hit1, hit2 = self.hit
+        hit1, hit2 = hit
         start = np.where(hit2, 0, np.where(hit1, self.a, self.ab + low))
         size = np.where(hit2, self.a, np.where(hit1, self.ab - self.a, high - low))
         return start.view(np.uint64), size.view(np.uint64)
 
-    def find(self, k: int, target: np.ndarray) -> np.ndarray:
-        """The symbol of each block whose interval holds the target."""
-        past = np.maximum(target, self.ab) - self.ab
-        slot = (((past + 1).astype(np.float64) * self.width[:k] - 1) / self.rest).astype(np.int64)
-        other = self.slot.take(self.at_s[:k] + slot).astype(np.int64)
-        return np.where(target < self.a, self.s[1], np.where(target < self.ab, self.s[0], other))
-
-    def update(self, k: int, sym: np.ndarray) -> None:
-        e = np.where(self.hit, np.minimum(self.e + 1, self.e | 7), sym << 3)
-        self.table.put(self.at, e.astype(np.uint16))
-        self.seen.append((self.q, self.hit, self.at_sym))
-        self.prev2[:k] = self.prev1[:k]
-        self.prev1[:k] = sym
-        self.step += 1
-        if self.step == self.next:
+    def stepped(self, n: int, came: np.ndarray, named: np.ndarray) -> None:
+        """Counts what was named and came in the last steps; a row a step."""
+        self.seen.append((named, came))
+        self.step += len(came)
+        if self.step == self.next and self.step < n:
             self.next += min(self.step, REFRESH)
             self.renew()
 
-
-def narrow(low: np.ndarray, span: np.ndarray, n: int):
-    """Lanes whose top word is settled, again and again: yields them while it shifts their state by a word."""
-    lo, sp = low[:n], span[:n]
-    at = np.flatnonzero(((lo ^ (lo + sp)) < TOP) | (sp < TOP))
-    while len(at):
-        lo, sp = low[at], span[at]
-        settled = (lo ^ (lo + sp)) < TOP
-        sp = np.where(settled, sp, (~lo + np.uint64(1)) & LOW32)
-        yield at, lo
-        lo, sp = lo << WORD, sp << WORD
-        low[at], span[at] = lo, sp
-        at = at[((lo ^ (lo + sp)) < TOP) | (sp < TOP)]
+    def intervals(self, symbols: np.ndarray, out: tuple[np.ndarray, np.ndarray]) -> None:
+        """The intervals of all symbols (a row a step, a column a block) into ``out``, as a decoder finds them one by one."""
+        n, k = symbols.shape
+        named = np.empty((2, n, k), np.uint16)
+        before = np.empty((2, n, k), np.int64)
+        before[:] = self.sizes
+        before[0, 1:], before[1, 2:] = symbols[:-1], symbols[:-2]
+        follow(before[0], symbols, named[0])
+        follow(hashed(*before), symbols, named[1])
+        while self.step < n:
+            at = slice(self.step, min(n, self.next))
+            sym = symbols[at]
+            self.weigh(named[:, at].astype(np.int64), k)
+            for whole, part in zip(out, self.interval(k, sym, self.s == sym)):
+                whole[at] = part
+            self.stepped(n, sym, named[:, at])
+
+
+def hashed(prev1: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+    return (prev1 * 40503 + prev2 * 10007) & (SLOTS2 - 1)
+
+
+def follow(context: np.ndarray, symbols: np.ndarray, out: np.ndarray) -> None:
+    """What each step's context named, as in ``Models.table``: the symbol that followed it last, and how often in a row by then."""
+    n, k = symbols.shape
+    context = np.ascontiguousarray(context.T.astype(np.uint16))
+    place = np.argsort(context, axis=1, kind="stable")
+    place += np.arange(0, n * k, n)[:, None]
+    place = place.reshape(-1)
+    keys, sym = context.reshape(-1).take(place), symbols.T.astype(np.uint16).reshape(-1).take(place)
+    begins = np.ones(n * k, bool)
+    np.not_equal(keys[1:], keys[:-1], out=begins[1:])
+    begins[::n] = True
+    last = np.zeros(n * k, np.uint16)
+    last[1:] = sym[:-1]
+    last[begins] = 0  # a context names symbol 0 before it is met
+    # confidence: the steps since the one that missed, or since the first
+    anew = begins
+    anew[1:] |= (sym != last)[:-1]
+    at = np.arange(n * k, dtype=np.int32)
+    sure = at - np.maximum.accumulate(at * anew)
+    named = np.empty(n * k, np.uint16)
+    named[place] = last << 3 | np.minimum(sure, 7).astype(np.uint16)
+    out[:] = named.reshape(k, n).T
 
 
 def encode_lanes(symbols: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     """The coded words of each block; the blocks come longest first."""
     k = len(symbols)
     lens = np.array([len(s) for s in symbols])
-    grid = np.zeros((int(lens[0]), k), np.int64)
-    for i, s in enumerate(symbols):
-        grid[: len(s), i] = s
-    model = Models(sizes, decoding=False)
+    n = int(lens[0])
+    starts, parts = np.empty((n, k), np.uint64), np.empty((n, k), np.uint64)
+    for at in range(0, k, TOGETHER):
+        near = slice(at, at + TOGETHER)
+        grid = np.zeros((len(symbols[near]), n), np.int64)
+        for row, s in zip(grid, symbols[near]):
+            row[: len(s)] = s
+        Models(sizes[near], decoding=False).intervals(np.ascontiguousarray(grid.T), (starts[:, near], parts[:, near]))
     low, span = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
+    made = np.zeros(k, np.int64)  # words of each block
     lanes: list[np.ndarray] = []
     words: list[np.ndarray] = []
-    active = np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
-    for t in range(int(lens[0])):
-        n = int(active[t])
-        sym = grid[t, :n]
-        model.predict(n)
-        start, size = model.interval(n, sym)
-        r = span[:n] >> np.uint64(TOTAL)
-        low[:n] += r * start
-        span[:n] = r * size
-        for at, lo in narrow(low, span, n):
+    carries: list[tuple] = []  # block, and how many words it had
+    active = np.searchsorted(-lens, -np.arange(n), "left").tolist()
+    for t, w in enumerate(active):
+        r = span[:w] >> np.uint64(TOTAL)
+        more = r * starts[t, :w]
+        low[:w] += more
+        np.multiply(r, parts[t, :w], out=span[:w])
+        over = (low[:w] < more).nonzero()[0]
+        if len(over):
+            carries.append((over, made[over]))
+        at = (span[:w] < TOP).nonzero()[0]
+        if len(at):
+            lo = low[at]
             lanes.append(at)
             words.append(lo >> WORD)
-        model.update(n, sym)
+            low[at] = lo << WORD
+            span[at] <<= WORD
+            made[at] += 1
     for _ in range(2):
         lanes.append(np.arange(k))
         words.append(low >> WORD)
         low <<= WORD
     lane = np.concatenate(lanes)
     order = np.argsort(lane.astype(np.uint16) if k <= 1 << 16 else lane, kind="stable")
-    value = np.concatenate(words).astype("<u4")[order]
-    cuts = np.searchsorted(lane[order], np.arange(1, k))
-    return [x.tobytes() for x in np.split(value, cuts)]
+    value = np.concatenate(words)[order]
+    cuts = np.append(0, np.cumsum(made + 2))
+    if carries:
+        block, count = (np.concatenate(x) for x in zip(*carries))
+        value += np.bincount(cuts[block] + count - 1, minlength=len(value)).astype(np.uint64)
+        while len(over := np.flatnonzero(value >= TOP)):
+            value[over] -= TOP
+            value[over - 1] += np.uint64(1)
+    return [x.tobytes() for x in np.split(value.astype("<u4"), cuts[1:-1])]
 
 
 def decode_lanes(data: list[bytes], lens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -193,26 +233,50 @@ def decode_lanes(data: list[bytes], lens: np.ndarray, sizes: np.ndarray) -> list
     words = np.concatenate([np.frombuffer(d + bytes(16), "<u4") for d in data]).astype(np.uint64)
     at_word = np.concatenate([[0], np.cumsum([len(d) // 4 + 4 for d in data])])[:-1].astype(np.int64)
     model = Models(sizes, decoding=True)
-    low, span = np.zeros(k, np.uint64), np.full(k, 2**64 - 1, np.uint64)
-    code = (words[at_word] << WORD) | words[at_word + 1]
+    # order 1's and order 2's named symbols, as symbol << 3 | confidence; a pair of rows is order 1 and order 2
+    table = np.zeros(k * (model.m + 1) + k * SLOTS2, np.uint16)
+    span, code = np.full(k, 2**64 - 1, np.uint64), (words[at_word] << WORD) | words[at_word + 1]
     at_word += 2
-    grid = np.zeros((int(lens[0]), k), np.uint16)
-    active = np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
-    last = np.uint64((1 << TOTAL) - 1)
-    for t in range(int(lens[0])):
-        n = int(active[t])
-        model.predict(n)
-        r = span[:n] >> np.uint64(TOTAL)
-        target = np.minimum((code[:n] - low[:n]) // r, last).view(np.int64)
-        sym = model.find(n, target)
-        start, size = model.interval(n, sym)
-        low[:n] += r * start
-        span[:n] = r * size
-        for at, _ in narrow(low, span, n):
-            code[at] = (code[at] << WORD) | words[at_word[at]]
-            at_word[at] += 1
-        model.update(n, sym)
-        grid[t, :n] = sym
+    prev1 = prev2 = model.sizes
+    n = int(lens[0])
+    grid = np.zeros((n, k), np.uint16)
+    names = np.zeros((2, min(n, max(REFRESH, 64)), k), np.uint16)
+    width, kept = k, 0
+    active = np.searchsorted(-lens, -np.arange(n), "left").tolist()
+    at, slot = np.zeros((2, k), np.int64), model.slot.reshape(-1)
+    at1, at2, at_s, bits = model.at1, model.at2, model.at_s, model.bits
+    for t, w in enumerate(active):
+        if w != width:
+            width, at, span, code, prev1, prev2 = w, at[:, :w].copy(), span[:w], code[:w], prev1[:w], prev2[:w]
+            at1, at2, at_s, bits = at1[:w], at2[:w], at_s[:w], bits[:w]
+        np.add(at1, prev1, out=at[0])
+        np.add(at2, hashed(prev1, prev2), out=at[1])
+        raw = table.take(at)
+        e = raw.astype(np.int64)
+        model.weigh(e, w)
+        r = span >> np.uint64(TOTAL)
+        target = (code // r).view(np.int64)
+        past = np.maximum(target, model.ab) - model.ab
+        other = slot.take(at_s + (((past + 1) << bits) - 1) // model.rest).astype(np.int64)
+        sym = np.where(target < model.a, model.s[1], np.where(target < model.ab, model.s[0], other))
+        hit = model.s == sym
+        start, size = model.interval(w, sym, hit)
+        code -= r * start
+        span = r * size
+        small = (span < TOP).nonzero()[0]
+        if len(small):
+            place = at_word[small]
+            span[small] <<= WORD
+            code[small] = (code[small] << WORD) | words.take(place)
+            at_word[small] = place + 1
+        table[at] = np.where(hit, np.minimum(e + 1, e | 7), sym << 3).astype(np.uint16)
+        prev1, prev2 = sym, prev1
+        grid[t, :w] = sym
+        names[:, kept, :w] = raw
+        kept += 1
+        if t + 1 == model.next or kept == names.shape[1]:
+            model.stepped(n, grid[t + 1 - kept : t + 1], names[:, :kept].copy())
+            kept = 0
     return [grid[: lens[i], i] for i in range(k)]
 
 
@@ -266,33 +330,57 @@ def encode(ids: np.ndarray, note: bytes = b"", block: int = BLOCK, lanes: int =
     return b"".join([*head, *(x for _, _, a, c in made for x in (a, c))])
 
 
+class Coded:
+    """A file's parts: the note, and of each block how many ids, their checksum, the distinct ids and the coded words."""
+
+    def __init__(self, data: bytes):
+        if data[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token file of this format")
+        self.total, n, note_size, note_crc, _ = struct.unpack_from(HEAD, data, len(MAGIC))
+        at = len(MAGIC) + struct.calcsize(HEAD)
+        self.note = data[at : at + note_size]
+        if zlib.crc32(self.note) != note_crc:
+            raise ValueError("the note is damaged")
+        at += note_size
+        directory = [struct.unpack_from("<IIII", data, at + 16 * i) for i in range(n)]
+        at += 16 * n
+        self.blocks = []
+        for size, crc, a, c in directory:
+            self.blocks.append((size, crc, data[at : at + a], data[at + a : at + a + c]))
+            at += a + c
+
+
+def decode_blocks(blocks: list[tuple]) -> list[np.ndarray]:
+    """The ids of blocks, of whatever files, all in step."""
+    order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
+    out: list = [None] * len(blocks)
+    try:
+        alphabets = [unpack_alphabet(blocks[i][2]) for i in order]
+        symbols = decode_lanes([blocks[i][3] for i in order], np.array([blocks[i][0] for i in order]), np.array([len(a) for a in alphabets]))
+        for i, a, s in zip(order, alphabets, symbols):
+            out[i] = a[s].astype("<u4")
+    except (IndexError, struct.error) as e:
+        raise ValueError("a block is damaged") from e
+    for i, got in enumerate(out):
+        if zlib.crc32(got) != blocks[i][1]:
+            raise ValueError(f"block {i} is damaged")
+    return out
+
+
+def decode_all(files: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
+    """The ids and the notes that ``encode`` was given; raises if a checksum differs. Files are decoded side by side."""
+    coded = [Coded(data) for data in files]
+    blocks = [b for c in coded for b in c.blocks]
+    got = [ids for at in range(0, len(blocks), JOINT) for ids in decode_blocks(blocks[at : at + JOINT])]
+    out, at = [], 0
+    for c in coded:
+        ids = np.concatenate([np.zeros(0, "<u4"), *got[at : at + len(c.blocks)]])
+        at += len(c.blocks)
+        if len(ids) != c.total:
+            raise ValueError("the file is cut short")
+        out.append((ids, c.note))
+    return out
+
+
 def decode(data: bytes) -> tuple[np.ndarray, bytes]:
-    """The ids and the note that ``encode`` was given; raises if a checksum differs."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token file of this format")
-    total, n, note_size, note_crc, lanes = struct.unpack_from(HEAD, data, len(MAGIC))
-    at = len(MAGIC) + struct.calcsize(HEAD)
-    note = data[at : at + note_size]
-    if zlib.crc32(note) != note_crc:
-        raise ValueError("the note is damaged")
-    at += note_size
-    directory = [struct.unpack_from("<IIII", data, at + 16 * i) for i in range(n)]
-    at += 16 * n
-    parts = []
-    for _, _, a, c in directory:
-        parts.append((data[at : at + a], data[at + a : at + a + c]))
-        at += a + c
-    out = [np.zeros(0, "<u4")]
-    for g in range(0, n, lanes):
-        order = sorted(range(g, min(n, g + lanes)), key=lambda i: -directory[i][0])
-        alphabets = [unpack_alphabet(parts[i][0]) for i in order]
-        symbols = decode_lanes([parts[i][1] for i in order], np.array([directory[i][0] for i in order]), np.array([len(a) for a in alphabets]))
-        got = {i: a[s].astype("<u4") for i, a, s in zip(order, alphabets, symbols)}
-        for i in sorted(got):
-            if zlib.crc32(got[i]) != directory[i][1]:
-                raise ValueError(f"block {i} is damaged")
-            out.append(got[i])
-    ids = np.concatenate(out)
-    if len(ids) != total:
-        raise ValueError("the file is cut short")
-    return ids, note
+    return decode_all([data])[0]

@@ -339,6 +339,46 @@ def test_range_coder_learns_and_detects():
         rangecoder.decode(b"other" + data)
 
 
+def test_range_coder_follows_contexts_as_step_by_step():
+    """What all steps' contexts named, found by sorting, is what a table kept from step to step says."""
+    r = np.random.default_rng(2)
+    context, symbols = r.integers(0, 6, (500, 3)), r.integers(0, 3, (500, 3))
+    symbols[100:300] = 1
+    got = np.empty((500, 3), np.uint16)
+    rangecoder.follow(context, symbols, got)
+    table = np.zeros((3, 6), int)
+    for t in range(500):
+        for lane in range(3):
+            c, sym, e = context[t, lane], symbols[t, lane], table[lane, context[t, lane]]
+            assert got[t, lane] == e
+            table[lane, c] = min(e + 1, e | 7) if e >> 3 == sym else sym << 3
+
+
+def test_range_coder_decodes_files_side_by_side(monkeypatch):
+    """Files of unlike lengths and alphabets share a decoder's steps, in groups of lanes that cross files."""
+    monkeypatch.setattr(rangecoder, "JOINT", 5)
+    r = np.random.default_rng(6)
+    ids = [r.integers(0, v, n) for v, n in ((3, 4000), (49_408, 9000), (1 << 31, 2500), (2, 0), (1, 1))]
+    files = [rangecoder.encode(x, bytes([i]), 700, 4) for i, x in enumerate(ids)]
+    for i, (got, note) in enumerate(rangecoder.decode_all(files)):
+        assert (got == ids[i]).all() and note == bytes([i])
+    with pytest.raises(ValueError):
+        rangecoder.decode_all([files[0], files[1][:-400] + bytes(400)])
+
+
+def test_words_of_many_texts_are_the_library_s(library):
+    """Words found by array operations: contractions, signs, digits, Latin letters, words beyond 16 bytes, bytes that are no UTF-8."""
+    e, r = bpe.LibraryEncoder(bpe.word_bpe(), most=40), random.Random(4)
+    texts = ["it's 'sword ''s we'll're 's's 1's .'s 're've'", "x" * 16 + " " + "x" * 17 + " " + "x" * 100, "", " ", "a×b÷c ÀÉßÿ", "'"]
+    texts += ["".join(r.choice("aAsStTlLdDmMrReEvV''''  \n\t.,!\"09#ÀéßÉ×÷ÿÖ<|>") for _ in range(r.choice([1, 3, 40, 200]))) for _ in range(300)]
+    raw = [t.encode() for t in texts] + [b"a\xc3", b"\xc3\xc3\x80 b", b"\x80a"]
+    for t, got in zip(raw, e.documents(raw)):
+        assert got == np.array(ids_of(library, t.decode("utf-8", "replace")), "<u4").tobytes()
+    low, begin, end = bpe.word_spans(b"One two, ONE\nit's")
+    place, which = bpe.distinct_words(low, begin, end)
+    assert sorted(low[begin[p] : end[p]] for p in place) == [b"'s", b",", b"it", b"one", b"two"] and len(which) == 6
+
+
 def test_token_files(spark, docs, library):
     files = tokenfile.write_tokens(docs, segment=500)
     assert files.df.count() > 3
