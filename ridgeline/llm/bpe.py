@@ -255,7 +255,9 @@ def distinct_words(low: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     size = end - begin
     w0 = words[begin] & MASKS.take(np.minimum(size, 8))
     w1 = words[begin + 8 * (size > 8)] & MASKS.take(np.clip(size - 8, 0, 8))
-    h = (w0 ^ (w1 * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    h = w1 * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h = (w0 ^ (h * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     long = np.flatnonzero(size > 16)
     h[long] = np.arange(len(long), dtype=np.uint64)
@@ -294,12 +296,12 @@ class Recent(dict):
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, which sees each word of a batch, or each piece between white space, once."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         with open(path, encoding="utf-8") as f:
             self.lib = Tokenizer.from_str(f.read())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.words, self.pieces = Recent(most), Recent(most // 4)
+        self.words, self.pieces = Recent(most), Recent(most // 8)
         self.chars = {b: c for b, c in byte_chars().items() if b > 126}
 
     def flat_documents(self, texts: list[bytes]) -> list[bytes]:

@@ -30,7 +30,7 @@ import zlib
 import numpy as np
 
 BLOCK, LANES = 4096, 1024
-JOINT = 2048  # lanes of several files that are decoded in step
+JOINT = 4096  # lanes of several files that are decoded in step
 TOGETHER = 64  # blocks whose intervals an encoder computes at once: what a processor's cache holds
 #: Bits of a mixed probability, of a trust, and the bits of order 0's slots.
 TOTAL, TRUST, SLOTS_LEAST, SLOTS_MOST = 16, 12, 10, 14
